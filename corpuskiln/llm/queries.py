@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuskiln.llm import bitslice, forms
+from corpuskiln.llm import bitslice, cosine, forms, recompress
 from corpuskiln.util import table
 
 
@@ -10,11 +10,19 @@ def _pairs(spark, sf_dir):
     return table(spark, sf_dir, "kor_lang8")
 
 
+def _docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents")
+
+
 QUERIES = {
+    "p3_found": lambda s, d: cosine.found(_pairs(s, d)),
+    "p3_report": lambda s, d: cosine.report(_pairs(s, d)),
     "p6_found": lambda s, d: forms.found(_pairs(s, d)),
     "p6_copies": lambda s, d: forms.counts(_pairs(s, d)),
     "p7_found": lambda s, d: bitslice.found(_pairs(s, d)),
     "p7_groups": lambda s, d: bitslice.groups(_pairs(s, d)),
+    "p10_found": lambda s, d: recompress.found(_docs(s, d)),
+    "p10_shares": lambda s, d: recompress.shares(_docs(s, d)),
 }
 
 
