@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuskiln.llm import bitslice, cosine, forms, recompress
+from corpuskiln.llm import bitslice, cosine, forms, lookalike, recompress
 from corpuskiln.util import table
 
 
@@ -10,6 +10,10 @@ def _pairs(spark, sf_dir):
     return table(spark, sf_dir, "kor_lang8")
 
 
+def _raw(spark, sf_dir):
+    return table(spark, sf_dir, "lang8_raw")
+
+
 def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
@@ -17,6 +21,8 @@ def _docs(spark, sf_dir):
 QUERIES = {
     "p3_found": lambda s, d: cosine.found(_pairs(s, d)),
     "p3_report": lambda s, d: cosine.report(_pairs(s, d)),
+    "p5_found": lambda s, d: lookalike.found(_raw(s, d)),
+    "p5_normalized": lambda s, d: lookalike.normalized(_raw(s, d)).drop("raw").distinct(),
     "p6_found": lambda s, d: forms.found(_pairs(s, d)),
     "p6_copies": lambda s, d: forms.counts(_pairs(s, d)),
     "p7_found": lambda s, d: bitslice.found(_pairs(s, d)),
