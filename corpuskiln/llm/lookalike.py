@@ -9,6 +9,7 @@ the result is a word of the corpus.
 
 from __future__ import annotations
 
+import re as plain_re
 import unicodedata as ud
 from collections import Counter
 from collections.abc import Iterator
@@ -31,7 +32,6 @@ SHARED = set(CYRILLIC.values()) | set(GREEK.values())
 _INVISIBLE = re.compile(r"[\p{Cf}͏ᅟᅠ឴឵᠋-᠏ㅤﾠ︀-️\U000e0100-\U000e01ef]+")
 _SPACE = re.compile(r"[\p{Zs}\t]")
 _BREAK = re.compile("\r\n?|[\x0b\x0c\x85  ]")
-_OTHER = re.compile(r"[\p{Cyrillic}\p{Greek}]")
 _WORD = re.compile(r"[\p{Latin}\p{Cyrillic}\p{Greek}][\p{Latin}\p{Cyrillic}\p{Greek}\p{M}]*")
 _NEEDS = re.compile(r"[\p{Cf}\p{Zs}\t\r\x0b\x0c\x85  ͏ᅟᅠ឴឵᠋-᠏ㄱ-ㆎㅤﾠ-ￜ︀-️ᄀ-ᇿ\U000e0100-\U000e01ef--\ ]", re.V1)
 _JAMO = re.compile("[ᄀ-ᇿㄱ-ㆎﾡ-ￜ]")
@@ -44,8 +44,17 @@ _SHOW = {v: k for k, v in _HIDE.items()}
 _SINGLE = {ord(ud.normalize("NFKC", chr(cp))): cp for cp in range(0x318E, 0x3130, -1) if len(ud.normalize("NFKC", chr(cp))) == 1}
 
 
+# characters that every step leaves alone
+_PLAIN = plain_re.compile("[ -~\n가-힣ぁ-ゖァ-ヺー一-鿿、。「」‘’“”·¡¿À-ÖØ-öø-ÿА-яЁё]*")
+_COULD_BE_OTHER = plain_re.compile("[Ͱ-\u052fἀ-\u1fffᲀ-᲏ⷠ-ⷿꙀ-ꚟ]")
+
+_COULD_BE_WORD = plain_re.compile("[A-Za-z\u00c0-\u052f\u1e00-\u1fffＡ-ｚ]")
+
+
 def characters(text: str) -> str:
     """The text with one form of each character, no invisible ones, and one kind of space."""
+    if _PLAIN.fullmatch(text):
+        return text
     if text.isascii():
         return _BREAK.sub("\n", text).replace("\t", " ") if "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text else text
     if not _NEEDS.search(text) and ud.is_normalized("NFKC", text):
@@ -101,7 +110,7 @@ def repair(word: str) -> str:
 
 def look(text: str) -> str:
     """A form that is equal for texts of the same look: all words in the script that theirs implies."""
-    if not _OTHER.search(text):
+    if not _COULD_BE_OTHER.search(text):
         return text
     folded = {w: _letters(w)[1] for w in set(_WORD.findall(text))}
     own = Counter(script(c) for w in folded.values() for c in w if c not in SHARED)
@@ -128,7 +137,7 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = raw.is_valid()
             raw = raw.filter(kept)
             texts = [characters(x) for x in raw.to_pylist()]
-            words = [sorted({w for w in _WORD.findall(t) if mixed(w)}) if not t.isascii() and _OTHER.search(t) else None for t in texts]
+            words = [sorted({w for w in _WORD.findall(t) if mixed(w)}) if _COULD_BE_OTHER.search(t) else None for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("pair_id").filter(kept), pa.array([field] * len(texts), pa.string()), raw, pa.array(texts, pa.string()), pa.array([w or None for w in words], _BASE.field("words").type)], schema=_BASE)
 
 
@@ -138,7 +147,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
         for field in _FIELDS:
             for text in batch.column(field).to_pylist():
-                if text:
+                if text and _COULD_BE_WORD.search(text):
                     seen.update(_WORD.findall(characters(text)))
         words = [w for w in seen if w.isascii() or not mixed(w)]
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuskiln.llm import bitslice, cosine, forms, lookalike, recompress
+from corpuskiln.llm import bitslice, cosine, forms, languages, lookalike, recompress
 from corpuskiln.util import table
 
 
@@ -14,6 +14,10 @@ def _raw(spark, sf_dir):
     return table(spark, sf_dir, "lang8_raw")
 
 
+def _codes(spark, sf_dir):
+    return table(spark, sf_dir, "lang_codes")
+
+
 def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
@@ -21,6 +25,9 @@ def _docs(spark, sf_dir):
 QUERIES = {
     "p3_found": lambda s, d: cosine.found(_pairs(s, d)),
     "p3_report": lambda s, d: cosine.report(_pairs(s, d)),
+    "p4_found": lambda s, d: languages.found(_raw(s, d), _codes(s, d)),
+    "p4_segments": lambda s, d: languages.segments(_raw(s, d), _codes(s, d)),
+    "p4_languages": lambda s, d: languages.documents(_raw(s, d), _codes(s, d)),
     "p5_found": lambda s, d: lookalike.found(_raw(s, d)),
     "p5_normalized": lambda s, d: lookalike.normalized(_raw(s, d)).drop("raw").distinct(),
     "p6_found": lambda s, d: forms.found(_pairs(s, d)),
