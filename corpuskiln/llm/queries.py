@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuskiln.llm import bitslice, cosine, forms, languages, lookalike, recompress
+from corpuskiln.llm import bitslice, cosine, forms, languages, lookalike, mixture, packing, recompress
 from corpuskiln.util import table
 
 
@@ -18,6 +18,10 @@ def _codes(spark, sf_dir):
     return table(spark, sf_dir, "lang_codes")
 
 
+def _targets(spark, sf_dir):
+    return table(spark, sf_dir, "mix_targets")
+
+
 def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
@@ -34,6 +38,10 @@ QUERIES = {
     "p6_copies": lambda s, d: forms.counts(_pairs(s, d)),
     "p7_found": lambda s, d: bitslice.found(_pairs(s, d)),
     "p7_groups": lambda s, d: bitslice.groups(_pairs(s, d)),
+    "p8_containers": lambda s, d: packing.containers(_docs(s, d)),
+    "p8_summary": lambda s, d: packing.summary(_docs(s, d)),
+    "p9_mixture": lambda s, d: mixture.mixture(_docs(s, d), _targets(s, d)),
+    "p9_shares": lambda s, d: mixture.shares(_docs(s, d), _targets(s, d)),
     "p10_found": lambda s, d: recompress.found(_docs(s, d)),
     "p10_shares": lambda s, d: recompress.shares(_docs(s, d)),
 }
