@@ -1,0 +1,389 @@
+"""Queries of the corpus operators over whole tables, with the SQL that DuckDB can run."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from corpuskiln.functions import hangul as H
+from corpuskiln.functions import text as X
+from corpuskiln.operators import annotate as A
+from corpuskiln.operators import clean as C
+from corpuskiln.operators import dataset as D
+from corpuskiln.operators import gleu as G
+from corpuskiln.operators import learner as L
+from corpuskiln.operators import maxmatch as M
+from corpuskiln.operators import rouge as R
+from corpuskiln.operators import shred as S
+from corpuskiln.sources import learner_xml as XML
+from corpuskiln.sources import m2 as M2
+from corpuskiln.sources import pairs as P
+from corpuskiln.util import table
+
+# ---- inputs -----------------------------------------------------------------------------------------
+
+
+def raw(s, d) -> DataFrame:
+    return table(s, d, "lang8_raw").select("pair_id", F.col("original").alias("o"), F.col("corrected").alias("c"))
+
+
+def pairs(s, d) -> DataFrame:
+    return table(s, d, "kor_lang8").filter("src is not null and tgt is not null").select("pair_id", F.col("src").alias("orig"), F.col("tgt").alias("cor"), "split", "source")
+
+
+def raw_pairs(s, d) -> DataFrame:
+    return table(s, d, "lang8_raw").filter("original is not null and corrected is not null").select(F.col("original").alias("orig"), F.col("corrected").alias("cor"))
+
+
+def triples(s, d) -> DataFrame:
+    """Source, reference and a made-up system output: the source with one particle put for another."""
+    return pairs(s, d).select(F.col("pair_id").alias("sid"), F.col("orig").alias("src"), F.col("cor").alias("ref"), F.replace("orig", F.lit("을"), F.lit("를")).alias("hyp"), "source")
+
+
+_RAW = "SELECT pair_id, original AS o, corrected AS c FROM lang8_raw"
+_PAIRS = "SELECT pair_id, src AS orig, tgt AS cor, split, source FROM kor_lang8 WHERE src IS NOT NULL AND tgt IS NOT NULL"
+_TRIPLES = f"SELECT pair_id AS sid, orig AS src, cor AS ref, replace(orig, '을', '를') AS hyp, source FROM ({_PAIRS})"
+
+
+def q(text: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+def sql_tokens(c: str) -> str:
+    return f"list_filter(string_split_regex({c}, {q(X.WHITE + '+')}), lambda t: t <> '')"
+
+
+def sql_strip(c: str) -> str:
+    return f"regexp_replace({c}, {q(f'^{X.WHITE}+|{X.WHITE}+$')}, '', 'g')"
+
+
+def sql_sub(c: str, pattern: str, to: str = "") -> str:
+    return f"regexp_replace({c}, {q(pattern)}, {q(to)}, 'g')"
+
+
+def sql_pad(c: str, pattern: str) -> str:
+    return sql_sub(sql_sub(c, pattern, r" \1 "), " +", " ")
+
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def add(name: str, query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLE[name] = sql
+
+
+# ---- projections: one function on both sides of every raw pair ---------------------------------------
+
+_FUNCTIONS = {
+    "f01_strip_foreign": (X.strip_foreign, lambda c: sql_sub(sql_sub(c, X.FOREIGN), X.LATIN)),
+    "f02_strip": (X.strip, sql_strip),
+    "f04_allowed_charset": (X.allowed, lambda c: f"NOT regexp_matches({c}, {q(X.ALLOWED)})"),
+    "f05_has_hangul": (X.has_hangul, lambda c: f"regexp_matches({c}, {q(X.HANGUL)})"),
+    "f08_token_count": (lambda c: F.size(X.tokens(c)), lambda c: f"len({sql_tokens(c)})"),
+    "f10_longest_token": (X.longest_token, lambda c: f"list_max(list_transform(string_split({c}, ' '), lambda t: length(t)))"),
+    "f11_pad_punctuation": (X.pad_punctuation, lambda c: sql_pad(c, X.PUNCTUATION)),
+    "f13_drop_repeats": (X.drop_repeats, None),
+    "f17_split_punctuation": (X.split_punctuation, lambda c: sql_strip(sql_pad(c, X.SPLIT_PUNCTUATION))),
+    "f18_strip_punctuation": (X.strip_punctuation, lambda c: sql_sub(sql_sub(c, X.STRIP_PUNCTUATION), " +", " ")),
+    "f23_drop_newlines": (lambda c: F.replace(c, F.lit("\n"), F.lit("")), lambda c: f"replace({c}, chr(10), '')"),
+    "f24_rouge_text": (X.rouge_text, lambda c: sql_sub(f"lower({c})", X.ROUGE_DROP, " ")),
+    "h16_letters": (H.to_letters, None),
+    "h18_treebank_tokens": (lambda c: F.array_join(X.tokenizer()(c), " "), None),
+    "h21_windows_repair": (X.repair_windows, None),
+    "h22_ascii_only": (X.ascii_only, lambda c: sql_sub(c, "[^ -~]")),
+    "h22_is_ascii": (X.is_ascii, lambda c: f"NOT regexp_matches({c}, {q(chr(91) + '^' + chr(92) + 'x00-' + chr(92) + 'x7f' + chr(93))})"),
+    "h25_limit_characters": (lambda c: X.limit_characters(c, 20), lambda c: f"{c}[1:20]"),
+}
+for _name, (_f, _sql) in _FUNCTIONS.items():
+    add(_name, lambda s, d, f=_f: raw(s, d).select("pair_id", f(F.col("o")).alias("o"), f(F.col("c")).alias("c")), f"SELECT pair_id, {_sql('o')} AS o, {_sql('c')} AS c FROM ({_RAW})" if _sql else None)
+
+# ---- filters: the pairs that stay --------------------------------------------------------------------
+
+_both = lambda f: lambda o, c: f(o) & f(c)
+_FILTERS = {
+    "f03_min_length": (lambda o, c: (F.length(o) > 2) & (F.length(c) > 2), "length(o) > 2 AND length(c) > 2"),
+    "f06_token_ratio": (lambda o, c: F.try_divide(F.size(X.tokens(c)), F.size(X.tokens(o))).between(0.2500001, 3.9999999), f"len({sql_tokens('c')}) / nullif(len({sql_tokens('o')}), 0) BETWEEN 0.2500001 AND 3.9999999"),
+    "f07_char_ratio": (lambda o, c: (F.try_divide(F.length(c), F.length(o)) > 0.5) & (F.try_divide(F.length(c), F.length(o)) < 1.25), "length(c) / nullif(length(o), 0) > 0.5 AND length(c) / nullif(length(o), 0) < 1.25"),
+    "f09_blocklist": (lambda o, c: ~c.contains("or") & ~c.contains("good"), "NOT contains(c, 'or') AND NOT contains(c, 'good')"),
+    "f12_no_slash": (lambda o, c: ~o.contains("/") & ~c.contains("/"), "NOT contains(o, '/') AND NOT contains(c, '/')"),
+    "f14_different": (lambda o, c: o != c, "o <> c"),
+    "f15_final": (lambda o, c: ~o.contains("\t") & ~c.contains("\t") & (F.length(o) >= 2) & (F.length(c) >= 2), "NOT contains(o, chr(9)) AND NOT contains(c, chr(9)) AND length(o) >= 2 AND length(c) >= 2"),
+    "f19_not_empty": (lambda o, c: (o != "") & (c != ""), "o <> '' AND c <> ''"),
+    "f22_same_but_space_and_case": (X.ignoring_space_and_case, "lower(replace(o, ' ', '')) = lower(replace(c, ' ', ''))"),
+}
+for _name, (_f, _sql) in _FILTERS.items():
+    add(_name, lambda s, d, f=_f: raw(s, d).filter(f(F.col("o"), F.col("c"))).select("pair_id"), f"SELECT pair_id FROM ({_RAW}) WHERE {_sql}")
+add("f16_letter_distance", lambda s, d: pairs(s, d).select("pair_id", H.letter_distance("orig", "cor").alias("distance")))
+
+# ---- sources and the funnel ------------------------------------------------------------------------------
+
+_LINES = "SELECT line_id, string_split(line, chr(9)) AS f FROM lang8_lines"
+add("s01_pair_lines", lambda s, d: P.two_fields(table(s, d, "lang8_lines").select("line_id", F.col("line").alias("value"))).select("line_id", "orig", "cor"), f"SELECT line_id, f[1] AS orig, f[2] AS cor FROM ({_LINES}) WHERE len(f) = 2")
+add("s02_pair_lines_not_empty", lambda s, d: P.two_fields(pairs(s, d).select("pair_id", F.concat_ws("\t", "orig", "cor").alias("value")), keep_empty=False), f"SELECT pair_id, orig, cor FROM ({_PAIRS}) WHERE orig <> '' AND cor <> '' AND NOT contains(orig, chr(9)) AND NOT contains(cor, chr(9))")
+add("s05_paragraphs", lambda s, d: P.paragraphs(table(s, d, "documents").select("doc_id", F.col("text").alias("value"))).groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.sum(F.length("block")).alias("n_chars")),
+    "SELECT doc_id, count(*) AS n_blocks, sum(length(b)) AS n_chars FROM (SELECT doc_id, regexp_replace(unnest(string_split_regex(text, '\\n[ \\t]*\\n+')), '^\\n+|\\n+$', '', 'g') AS b FROM documents) WHERE b <> '' GROUP BY doc_id")
+add("s07_xml_sentences", lambda s, d: XML.from_text(table(s, d, "learner_sentences").filter("fmt = 'xml'")).select("sentence_id", F.col("sentence.s").alias("s"), F.size("sentence.MorphemeAnnotations.word").alias("n_words")))
+add("s08_xml_with_errors", lambda s, d: XML.with_errors(XML.from_text(table(s, d, "learner_sentences").filter("fmt = 'xml'")).select("sentence_id", "sentence.*")).select("sentence_id", F.size("LearnerErrorAnnotations.word").alias("n_errors")))
+add("s11_sgml", lambda s, d: XML.parse_sgml(table(s, d, "documents").filter("text is not null").select(F.concat(F.lit('<DOC nid="'), F.col("doc_id").cast("string"), F.lit('"><TEXT><P>'), F.col("title"), F.lit("</P></TEXT></DOC>")).alias("doc"))).select("nid", F.size("paragraphs").alias("n_paragraphs")))
+add("j01_zip_lines", lambda s, d: P.zip_lines(table(s, d, "kor_lang8").select(F.col("pair_id").alias("pos"), F.col("src").alias("value")).filter("value is not null"), table(s, d, "kor_lang8").select(F.col("pair_id").alias("pos"), F.col("tgt").alias("value")).filter("value is not null")),
+    f"SELECT pair_id AS pos, orig, cor FROM ({_PAIRS}) WHERE NOT (orig = '' AND cor = '')")
+add("j02_zip_three", lambda s, d: P.zip_three(*(triples(s, d).select(F.col("sid").alias("pos"), F.col(c).alias("value")) for c in ("hyp", "src", "ref"))), f"SELECT sid AS pos, hyp, src, ref FROM ({_TRIPLES})")
+add("a18_first_of_equals", lambda s, d: pairs(s, d).groupBy("orig").agg(F.min("pair_id").alias("pos")), f"SELECT orig, min(pair_id) AS pos FROM ({_PAIRS}) GROUP BY orig")
+add("clean_pairs", lambda s, d: C.clean(raw_pairs(s, d)))
+add("clean_funnel", lambda s, d: C.funnel(raw_pairs(s, d)))
+add("clean_far_apart", lambda s, d: C.far_apart(pairs(s, d).select("pair_id", "orig", "cor")).select("pair_id"))
+
+_STRIPPED = {c: sql_strip(sql_sub(sql_sub(c, X.FOREIGN), X.LATIN)) for c in ("orig", "cor")}
+_STEP3 = f"""
+WITH a AS (SELECT {_STRIPPED['orig']} AS orig, {_STRIPPED['cor']} AS cor FROM (SELECT original AS orig, corrected AS cor FROM lang8_raw WHERE original IS NOT NULL AND corrected IS NOT NULL)),
+b AS (SELECT * FROM a WHERE length(orig) > 2 AND length(cor) > 2),
+c AS (SELECT * FROM b WHERE NOT regexp_matches(orig, {q(X.ALLOWED)}) AND NOT regexp_matches(cor, {q(X.ALLOWED)}) AND regexp_matches(orig, {q(X.HANGUL)}) AND regexp_matches(cor, {q(X.HANGUL)})),
+e AS (SELECT *, len({sql_tokens('orig')}) AS n, len({sql_tokens('cor')}) AS m FROM c),
+g AS (SELECT orig, cor FROM e WHERE m / n > 0.25 AND m / n < 4 AND length(cor) / length(orig) > 0.5 AND length(cor) / length(orig) < 1.25 AND least(n, m) > 5 AND NOT contains(cor, 'or') AND NOT contains(cor, 'good')
+  AND list_max(list_transform(string_split(orig, ' '), lambda t: length(t))) <= 20 AND list_max(list_transform(string_split(cor, ' '), lambda t: length(t))) <= 20),
+h AS (SELECT {sql_pad('orig', X.PUNCTUATION)} AS orig, {sql_pad('cor', X.PUNCTUATION)} AS cor FROM g)
+"""
+add("clean_until_distinct", lambda s, d: C.clean(raw_pairs(s, d), "distinct"), _STEP3 + "SELECT DISTINCT orig, cor FROM h WHERE NOT contains(orig, '/') AND NOT contains(cor, '/')")
+add("e01_split_sentences", lambda s, d: C.split_sentences(pairs(s, d).select("pair_id", "orig", "cor")), f"""
+WITH a AS (SELECT pair_id, orig, cor, string_split(orig, '.') AS o, string_split(cor, '.') AS c FROM ({_PAIRS})),
+b AS (SELECT pair_id, o, c, unnest(range(1, len(o))) AS i FROM a WHERE len(o) > 2 AND len(o) = len(c))
+SELECT pair_id, o[i] || ' .' AS orig, c[i] || ' .' AS cor FROM b WHERE o[i] <> c[i] AND least(length(o[i]), length(c[i])) > 4
+UNION ALL SELECT pair_id, orig, cor FROM a WHERE len(o) <= 2""")
+
+# ---- counts and n-grams ------------------------------------------------------------------------------
+
+add("a01_multiplicity", lambda s, d: C.multiplicity(raw_pairs(s, d)), "SELECT original AS orig, corrected AS cor, count(*) AS n FROM lang8_raw WHERE original IS NOT NULL AND corrected IS NOT NULL GROUP BY 1, 2")
+add("a02_distinct_pairs", lambda s, d: C.distinct_pairs(raw_pairs(s, d)), "SELECT DISTINCT original AS orig, corrected AS cor FROM lang8_raw WHERE original IS NOT NULL AND corrected IS NOT NULL")
+add("a03_label_histogram", lambda s, d: A.histogram(A.annotate(pairs(s, d))))
+add("a03_source_rollup", lambda s, d: pairs(s, d).rollup("split", "source").agg(F.count("*").alias("n")), f"SELECT split, source, count(*) AS n FROM ({_PAIRS}) GROUP BY ROLLUP (split, source)")
+add("a04_edit_counts", lambda s, d: A.annotate(pairs(s, d)).agg(F.count("*").alias("n_lines"), F.sum(F.size("edits")).alias("n_edits"), F.count_if(F.size("edits") == 0).alias("n_unchanged")))
+
+
+def _grams(c: str, table_: str, keys: str) -> str:
+    return f"SELECT {keys}, n, array_to_string(t[i:i+n-1], ' ') AS gram FROM (SELECT {keys}, {sql_tokens(c)} AS t FROM ({table_})), (SELECT unnest([1,2,3,4]) AS n), LATERAL (SELECT unnest(range(1, len(t) - n + 2)) AS i)"
+
+
+add("e03_ngram_counts", lambda s, d: G.gram_counts(pairs(s, d).select("pair_id", X.tokens(F.col("orig")).alias("w")), "pair_id", column="w"), f"SELECT pair_id, n, gram, count(*) AS cnt FROM ({_grams('orig', _PAIRS, 'pair_id')}) GROUP BY 1, 2, 3")
+add("e04_word_pairs", lambda s, d: pairs(s, d).select("pair_id", F.explode(X.word_pairs(X.tokens(F.col("orig")), overlapping=True)).alias("w")).select("pair_id", F.array_join("w", " ").alias("pair")), f"SELECT pair_id, gram AS pair FROM ({_grams('orig', _PAIRS, 'pair_id')}) WHERE n = 2")
+add("a09_document_frequency", lambda s, d: G.document_frequency(pairs(s, d).select(F.col("pair_id").alias("sid"), X.tokens(F.col("cor")).alias("words"))), f"SELECT n, gram, count(DISTINCT pair_id) AS df FROM ({_grams('cor', _PAIRS, 'pair_id')}) GROUP BY 1, 2")
+add("a10_normalised_frequency", lambda s, d: G.document_frequency(pairs(s, d).select(F.col("pair_id").alias("sid"), X.tokens(F.col("cor")).alias("words"))).select("n", "gram", (F.col("df") / 2).alias("f")), f"SELECT n, gram, count(DISTINCT pair_id) / 2 AS f FROM ({_grams('cor', _PAIRS, 'pair_id')}) GROUP BY 1, 2")
+_refs = lambda s, d: pairs(s, d).select(F.col("pair_id").alias("sid"), F.posexplode(F.array("orig", "cor")).alias("ref_no", "t")).select("sid", "ref_no", X.tokens(F.col("t")).alias("words"))
+_counted = f"(SELECT pair_id, n, gram, count(*) AS cnt FROM ({_grams('orig', _PAIRS, 'pair_id')}) GROUP BY ALL UNION ALL SELECT pair_id, n, gram, count(*) AS cnt FROM ({_grams('cor', _PAIRS, 'pair_id')}) GROUP BY ALL)"
+add("a11_merged_references", lambda s, d: G.merged_references(_refs(s, d)), f"SELECT pair_id AS sid, n, gram, max(cnt) AS cnt FROM {_counted} GROUP BY 1, 2, 3")
+
+
+def _two(s, d) -> tuple[DataFrame, DataFrame]:
+    rows = pairs(s, d).select("pair_id", X.tokens(F.col("orig")).alias("o"), X.tokens(F.col("cor")).alias("c"))
+    return tuple(G.gram_counts(rows, "pair_id", column=x) for x in "oc")
+
+
+def _overlap(s, d) -> DataFrame:
+    a, b = _two(s, d)
+    both = a.join(b.withColumnRenamed("cnt", "other"), ["pair_id", "n", "gram"])
+    return both.groupBy("pair_id", "n").agg(F.sum(F.least("cnt", "other")).alias("common"))
+
+
+_SIDES = f"o AS (SELECT pair_id, n, gram, count(*) AS cnt FROM ({_grams('orig', _PAIRS, 'pair_id')}) GROUP BY ALL), c AS (SELECT pair_id, n, gram, count(*) AS cnt FROM ({_grams('cor', _PAIRS, 'pair_id')}) GROUP BY ALL)"
+add("j05_multiset_intersection", _overlap, f"WITH {_SIDES} SELECT pair_id, n, sum(least(o.cnt, c.cnt)) AS common FROM o JOIN c USING (pair_id, n, gram) GROUP BY 1, 2")
+add("j06_ngram_anti_join", lambda s, d: (lambda a, b: a.join(b, ["pair_id", "n", "gram"], "left_anti").groupBy("pair_id", "n").agg(F.sum("cnt").alias("only_source")))(*_two(s, d)), f"WITH {_SIDES} SELECT pair_id, n, sum(o.cnt) AS only_source FROM o ANTI JOIN c USING (pair_id, n, gram) GROUP BY 1, 2")
+
+# ---- GLEU --------------------------------------------------------------------------------------------
+
+_STATS = f"""
+WITH t AS (SELECT * FROM ({_TRIPLES})),
+g AS (SELECT sid, n, gram, count(*) FILTER (side = 'h') AS h, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 'r') AS r FROM (
+  SELECT *, 'h' AS side FROM ({_grams('hyp', _TRIPLES, 'sid')}) UNION ALL SELECT *, 's' FROM ({_grams('src', _TRIPLES, 'sid')}) UNION ALL SELECT *, 'r' FROM ({_grams('ref', _TRIPLES, 'sid')})) GROUP BY 1, 2, 3),
+x AS (SELECT sid, n, sum(least(h, r) - least(h, CASE WHEN r = 0 THEN s ELSE 0 END)) AS v FROM g GROUP BY 1, 2),
+y AS (SELECT sid, source, len({sql_tokens('hyp')}) AS c, len({sql_tokens('ref')}) AS r FROM t),
+st AS (SELECT y.sid, any_value(source) AS source, any_value(c) AS c, any_value(r) AS r, {', '.join(f"greatest(coalesce(sum(v) FILTER (n = {n}), 0), 0) AS num{n}, greatest(any_value(c) + 1 - {n}, 0) AS den{n}" for n in (1, 2, 3, 4))} FROM y LEFT JOIN x USING (sid) GROUP BY y.sid)
+"""
+_GLEU = "CASE WHEN least(c, r, num1, den1, num2, den2, num3, den3, num4, den4) = 0 THEN 0.0 ELSE exp(least(0, 1 - r / c) + (ln(num1 / den1) + ln(num2 / den2) + ln(num3 / den3) + ln(num4 / den4)) / 4) END"
+_SMOOTH = "exp(least(0, 1 - one(r) / one(c)) + (ln(one(num1) / one(den1)) + ln(one(num2) / one(den2)) + ln(one(num3) / one(den3)) + ln(one(num4) / one(den4))) / 4)"
+for _c in G.names():
+    _SMOOTH = _SMOOTH.replace(f"one({_c})", f"(CASE WHEN {_c} = 0 THEN 1 ELSE {_c} END)")
+_stats = lambda s, d: G.statistics(triples(s, d))
+add("gleu_statistics", _stats, _STATS + f"SELECT sid, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in G.names())} FROM st")
+add("gleu_corpus", lambda s, d: G.corpus(_stats(s, d)).select(F.round("gleu", 6).alias("gleu")), _STATS + f"SELECT round({_GLEU}, 6) AS gleu FROM (SELECT {', '.join(f'sum({c}) AS {c}' for c in G.names())} FROM st)")
+add("gleu_by_source", lambda s, d: G.corpus(G.statistics(triples(s, d), ("sid", "source")), "source").select("source", F.round("gleu", 6).alias("gleu")))
+add("gleu_sentences", lambda s, d: G.sentences(_stats(s, d)).select("sid", F.round("gleu", 6).alias("gleu")), _STATS + f"SELECT sid, round({_SMOOTH}, 6) AS gleu FROM st")
+
+
+def _multi_gleu(s, d) -> DataFrame:
+    """Two references for each sentence; the draw of an iteration is a hash of the sentence."""
+    rows = triples(s, d).select("sid", "src", "hyp", F.posexplode(F.array("ref", "src")).alias("ref_no", "ref"))
+    stats = G.statistics(rows, ("sid", "ref_no"))
+    draws = triples(s, d).select("sid", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("iteration")).withColumn("ref_no", (F.ascii(F.substring(F.md5(F.concat_ws(":", "sid", "iteration")), 1, 1)) % 2).cast("int"))
+    return G.multi_reference(stats, draws).select(*(F.round(c, 6).alias(c) for c in ("mean", "std", "low", "high")))
+
+
+add("gleu_multi_reference", _multi_gleu)
+
+# ---- ROUGE -------------------------------------------------------------------------------------------
+
+_hyp_ref = lambda s, d: pairs(s, d).select("pair_id", F.col("orig").alias("hyp"), F.col("cor").alias("ref"))
+
+
+def _rouge_sql(n: int) -> str:
+    side = lambda c: f"SELECT pair_id, array_to_string(t[i:i+{n - 1}], ' ') AS g FROM (SELECT pair_id, {sql_tokens(sql_sub(f'lower({c})', X.ROUGE_DROP, ' '))} AS t FROM ({_PAIRS})), LATERAL (SELECT unnest(range(1, len(t) - {n} + 2)) AS i)"
+    return f"""WITH h AS (SELECT pair_id, g, count(*) AS k FROM ({side('orig')}) GROUP BY ALL), r AS (SELECT pair_id, g, count(*) AS k FROM ({side('cor')}) GROUP BY ALL),
+m AS (SELECT pair_id, sum(least(h.k, r.k)) AS m FROM h JOIN r USING (pair_id, g) GROUP BY 1), hn AS (SELECT pair_id, sum(k) AS n FROM h GROUP BY 1), rn AS (SELECT pair_id, sum(k) AS n FROM r GROUP BY 1),
+x AS (SELECT p.pair_id, coalesce(m.m, 0) / hn.n AS pp, coalesce(m.m, 0) / rn.n AS rr FROM ({_PAIRS}) p LEFT JOIN m USING (pair_id) LEFT JOIN hn USING (pair_id) LEFT JOIN rn USING (pair_id)),
+y AS (SELECT pair_id, coalesce(pp, 0) AS p, coalesce(rr, 0) AS r FROM x)
+SELECT pair_id, round(p, 6) AS p, round(r, 6) AS r, round(CASE WHEN p = 0 OR r = 0 THEN 0 ELSE p * r / (0.5 * p + 0.5 * r) END, 6) AS f FROM y"""
+
+
+_rounded = lambda df, *keys: df.select(*keys, *(F.round(c, 6).alias(c) for c in "prf"))
+for _n in (1, 2):
+    add(f"rouge_{_n}", lambda s, d, n=_n: _rounded(R.rouge_n(_hyp_ref(s, d), n, "pair_id"), "pair_id"), _rouge_sql(_n))
+add("rouge_1_average", lambda s, d: _rounded(R.average(R.rouge_n(_hyp_ref(s, d), 1, "pair_id"))))
+add("rouge_l", lambda s, d: _rounded(R.rouge_l(_hyp_ref(s, d), "pair_id"), "pair_id"))
+add("rouge_w", lambda s, d: _rounded(R.rouge_l(_hyp_ref(s, d), "pair_id", weight=1.2), "pair_id"))
+
+
+def _two_refs(s, d) -> DataFrame:
+    rows = triples(s, d).select("sid", "hyp", F.posexplode(F.array("ref", "src")).alias("ref_no", "ref"))
+    return R.rouge_n(rows, 1, "sid", "ref_no")
+
+
+add("rouge_1_best", lambda s, d: _rounded(R.best(_two_refs(s, d), "sid"), "sid"))
+add("rouge_1_all", lambda s, d: R.listed(_two_refs(s, d), "sid").select("sid", F.size("scores").alias("n_scores")), f"SELECT sid, 2 AS n_scores FROM ({_TRIPLES})")
+
+# ---- Hangul ------------------------------------------------------------------------------------------
+
+_syll = lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("k"), H.character((44032 + F.col("o_orderkey") % 11172).cast("int")).alias("c"))
+_SYLL = "SELECT o_orderkey AS k, CAST(o_orderkey % 11172 AS INT) AS x, chr(CAST(44032 + o_orderkey % 11172 AS INT)) AS c FROM orders"
+_dec = lambda s, d: _syll(s, d).select("k", "c", H.decompose(F.col("c")).alias("x")).select("k", "c", "x.*")
+_DEC = f"SELECT k, c, {q(H.INITIALS)}[x // 588 + 1] AS cho, {q(H.MEDIALS)}[x // 28 % 21 + 1] AS jung, {q(H.FINALS)}[x % 28 + 1] AS jong FROM ({_SYLL})"
+add("h02_decompose", _dec, _DEC)
+add("h01_compose", lambda s, d: _dec(s, d).select("k", H.compose(F.col("cho"), F.col("jung"), F.col("jong")).alias("c")), f"SELECT k, c FROM ({_SYLL})")
+_first = lambda s, d: raw(s, d).filter("o <> ''").select("pair_id", F.substring("o", 1, 1).alias("c"))
+_FIRST = f"SELECT pair_id, o[1] AS c FROM ({_RAW}) WHERE o <> ''"
+add("h03_is_korean", lambda s, d: _first(s, d).select("pair_id", H.is_korean(F.col("c")).alias("korean")), f"SELECT pair_id, unicode(c) BETWEEN 44032 AND 55203 OR unicode(c) BETWEEN 12593 AND 12643 AS korean FROM ({_FIRST})")
+add("h04_is_consonant", lambda s, d: _first(s, d).select("pair_id", H.is_consonant(F.col("c")).alias("consonant")), f"SELECT pair_id, unicode(c) BETWEEN 12593 AND 12622 AS consonant FROM ({_FIRST})")
+_tok = lambda s, d: pairs(s, d).select(F.explode(X.tokens(F.col("orig"))).alias("token")).distinct()
+for _name, _f in {"h05_absorb_consonants": H.absorb_consonants, "h08_contract": H.contract_token, "h09_rule_34": H.contract_34, "h10_rule_35": H.contract_35, "h11_rule_36": H.contract_36, "h12_soften": H.soften_token}.items():
+    add(_name, lambda s, d, f=_f: _tok(s, d).select("token", f("token").alias("made")))
+add("h07_join_tokens", lambda s, d: pairs(s, d).select("pair_id", F.explode(X.word_pairs(X.tokens(F.col("orig")))).alias("w")).select("pair_id", H.joined_tokens(F.col("w")[0], F.col("w")[1]).alias("x")).select("pair_id", "x.*"))
+add("h13_compose_vowels", lambda s, d: _dec(s, d).select("k", H.compose_vowels(F.col("jung"), F.lit("ㅏ")).alias("v")), f"SELECT k, CASE WHEN jung = 'ㅗ' THEN 'ㅘ' END AS v FROM ({_DEC})")
+add("h14_levenshtein", lambda s, d: table(s, d, "part").select("p_partkey", F.levenshtein("p_name", "p_type").alias("distance")), "SELECT p_partkey, levenshtein(p_name, p_type) AS distance FROM part")
+add("h14_weighted_levenshtein", lambda s, d: pairs(s, d).select("pair_id", H.weighted_distance({("을", "를"): 0.5, ("를", "을"): 0.5})("orig", "cor").alias("distance")))
+add("h17_insert_delete_distance", lambda s, d: pairs(s, d).select("pair_id", A.insert_delete_distance(X.tokens(F.col("orig")), X.tokens(F.col("cor"))).alias("distance")))
+add("h20_token_offset", lambda s, d: pairs(s, d).select("pair_id", M2.token_offset(F.col("orig"), F.lit(10)).alias("token")), f"SELECT pair_id, len({sql_tokens('orig[1:10]')}) AS token FROM ({_PAIRS})")
+add("h23_shrink", lambda s, d: pairs(s, d).select("pair_id", A.shrunk(X.tokens(F.col("orig")), X.tokens(F.col("cor"))).alias("x")).select("pair_id", "x.front", F.array_join("x.orig", " ").alias("orig"), F.array_join("x.cor", " ").alias("cor")))
+add("h25_limit_words", lambda s, d: pairs(s, d).select("pair_id", F.array_join(X.limit_words(F.array("orig", "cor"), 8), " ").alias("t")), f"SELECT pair_id, array_to_string(list_concat({sql_tokens('orig')}, {sql_tokens('cor')})[1:8], ' ') AS t FROM ({_PAIRS})")
+
+# ---- alignment, edits, M2 ----------------------------------------------------------------------------
+
+_annotated = lambda s, d, how="rules": A.annotate(pairs(s, d).select("pair_id", "orig", "cor"), how=how)
+add("d01_unit_alignment", lambda s, d: table(s, d, "nation").select("n_name", A.unit_alignment("n_name", F.lit("ARGENTINA")).alias("x")).select("n_name", "x.*"))
+add("d02_alignment", lambda s, d: pairs(s, d).select("pair_id", A.alignment("orig", "cor").alias("moves")).select("pair_id", F.posexplode("moves").alias("no", "m")).select("pair_id", "no", "m.*"))
+add("d06_typed_edits", lambda s, d: A.exploded(_annotated(s, d)))
+add("d07_edits_split", lambda s, d: A.exploded(_annotated(s, d, "split")))
+add("d07_edits_equal", lambda s, d: A.exploded(_annotated(s, d, "equal")))
+add("d07_edits_all", lambda s, d: A.exploded(_annotated(s, d, "all")))
+add("w01_runs_of_moves", lambda s, d: pairs(s, d).select("pair_id", A.alignment("orig", "cor").alias("m")).select("pair_id", F.explode(A.runs(F.col("m"))).alias("r")).select("pair_id", "r.*"))
+add("w02_runs_of_edits", lambda s, d: pairs(s, d).select("pair_id", A.alignment("orig", "cor").alias("m")).select("pair_id", F.explode(A.runs(F.col("m"), "edit")).alias("r")).select("pair_id", "r.*"))
+add("f20_not_matching", lambda s, d: pairs(s, d).select("pair_id", F.size(F.filter(A.alignment("orig", "cor"), lambda m: m["op"] != "M")).alias("n_edits")))
+
+
+def _tags(s, d) -> DataFrame:
+    return S.morphs(S.shred(table(s, d, "learner_sentences"))).filter("section = 'M'")
+
+
+add("d11_coarse_class", lambda s, d: _tags(s, d).groupBy("pos", A.coarse_class(F.col("pos")).alias("class")).agg(F.count("*").alias("n")))
+add("d12_composite_type", lambda s, d: _tags(s, d).groupBy("sentence_id", "word_no").agg(F.array_sort(F.collect_set(A.coarse_class(F.col("pos")))).alias("kinds")).select("sentence_id", "word_no", A.composite_type(F.col("kinds")).alias("type")))
+
+
+def _lexicon(s, d) -> DataFrame:
+    """Morphemes of words as the annotated sentences have them: for each surface the least analysis."""
+    parts = _tags(s, d).filter("text <> ''").groupBy("sentence_id", "word_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("morph_no", F.col("text").alias("m"), F.coalesce("pos", F.lit("UN")).alias("pos")))), lambda x: F.struct(x["m"].alias("m"), x["pos"].alias("pos"))).alias("morphs"))
+    return parts.groupBy(F.array_join(F.transform("morphs", lambda x: x["m"]), "").alias("token")).agg(F.min("morphs").alias("morphs"))
+
+
+add("j07_lexicon_types", lambda s, d: A.histogram(A.annotate(pairs(s, d).select("pair_id", "orig", "cor"), pos=_lexicon(s, d))))
+add("d09_spelling_types", lambda s, d: A.histogram(A.annotate(pairs(s, d).select("pair_id", "orig", "cor"), spelling=pairs(s, d).select(F.explode(X.split_tokens(F.col("orig"))).alias("token")).distinct().select("token", F.array(F.replace("token", F.lit("에소"), F.lit("에서"))).alias("suggestions")))))
+
+_m2 = lambda s, d: _annotated(s, d).select("pair_id", "orig", F.regexp_replace(M2.block(F.col("orig"), F.col("edits")), "\n$", "").alias("block"))
+add("k01_m2_blocks", lambda s, d: _m2(s, d).select("pair_id", "block"))
+add("k02_m2_of_types", lambda s, d: M2.with_types(_annotated(s, d), "WS").select("pair_id"))
+add("s04_m2_parse", lambda s, d: M2.parse(_m2(s, d).select("pair_id", "block")).select("pair_id", "source", F.size("edits").alias("n_edits")))
+add("f21_m2_gold", lambda s, d: M2.gold(M2.parse(_m2(s, d).select("pair_id", "block"))).select("pair_id", "annotator", F.size("gold").alias("n_gold")))
+_probe = lambda s, d: pairs(s, d).select(F.col("pair_id").alias("pos"), F.col("orig").alias("source"), F.col("cor").alias("block"))
+add("j03_reorder_m2", lambda s, d: M2.reorder(_probe(s, d).select("pos", "source"), _probe(s, d)), f"""
+WITH b AS (SELECT trim(orig, ' ') AS source, max_by(cor, pair_id) AS block FROM ({_PAIRS}) GROUP BY 1)
+SELECT pair_id AS pos, trim(orig, ' ') AS source, b.block, true AS found FROM ({_PAIRS}) p JOIN b ON b.source = trim(p.orig, ' ')""")
+add("k10_suggestions_report", lambda s, d: P.suggestions_report(table(s, d, "part").select(F.col("p_brand").alias("token"), F.array("p_type", "p_name").alias("suggestions"))), "SELECT rpad(p_brand, 15, ' ') || ' ' || p_type || ', ' || p_name AS value FROM part")
+add("k11_created_edits", lambda s, d: triples(s, d).select("sid", M.created_edits("src", "hyp").alias("edits")).select("sid", F.explode("edits").alias("e")).select("sid", "e.*"))
+add("k06_sides", lambda s, d: P.split_sides(pairs(s, d))[0], f"SELECT {sql_strip('orig')} AS value FROM ({_PAIRS})")
+
+
+def _gold(s, d) -> DataFrame:
+    edits = F.transform("edits", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), F.array_join(F.slice(X.split_tokens(F.col("orig")), e["start"] + 1, e["end"] - e["start"]), " ").alias("original"), F.array(e["cor"]).alias("corrections")))
+    rows = _annotated(s, d).select(F.col("pair_id").alias("sid"), F.regexp_replace(X.strip(F.col("orig")), " +", " ").alias("src"), edits.alias("gold"))
+    return rows.withColumn("hyp", F.replace("src", F.lit("을"), F.lit("를")))
+
+
+_scored = lambda s, d: _gold(s, d).select("sid", M.counts()("src", "hyp", "gold").alias("x")).select("sid", "x.*")
+add("maxmatch_counts", _scored)
+add("maxmatch_single", lambda s, d: M.single(_scored(s, d)))
+
+
+def _multi(s, d) -> DataFrame:
+    rows = _gold(s, d).select("sid", "src", "hyp", F.posexplode(F.array("gold", F.filter("gold", lambda _: F.lit(False)))).alias("annotator_no", "gold"))
+    return M.multi(rows.select("sid", "annotator_no", M.counts()("src", "hyp", "gold").alias("x")).select("sid", "annotator_no", "x.*"))
+
+
+add("maxmatch_multi", _multi)
+add("w03_running_counts", lambda s, d: pairs(s, d).groupBy("source").agg(F.count("*").alias("n")).select("source", F.sum("n").over(Window.orderBy("source")).alias("upto")), f"SELECT source, sum(n) OVER (ORDER BY source NULLS FIRST) AS upto FROM (SELECT source, count(*) AS n FROM ({_PAIRS}) GROUP BY 1)")
+
+
+def _proofread(s, d) -> DataFrame:
+    nodes = S.shred(table(s, d, "learner_sentences"))
+    return L.proofread(S.sentences(nodes), S.words(nodes), S.morphs(nodes))
+
+
+add("d26_proofread", lambda s, d: _proofread(s, d).select("sentence_id", "original", "corrected", F.size("edits").alias("n_edits")))
+add("k05_proofread_m2", lambda s, d: _proofread(s, d).select("sentence_id", M2.block(F.col("original"), F.col("edits")).alias("block")))
+
+# ---- data sets ---------------------------------------------------------------------------------------
+
+_named = lambda s, d: D.split(table(s, d, "kor_lang8").select("pair_id"), "pair_id")
+_NAMED = """WITH a AS (SELECT pair_id, row_number() OVER (ORDER BY md5(pair_id || ':order'), pair_id) AS p, count(*) OVER () AS t FROM kor_lang8)
+SELECT pair_id, CASE WHEN p <= t - ceil(t * 0.3) THEN 'train' WHEN p <= t - ceil(ceil(t * 0.3) * 0.5) THEN 'val' ELSE 'test' END AS split FROM a"""
+add("t01_split", _named, _NAMED)
+add("t01_split_sizes", lambda s, d: _named(s, d).groupBy("split").agg(F.count("*").alias("n")), f"SELECT split, count(*) AS n FROM ({_NAMED}) GROUP BY 1")
+add("o04_sample", lambda s, d: D.sample(table(s, d, "kor_lang8").select("pair_id"), "pair_id"), "SELECT pair_id FROM kor_lang8 ORDER BY md5(pair_id || ':order'), pair_id LIMIT 500")
+add("u02_union_corpora", lambda s, d: D.union(kor=pairs(s, d).select("orig", "cor"), raw=raw_pairs(s, d)).groupBy("corpus").agg(F.count("*").alias("n"), F.sum(F.length("orig")).alias("chars")), f"SELECT 'kor' AS corpus, count(*) AS n, sum(length(orig)) AS chars FROM ({_PAIRS}) UNION ALL SELECT 'raw', count(*), sum(length(original)) FROM lang8_raw WHERE original IS NOT NULL AND corrected IS NOT NULL")
+add("u04_common_tokens", lambda s, d: pairs(s, d).select("pair_id", F.size(F.array_intersect(X.tokens(F.col("orig")), X.tokens(F.col("cor")))).alias("n")), f"SELECT pair_id, len(list_intersect({sql_tokens('orig')}, {sql_tokens('cor')})) AS n FROM ({_PAIRS})")
+_ids = lambda c: F.transform(X.tokens(F.col(c)), lambda w: F.length(w) + 1)
+_IDS = lambda c: f"list_transform({sql_tokens(c)}, lambda w: length(w) + 1)"
+_joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+add("t02_pad", lambda s, d: pairs(s, d).select("pair_id", _joined(D.pad(_ids("orig"), 16)).alias("ids")), f"SELECT pair_id, array_to_string(list_resize({_IDS('orig')}[1:16], 16, 0), ' ') AS ids FROM ({_PAIRS})")
+add("t03_pad_labels", lambda s, d: pairs(s, d).select("pair_id", _joined(D.pad(_ids("cor"), 16, D.IGNORE)).alias("ids")), f"SELECT pair_id, array_to_string(list_resize({_IDS('cor')}[1:16], 16, -100), ' ') AS ids FROM ({_PAIRS})")
+_record = lambda s, d: pairs(s, d).select("pair_id", D.decoder_record(_ids("orig"), _ids("cor"), 16).alias("r"))
+add("t04_decoder_record", lambda s, d: _record(s, d).select("pair_id", *(_joined(F.col(f"r.{c}")).alias(c) for c in ("input_ids", "decoder_input_ids", "labels"))), f"""
+WITH a AS (SELECT pair_id, {_IDS('orig')} AS o, list_append({_IDS('cor')}, 1) AS l FROM ({_PAIRS}))
+SELECT pair_id, array_to_string(list_resize(o[1:16], 16, 0), ' ') AS input_ids, array_to_string(list_resize(list_prepend(0, l[1:-2])[1:16], 16, 0), ' ') AS decoder_input_ids, array_to_string(list_resize(l[1:16], 16, -100), ' ') AS labels FROM a""")
+add("t05_attention_mask", lambda s, d: _record(s, d).select("pair_id", _joined(D.attention_mask(F.col("r.input_ids"))).alias("mask")), f"SELECT pair_id, array_to_string(list_transform(list_resize({_IDS('orig')}[1:16], 16, 0), lambda x: CAST(x <> 0 AS INT)), ' ') AS mask FROM ({_PAIRS})")
+add("t06_unmask", lambda s, d: _record(s, d).select("pair_id", _joined(D.unmask(F.col("r.labels"))).alias("ids")), f"SELECT pair_id, array_to_string(list_resize(list_append({_IDS('cor')}, 1)[1:16], 16, 1), ' ') AS ids FROM ({_PAIRS})")
+add("t07_replace_some", lambda s, d: pairs(s, d).select("pair_id", F.array_join(D.replace_some(X.tokens(F.col("orig")), F.col("pair_id"), {"같이": "가치", "많이": "마니"}), " ").alias("t")))
+add("t08_mask_words", lambda s, d: pairs(s, d).select("pair_id", F.array_join(D.mask_words(X.tokens(F.col("orig")), F.col("pair_id")), " ").alias("t")))
+add("t08_permute_sentences", lambda s, d: pairs(s, d).select("pair_id", F.array_join(D.permute_sentences(F.split("orig", r"(?<=\.) "), F.col("pair_id")), " ").alias("t")))
+add("t08_roll", lambda s, d: pairs(s, d).select("pair_id", F.array_join(D.roll(X.tokens(F.col("orig")), F.col("pair_id")), " ").alias("t")))
+_epochs = lambda s, d: table(s, d, "events").groupBy(F.col("user_id").alias("epoch")).agg(F.round(F.avg("value"), 4).alias("gleu"))
+_EPOCHS = "SELECT user_id AS epoch, round(avg(value), 4) AS gleu FROM events GROUP BY 1"
+add("a15_mean_loss", _epochs, _EPOCHS)
+add("a16_best_epoch", lambda s, d: D.best_so_far(_epochs(s, d)), f"{_EPOCHS} ORDER BY gleu DESC, epoch LIMIT 1")
+add("a17_spacing_errors", lambda s, d: D.spacing_errors(pairs(s, d).select((F.length("orig") - F.length(F.replace("orig", F.lit(" "), F.lit("")))).alias("n_spaces"), F.size(X.tokens(F.col("orig"))).alias("n_groups"))), f"""
+WITH a AS (SELECT length(orig) - length(replace(orig, ' ', '')) AS s, len({sql_tokens('orig')}) AS g FROM ({_PAIRS}))
+SELECT count(*) AS n_sides, count(*) FILTER (s + 1 <> g) AS n_wrong, count(*) FILTER (s + 1 <> g) * 100.0 / count(*) AS percent FROM a""")
+add("a19_max_and_min", lambda s, d: pairs(s, d).groupBy("source").agg(F.max_by("pair_id", F.struct(F.length("orig"), F.col("pair_id"))).alias("longest"), F.min_by("pair_id", F.struct(F.length("orig"), F.col("pair_id"))).alias("shortest")), f"SELECT source, max_by(pair_id, {{'a': length(orig), 'b': pair_id}}) AS longest, min_by(pair_id, {{'a': length(orig), 'b': pair_id}}) AS shortest FROM ({_PAIRS}) GROUP BY 1")
+add("a20_softmax", lambda s, d: pairs(s, d).select("pair_id", F.aggregate(D.softmax(F.transform(_ids("orig"), lambda x: x.cast("double"))), F.lit(0.0), lambda a, x: F.greatest(a, x)).alias("top")).select("pair_id", F.round("top", 6).alias("top")), f"SELECT pair_id, round(coalesce(1 / list_sum(list_transform({_IDS('orig')}, lambda x: exp(x - list_max({_IDS('orig')})))), 0), 6) AS top FROM ({_PAIRS})")
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)

@@ -106,6 +106,9 @@ def parse_block(lines: pa.Array) -> list[pa.Array]:
     """The typed columns of a block in which every record is good; BlockError otherwise."""
     if lines.null_count:
         raise BlockError
+    # cheap signs first, so that a large block with a bad record fails early
+    if pc.min(pc.count_substring(lines, "\t")).as_py() < len(FIELDS) - 1 or pc.any(pc.match_substring(lines, "\ufffd")).as_py():
+        raise BlockError
     found = pc.extract_regex(pc.replace_substring_regex(lines, r"\r$", ""), _LINE)
     if found.null_count:
         raise BlockError
