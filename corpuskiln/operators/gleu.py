@@ -15,7 +15,10 @@ SIDES = ("hyp", "src", "ref")
 
 def gram_counts(rows: DataFrame, *keys: str, column: str, order: int = ORDER) -> DataFrame:
     """Counts of the n-grams of an array of tokens, for n up to ``order``."""
-    each = F.flatten(F.array(*(F.transform(ngrams(F.col(column), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), F.array_join(g, " ").alias("gram"))) for n in range(1, order + 1))))
+    def of(n: int) -> Column:
+        return F.transform(ngrams(F.col(column), n), lambda g: F.struct(F.lit(n).alias("n"), F.array_join(g, " ").alias("gram")))
+
+    each = F.concat(*(of(n) for n in range(1, order + 1)))
     return rows.select(*keys, F.explode(each).alias("g")).select(*keys, "g.*").groupBy(*keys, "n", "gram").agg(F.count("*").alias("cnt"))
 
 

@@ -35,7 +35,8 @@ class Grid:
     """All optimal alignments of two sequences: deletion and insertion cost 1, equal items nothing, and a
     stretch of k items that is a permutation of another costs k - 1 (transposition)."""
 
-    def __init__(self, a: Sequence[str], b: Sequence[str], substitution: Callable[[int, int], float] | None = None) -> None:
+    def __init__(self, a: Sequence[str], b: Sequence[str], substitution: Callable[[int, int, float], float] | None = None) -> None:
+        """``substitution`` gets the places and the most that the cost may be to matter."""
         self.a, self.b = a, b
         n, m = len(a), len(b)
         cost = [[0.0] * (m + 1) for _ in range(n + 1)]
@@ -50,7 +51,9 @@ class Grid:
                 if a[i - 1] == b[j - 1]:
                     cost[i][j], moves[i][j] = cost[i - 1][j - 1], ("M",)
                     continue
-                options = [("D", cost[i - 1][j] + 1), ("I", cost[i][j - 1] + 1), ("S", cost[i - 1][j - 1] + (substitution(i - 1, j - 1) if substitution else 1))]
+                options = [("D", cost[i - 1][j] + 1), ("I", cost[i][j - 1] + 1)]
+                most = min(options[0][1], options[1][1]) - cost[i - 1][j - 1]
+                options.append(("S", cost[i - 1][j - 1] + (substitution(i - 1, j - 1, most) if substitution else 1)))
                 for k in range(2, min(i, j) + 1):
                     # stretches end where the diagonal is free
                     if cost[i - k + 1][j - k + 1] - cost[i - k][j - k] <= 0:
@@ -122,6 +125,9 @@ class Grid:
 @lru_cache(1 << 16)
 def character_cost(a: str, b: str) -> float:
     """Distance of two tokens' characters for each move of one alignment."""
+    if not set(a.lower()) & set(b.lower()):
+        # only substitutions and, for the difference in length, one kind of insertion or deletion
+        return 1.0
     grid = Grid(a, b)
     moves = grid.last_choice()
     return grid.distance / len(moves) if moves else 0.0
@@ -138,20 +144,23 @@ class Lexicon:
     def of(self, token: str) -> list[tuple[str, str]]:
         return self.morphs.get(token) or [(token, "UN")]
 
-    def cost(self, a: str, b: str) -> float:
-        """Cost of putting one token for another, by lemma, parts of speech and characters."""
+    def cost(self, a: str, b: str, most: float = float("inf")) -> float:
+        """Cost of putting one token for another, by lemma, parts of speech and characters.
+
+        Characters are not looked at where the rest is above ``most`` already.
+        """
         x, y = self.lemma.get(a), self.lemma.get(b)
         lemma = NO_LEMMA if x is None or y is None or x[0] != y[0] else 0.0 if x == y else 0.1
         p, q = set(self.of(a)), set(self.of(b))
         pos = 0.0 if p == q else 0.1 if p & q else NO_POS
-        return lemma + pos + character_cost(a, b)
+        return lemma + pos + character_cost(a, b) if lemma + pos <= most else float("inf")
 
 
 NEUTRAL = Lexicon()
 
 
 def align(a: Sequence[str], b: Sequence[str], lexicon: Lexicon = NEUTRAL) -> list[Move]:
-    return Grid(a, b, lambda i, j: lexicon.cost(a[i], b[j])).shortest()
+    return Grid(a, b, lambda i, j, most: lexicon.cost(a[i], b[j], most)).shortest()
 
 
 def _span(name: str, moves: Sequence[Move]) -> Move:

@@ -24,7 +24,10 @@ def prf(hyp: Column, ref: Column, common: Column, alpha: float = 0.5, weight: fl
 def n_counts(pairs: DataFrame, n: int, *keys: str) -> DataFrame:
     """Counts of n-grams of ``hyp`` and ``ref`` and of those in common, for each row of unique ``keys``."""
     rows = pairs.select(*keys, *(ngrams(tokens(rouge_text(F.col(s))), n).alias(s) for s in ("hyp", "ref")))
-    each = F.concat(*(F.transform(s, lambda g, s=s: F.struct(F.array_join(g, " ").alias("g"), F.lit(s).alias("side"))) for s in ("hyp", "ref")))
+    def of(side: str) -> Column:
+        return F.transform(side, lambda g: F.struct(F.array_join(g, " ").alias("g"), F.lit(side).alias("side")))
+
+    each = F.concat(of("hyp"), of("ref"))
     grams = rows.select(*keys, F.explode(each).alias("x")).groupBy(*keys, "x.g").agg(F.count_if(F.col("x.side") == "hyp").alias("h"), F.count_if(F.col("x.side") == "ref").alias("r"))
     common = grams.groupBy(*keys).agg(F.sum(F.least("h", "r")).alias("n_common"))
     sizes = rows.select(*keys, F.size("hyp").cast("long").alias("n_hyp"), F.size("ref").cast("long").alias("n_ref"))

@@ -18,7 +18,7 @@ from corpuskiln.operators import shred as S
 from corpuskiln.sources import learner_xml as XML
 from corpuskiln.sources import m2 as M2
 from corpuskiln.sources import pairs as P
-from corpuskiln.util import table
+from corpuskiln.util import partitions, table
 
 # ---- inputs -----------------------------------------------------------------------------------------
 
@@ -31,13 +31,18 @@ def pairs(s, d) -> DataFrame:
     return table(s, d, "kor_lang8").filter("src is not null and tgt is not null").select("pair_id", F.col("src").alias("orig"), F.col("tgt").alias("cor"), "split", "source")
 
 
+def spread(s, d) -> DataFrame:
+    """The pairs over all cores, for kernels that cost far more than moving a row."""
+    return pairs(s, d).repartition(partitions(s))
+
+
 def raw_pairs(s, d) -> DataFrame:
     return table(s, d, "lang8_raw").filter("original is not null and corrected is not null").select(F.col("original").alias("orig"), F.col("corrected").alias("cor"))
 
 
 def triples(s, d) -> DataFrame:
     """Source, reference and a made-up system output: the source with one particle put for another."""
-    return pairs(s, d).select(F.col("pair_id").alias("sid"), F.col("orig").alias("src"), F.col("cor").alias("ref"), F.replace("orig", F.lit("을"), F.lit("를")).alias("hyp"), "source")
+    return pairs(s, d).repartition(partitions(s)).select(F.col("pair_id").alias("sid"), F.col("orig").alias("src"), F.col("cor").alias("ref"), F.replace("orig", F.lit("을"), F.lit("를")).alias("hyp"), "source")
 
 
 _RAW = "SELECT pair_id, original AS o, corrected AS c FROM lang8_raw"
@@ -158,13 +163,14 @@ UNION ALL SELECT pair_id, orig, cor FROM a WHERE len(o) <= 2""")
 
 add("a01_multiplicity", lambda s, d: C.multiplicity(raw_pairs(s, d)), "SELECT original AS orig, corrected AS cor, count(*) AS n FROM lang8_raw WHERE original IS NOT NULL AND corrected IS NOT NULL GROUP BY 1, 2")
 add("a02_distinct_pairs", lambda s, d: C.distinct_pairs(raw_pairs(s, d)), "SELECT DISTINCT original AS orig, corrected AS cor FROM lang8_raw WHERE original IS NOT NULL AND corrected IS NOT NULL")
-add("a03_label_histogram", lambda s, d: A.histogram(A.annotate(pairs(s, d))))
+add("a03_label_histogram", lambda s, d: A.histogram(A.annotate(spread(s, d))))
 add("a03_source_rollup", lambda s, d: pairs(s, d).rollup("split", "source").agg(F.count("*").alias("n")), f"SELECT split, source, count(*) AS n FROM ({_PAIRS}) GROUP BY ROLLUP (split, source)")
-add("a04_edit_counts", lambda s, d: A.annotate(pairs(s, d)).agg(F.count("*").alias("n_lines"), F.sum(F.size("edits")).alias("n_edits"), F.count_if(F.size("edits") == 0).alias("n_unchanged")))
+add("a04_edit_counts", lambda s, d: A.annotate(spread(s, d)).agg(F.count("*").alias("n_lines"), F.sum(F.size("edits")).alias("n_edits"), F.count_if(F.size("edits") == 0).alias("n_unchanged")))
 
 
 def _grams(c: str, table_: str, keys: str) -> str:
-    return f"SELECT {keys}, n, array_to_string(t[i:i+n-1], ' ') AS gram FROM (SELECT {keys}, {sql_tokens(c)} AS t FROM ({table_})), (SELECT unnest([1,2,3,4]) AS n), LATERAL (SELECT unnest(range(1, len(t) - n + 2)) AS i)"
+    words = f"SELECT {keys}, unnest([1, 2, 3, 4]) AS n, {sql_tokens(c)} AS t FROM ({table_})"
+    return f"SELECT {keys}, n, array_to_string(t[i:i+n-1], ' ') AS gram FROM (SELECT {keys}, n, t, unnest(range(1, len(t) - n + 2)) AS i FROM ({words}))"
 
 
 add("e03_ngram_counts", lambda s, d: G.gram_counts(pairs(s, d).select("pair_id", X.tokens(F.col("orig")).alias("w")), "pair_id", column="w"), f"SELECT pair_id, n, gram, count(*) AS cnt FROM ({_grams('orig', _PAIRS, 'pair_id')}) GROUP BY 1, 2, 3")
@@ -228,7 +234,7 @@ _hyp_ref = lambda s, d: pairs(s, d).select("pair_id", F.col("orig").alias("hyp")
 
 
 def _rouge_sql(n: int) -> str:
-    side = lambda c: f"SELECT pair_id, array_to_string(t[i:i+{n - 1}], ' ') AS g FROM (SELECT pair_id, {sql_tokens(sql_sub(f'lower({c})', X.ROUGE_DROP, ' '))} AS t FROM ({_PAIRS})), LATERAL (SELECT unnest(range(1, len(t) - {n} + 2)) AS i)"
+    side = lambda c: f"SELECT pair_id, array_to_string(t[i:i+{n - 1}], ' ') AS g FROM (SELECT pair_id, t, unnest(range(1, len(t) - {n} + 2)) AS i FROM (SELECT pair_id, {sql_tokens(sql_sub(f'lower({c})', X.ROUGE_DROP, ' '))} AS t FROM ({_PAIRS})))"
     return f"""WITH h AS (SELECT pair_id, g, count(*) AS k FROM ({side('orig')}) GROUP BY ALL), r AS (SELECT pair_id, g, count(*) AS k FROM ({side('cor')}) GROUP BY ALL),
 m AS (SELECT pair_id, sum(least(h.k, r.k)) AS m FROM h JOIN r USING (pair_id, g) GROUP BY 1), hn AS (SELECT pair_id, sum(k) AS n FROM h GROUP BY 1), rn AS (SELECT pair_id, sum(k) AS n FROM r GROUP BY 1),
 x AS (SELECT p.pair_id, coalesce(m.m, 0) / hn.n AS pp, coalesce(m.m, 0) / rn.n AS rr FROM ({_PAIRS}) p LEFT JOIN m USING (pair_id) LEFT JOIN hn USING (pair_id) LEFT JOIN rn USING (pair_id)),
@@ -278,16 +284,16 @@ add("h25_limit_words", lambda s, d: pairs(s, d).select("pair_id", F.array_join(X
 
 # ---- alignment, edits, M2 ----------------------------------------------------------------------------
 
-_annotated = lambda s, d, how="rules": A.annotate(pairs(s, d).select("pair_id", "orig", "cor"), how=how)
+_annotated = lambda s, d, how="rules": A.annotate(spread(s, d).select("pair_id", "orig", "cor"), how=how)
 add("d01_unit_alignment", lambda s, d: table(s, d, "nation").select("n_name", A.unit_alignment("n_name", F.lit("ARGENTINA")).alias("x")).select("n_name", "x.*"))
-add("d02_alignment", lambda s, d: pairs(s, d).select("pair_id", A.alignment("orig", "cor").alias("moves")).select("pair_id", F.posexplode("moves").alias("no", "m")).select("pair_id", "no", "m.*"))
+add("d02_alignment", lambda s, d: spread(s, d).select("pair_id", A.alignment("orig", "cor").alias("moves")).select("pair_id", F.posexplode("moves").alias("no", "m")).select("pair_id", "no", "m.*"))
 add("d06_typed_edits", lambda s, d: A.exploded(_annotated(s, d)))
 add("d07_edits_split", lambda s, d: A.exploded(_annotated(s, d, "split")))
 add("d07_edits_equal", lambda s, d: A.exploded(_annotated(s, d, "equal")))
 add("d07_edits_all", lambda s, d: A.exploded(_annotated(s, d, "all")))
-add("w01_runs_of_moves", lambda s, d: pairs(s, d).select("pair_id", A.alignment("orig", "cor").alias("m")).select("pair_id", F.explode(A.runs(F.col("m"))).alias("r")).select("pair_id", "r.*"))
-add("w02_runs_of_edits", lambda s, d: pairs(s, d).select("pair_id", A.alignment("orig", "cor").alias("m")).select("pair_id", F.explode(A.runs(F.col("m"), "edit")).alias("r")).select("pair_id", "r.*"))
-add("f20_not_matching", lambda s, d: pairs(s, d).select("pair_id", F.size(F.filter(A.alignment("orig", "cor"), lambda m: m["op"] != "M")).alias("n_edits")))
+add("w01_runs_of_moves", lambda s, d: spread(s, d).select("pair_id", A.alignment("orig", "cor").alias("m")).select("pair_id", F.explode(A.runs(F.col("m"))).alias("r")).select("pair_id", "r.*"))
+add("w02_runs_of_edits", lambda s, d: spread(s, d).select("pair_id", A.alignment("orig", "cor").alias("m")).select("pair_id", F.explode(A.runs(F.col("m"), "edit")).alias("r")).select("pair_id", "r.*"))
+add("f20_not_matching", lambda s, d: spread(s, d).select("pair_id", F.size(F.filter(A.alignment("orig", "cor"), lambda m: m["op"] != "M")).alias("n_edits")))
 
 
 def _tags(s, d) -> DataFrame:
@@ -304,8 +310,8 @@ def _lexicon(s, d) -> DataFrame:
     return parts.groupBy(F.array_join(F.transform("morphs", lambda x: x["m"]), "").alias("token")).agg(F.min("morphs").alias("morphs"))
 
 
-add("j07_lexicon_types", lambda s, d: A.histogram(A.annotate(pairs(s, d).select("pair_id", "orig", "cor"), pos=_lexicon(s, d))))
-add("d09_spelling_types", lambda s, d: A.histogram(A.annotate(pairs(s, d).select("pair_id", "orig", "cor"), spelling=pairs(s, d).select(F.explode(X.split_tokens(F.col("orig"))).alias("token")).distinct().select("token", F.array(F.replace("token", F.lit("에소"), F.lit("에서"))).alias("suggestions")))))
+add("j07_lexicon_types", lambda s, d: A.histogram(A.annotate(spread(s, d).select("pair_id", "orig", "cor"), pos=_lexicon(s, d))))
+add("d09_spelling_types", lambda s, d: A.histogram(A.annotate(spread(s, d).select("pair_id", "orig", "cor"), spelling=pairs(s, d).select(F.explode(X.split_tokens(F.col("orig"))).alias("token")).distinct().select("token", F.array(F.replace("token", F.lit("에소"), F.lit("에서"))).alias("suggestions")))))
 
 _m2 = lambda s, d: _annotated(s, d).select("pair_id", "orig", F.regexp_replace(M2.block(F.col("orig"), F.col("edits")), "\n$", "").alias("block"))
 add("k01_m2_blocks", lambda s, d: _m2(s, d).select("pair_id", "block"))
