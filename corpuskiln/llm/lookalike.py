@@ -196,7 +196,9 @@ def found(rows: DataFrame) -> DataFrame:
     brought to the script that their own letters imply.  Null and empty texts take no part.
     """
     texts = normalized(rows).filter("raw <> ''").mapInArrow(_look, "pair_id long, field string, raw string, look string")
-    named = texts.select("field", "pair_id", F.xxhash64("raw").alias("raw"), F.xxhash64("look").alias("look"), F.xxhash64(F.lit("second"), "look").alias("look2")).distinct()
+    named = texts.select("field", "pair_id", F.xxhash64("raw").alias("raw"), F.xxhash64("look").alias("look"), F.xxhash64(F.lit("second"), "look").alias("look2"))
+    # one exchange serves the grouping and the join below
+    named = named.repartition("field", "look", "look2").distinct()
     several = named.groupBy("field", "look", "look2").agg(F.min("raw").alias("least"), F.max("raw").alias("most")).filter("least <> most").select("field", "look", "look2")
     held = named.join(several, ["field", "look", "look2"], "left_semi")
     a, b = (held.select("field", "look", "look2", F.col("raw").alias(f"raw_{x}"), F.col("pair_id").alias(f"id_{x}")) for x in "ab")

@@ -47,5 +47,33 @@ QUERIES = {
 }
 
 
+_KEY = "lower(regexp_replace({}, '[^\\p{{L}}\\p{{N}}]+', '', 'g'))"
+_KEYED = f"""
+k AS (SELECT pair_id, split, {_KEY.format("src")} AS a, {_KEY.format("tgt")} AS b FROM kor_lang8 WHERE src IS NOT NULL AND tgt IS NOT NULL),
+c AS (SELECT pair_id, split, least(a, b) AS ka, greatest(a, b) AS kb FROM k)"""
+_SIMILAR = f"""{_KEYED},
+g AS (SELECT DISTINCT pair_id, gram FROM (SELECT pair_id, ka[i:i+2] AS gram FROM (SELECT pair_id, ka, unnest(range(1, length(ka) - 1)) AS i FROM c)
+  UNION ALL SELECT pair_id, kb[i:i+2] FROM (SELECT pair_id, kb, unnest(range(1, length(kb) - 1)) AS i FROM c))),
+n AS (SELECT pair_id, count(*) AS n FROM g GROUP BY 1),
+o AS (SELECT x.pair_id AS id_a, y.pair_id AS id_b, count(*) AS o FROM g x JOIN g y ON x.gram = y.gram AND x.pair_id < y.pair_id GROUP BY 1, 2),
+s AS (SELECT id_a, id_b FROM o JOIN n p ON p.pair_id = id_a JOIN n q ON q.pair_id = id_b WHERE 5 * o >= 3 * (p.n + q.n - o)),
+e AS (SELECT x.pair_id AS id_a, y.pair_id AS id_b FROM c x JOIN c y ON x.ka = y.ka AND x.kb = y.kb AND x.pair_id < y.pair_id)"""
+
+ORACLE = {
+    "p3_found": f"""WITH {_SIMILAR} SELECT id_a, id_b FROM (SELECT * FROM s UNION SELECT * FROM e) JOIN c p ON p.pair_id = id_a JOIN c q ON q.pair_id = id_b
+WHERE (p.split = 'train' AND q.split IN ('val', 'test')) OR (q.split = 'train' AND p.split IN ('val', 'test'))""",
+    "p6_found": f"WITH {_KEYED} SELECT * FROM (SELECT min(pair_id) OVER (PARTITION BY ka, kb) AS keep_id, pair_id FROM c) WHERE keep_id <> pair_id",
+    "p6_copies": f"WITH {_KEYED} SELECT min(pair_id) AS keep_id, count(*) AS n_copies FROM c GROUP BY ka, kb",
+    "p7_found": f"WITH {_SIMILAR} SELECT * FROM s EXCEPT SELECT * FROM e",
+    "p10_found": """
+WITH w AS (SELECT doc_id, i, text[i:i+99] AS t FROM (SELECT doc_id, text, unnest(range(1, length(text) - 98)) AS i FROM documents WHERE length(text) >= 100)),
+s AS (SELECT t FROM w GROUP BY t HAVING min(doc_id) <> max(doc_id)),
+h AS (SELECT DISTINCT doc_id, i FROM w SEMI JOIN s USING (t)),
+r AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM h),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r)
+SELECT doc_id, CAST(min(i) - 1 AS INT) AS span_start, CAST(max(i) + 99 AS INT) AS span_end FROM g GROUP BY doc_id, run""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
