@@ -220,8 +220,8 @@ def classify(edit: Move, a: Sequence[str], b: Sequence[str], lexicon: Lexicon =
         return "DELETION" if name == "D" else "INSERTION"
     one = a1 - a0 <= 1 and b1 - b0 <= 1
     if name == "S" and one and lexicon.spelling is not None and len(a[a0]) == len(b[b0]):
-        suggested = lexicon.spelling.get(a[a0], [])
-        if not suggested or (a[a0] not in suggested and b[b0] in suggested):
+        suggested = lexicon.spelling.get(a[a0])  # an empty list differs from a token that is not listed
+        if suggested is not None and (not suggested or a[a0] not in suggested and b[b0] in suggested):
             return "SPELL"
     if not one:
         return "UNCLASSIFIED"
