@@ -141,10 +141,10 @@ def kernel(t: Fraction):
                 # tokens before the first common one are not shared, so places bound what is
                 good = (p.post[x] != p.post[y]) & (np.minimum(size[x] - p.place[x], size[y] - p.place[y]) >= need) & (bits <= size[x] + size[y] - 2 * need)
                 x, y = p.post[x[good]], p.post[y[good]]
-                out.append(np.unique(np.minimum(x, y) * len(p.cls) + np.maximum(x, y)))
+                out.append(J.distinct(np.minimum(x, y) * len(p.cls) + np.maximum(x, y)))
         if not out:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        found = np.unique(np.concatenate(out))
+        found = J.distinct(np.concatenate(out))
         return found // len(p.cls), found % len(p.cls)
 
     return run

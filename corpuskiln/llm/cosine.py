@@ -72,8 +72,8 @@ def kernel(t: Fraction):
             bits = np.bitwise_count(p.sketch[p.post[x]] ^ p.sketch[p.post[y]]).sum(axis=1)
             good = (least >= need) & (both - bits >= 2 * need)
             x, y = p.post[x[good]], p.post[y[good]]
-            out.append(np.unique(np.minimum(x, y) * len(p.cls) + np.maximum(x, y)))
-        found = np.unique(np.concatenate(out)) if out else np.empty(0, np.int64)
+            out.append(J.distinct(np.minimum(x, y) * len(p.cls) + np.maximum(x, y)))
+        found = J.distinct(np.concatenate(out)) if out else np.empty(0, np.int64)
         return found // len(p.cls), found % len(p.cls)
 
     return run
