@@ -2,8 +2,8 @@
 
 Record blocks go through a columnar path: one regular expression splits the whole block, Arrow casts
 type its columns, and any violation anywhere fails the block.  A failing block is halved again and
-again until single bad records are isolated; only those meet the strict, character-wise parser, which
-either accepts them (an unusual but valid record) or names the reason.
+again until bad records stand among a few; only those meet the strict, character-wise parser, which
+either accepts a record or names the reason.
 """
 
 from __future__ import annotations
@@ -38,6 +38,10 @@ OUT = pa.schema(
 _DDL = "line_id long, file_name string, line_no int, reason string, pair_id long, posted_at timestamp_ntz, l1 string, original string, corrected string"
 
 
+#: Blocks of so few records are not halved further but meet the strict parser record by record.
+LEAF = 8
+
+
 class BlockError(ValueError):
     """A block holds at least one record that the columnar path does not take."""
 
@@ -130,16 +134,17 @@ def parse_block(lines: pa.Array) -> list[pa.Array]:
 
 
 def _blocks(lines: pa.Array, start: int) -> Iterator[tuple[int, int, str | None, list | None]]:
-    """(start, length, reason, columns) of each stretch; bad records come singly."""
+    """(start, length, reason, columns) of good stretches, (start, 1, reason, values) of single records."""
     try:
         if len(lines):
             yield start, len(lines), None, parse_block(lines)
         return
     except BlockError:
         pass
-    if len(lines) == 1:
-        reason, values = diagnose(lines[0].as_py())
-        yield start, 1, reason, [pa.array([v], OUT.field(f).type) for f, v in zip(FIELDS, values)]
+    if len(lines) <= LEAF:
+        for i, line in enumerate(lines.to_pylist()):
+            reason, values = diagnose(line)
+            yield start + i, 1, reason, values
         return
     half = len(lines) // 2
     yield from _blocks(lines[:half], start)
@@ -149,15 +154,28 @@ def _blocks(lines: pa.Array, start: int) -> Iterator[tuple[int, int, str | None,
 def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts: list[list[pa.Array]] = [[] for _ in FIELDS]
-        reasons: list[pa.Array] = []
+        reasons: list[str | None] = []
+        singles: list[list] = []
+
+        def close(singles: list[list], parts: list[list[pa.Array]] = parts) -> list[list]:
+            """Put the values of single records into columns."""
+            for f, part, values in zip(FIELDS, parts, zip(*singles)):
+                part.append(pa.array(values, OUT.field(f).type))
+            return []
+
         line = batch.column("line")
         for _, length, reason, columns in _blocks(line.cast(pa.string()), 0):
-            reasons.append(pa.array([reason] * length, pa.string()))
-            for part, column in zip(parts, columns):
-                part.append(column)
+            reasons += [reason] * length
+            if isinstance(columns[0], pa.Array):
+                singles = close(singles)
+                for part, column in zip(parts, columns):
+                    part.append(column)
+            else:
+                singles.append(columns)
+        close(singles)
         if not reasons:
             continue
-        arrays = [batch.column("line_id"), batch.column("file_name"), batch.column("line_no"), pa.concat_arrays(reasons), *(pa.concat_arrays(p) for p in parts)]
+        arrays = [batch.column("line_id"), batch.column("file_name"), batch.column("line_no"), pa.array(reasons, pa.string()), *(pa.concat_arrays(p) for p in parts)]
         yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, OUT)], schema=OUT)
 
 
