@@ -23,7 +23,8 @@ def prf(hyp: Column, ref: Column, common: Column, alpha: float = 0.5, weight: fl
 
 def n_counts(pairs: DataFrame, n: int, *keys: str) -> DataFrame:
     """Counts of n-grams of ``hyp`` and ``ref`` and of those in common, for each row of unique ``keys``."""
-    rows = pairs.select(*keys, *(ngrams(tokens(rouge_text(F.col(s))), n).alias(s) for s in ("hyp", "ref")))
+    words = pairs.select(*keys, *(tokens(rouge_text(F.col(s))).alias(s) for s in ("hyp", "ref")))
+    rows = words.select(*keys, *(ngrams(F.col(s), n).alias(s) for s in ("hyp", "ref")))
     def of(side: str) -> Column:
         return F.transform(side, lambda g: F.struct(F.array_join(g, " ").alias("g"), F.lit(side).alias("side")))
 
