@@ -120,3 +120,12 @@ def runs(moves: Column, same: str = "op") -> Column:
     start = F.filter(F.sequence(F.lit(1), F.size(moves)), lambda i: (i == 1) | (kind(F.element_at(moves, i)) != kind(F.element_at(moves, F.greatest(i - 1, F.lit(1))))))
     ends = lambda k: F.when(k < F.size(start), F.element_at(start, F.least(k + 1, F.size(start))) - 1).otherwise(F.size(moves))
     return F.when(F.size(moves) > 0, F.transform(start, lambda i, k: F.struct(kind(F.element_at(moves, i)).alias("op"), F.element_at(moves, i)["s0"].alias("s0"), F.element_at(moves, ends(k + 1))["s1"].alias("s1"), F.element_at(moves, i)["t0"].alias("t0"), F.element_at(moves, ends(k + 1))["t1"].alias("t1"))))
+
+
+_MORPHS = T.ArrayType(T.StructType([T.StructField("m", T.StringType()), T.StructField("pos", T.StringType())]))
+
+
+@F.pandas_udf(T.ArrayType(_MORPHS))
+def grouped_morphs(words: pd.Series, morphs: pd.Series) -> pd.Series:
+    """The morphemes of a sentence (structs m, pos) by its words, one group for each word."""
+    return pd.Series([[[{"m": m, "pos": p} for m, p in g] for g in K.morph_groups([w or "" for w in ws], [(x["m"] or "", x["pos"]) for x in ms])] for ws, ms in zip(words, morphs)], dtype=object)

@@ -310,6 +310,15 @@ def _lexicon(s, d) -> DataFrame:
     return parts.groupBy(F.array_join(F.transform("morphs", lambda x: x["m"]), "").alias("token")).agg(F.min("morphs").alias("morphs"))
 
 
+def _morph_groups(s, d) -> DataFrame:
+    nodes = S.shred(table(s, d, "learner_sentences"))
+    key = ["sentence_id", "body_key"]
+    words = S.words(nodes).filter("section = 'M'").groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "w"))), lambda x: x["w"]).alias("words"))
+    morphs = S.morphs(nodes).filter("section = 'M'").groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "morph_no", F.col("text").alias("m"), "pos"))), lambda x: F.struct(x["m"].alias("m"), x["pos"].alias("pos"))).alias("morphs"))
+    return words.join(morphs, key).select("sentence_id", F.posexplode(A.grouped_morphs("words", "morphs")).alias("word_no", "g")).select("sentence_id", "word_no", F.size("g").alias("n_morphs"))
+
+
+add("d13_morph_groups", _morph_groups)
 add("j07_lexicon_types", lambda s, d: A.histogram(A.annotate(spread(s, d).select("pair_id", "orig", "cor"), pos=_lexicon(s, d))))
 add("d09_spelling_types", lambda s, d: A.histogram(A.annotate(spread(s, d).select("pair_id", "orig", "cor"), spelling=pairs(s, d).select(F.explode(X.split_tokens(F.col("orig"))).alias("token")).distinct().select("token", F.array(F.replace("token", F.lit("에소"), F.lit("에서"))).alias("suggestions")))))
 
