@@ -169,13 +169,13 @@ def found(pairs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     return both.filter("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, root): the smallest node of each connected component, by alternating stars.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node of each connected component, by alternating stars until nothing changes.
 
     ``edges`` has the columns ``a`` and ``b``.  Each round is cut by a checkpoint in the shared folder.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -59,6 +59,20 @@ class Source:
     n_blocks: int
 
 
+def apportion(n: int, among: np.ndarray) -> np.ndarray:
+    """n parts (at most the sum) taken from whole numbers in proportion to them."""
+    total = int(among.sum())
+    if not n or not total:
+        return np.zeros(len(among), np.int64)
+    exact = among * (n / total)
+    out = np.minimum(np.floor(exact).astype(np.int64), among)
+    while (lack := n - int(out.sum())) > 0:
+        order = np.argsort(out - exact, kind="stable")
+        free = order[(among - out)[order] > 0][:lack]
+        out[free] += 1
+    return out
+
+
 def draw(sources: list[Source], total: int | None = None, seed: int = SEED) -> np.ndarray:
     """Slots (shards, sources): multinomial draws whose column sums meet the weights within the caps."""
     weight = np.array([s.weight for s in sources])
@@ -82,12 +96,12 @@ def draw(sources: list[Source], total: int | None = None, seed: int = SEED) -> n
     for i in range(len(sources)):
         surplus = int(counts[:, i].sum() - wanted[i])
         if surplus > 0:
-            counts[:, i] -= rng.multivariate_hypergeometric(counts[:, i], surplus, method="marginals")
+            counts[:, i] -= apportion(surplus, counts[:, i])
     lack = wanted - counts.sum(axis=0)
     free = sizes - counts.sum(axis=1)
     for i in np.flatnonzero(lack > 0):
         n = min(int(lack[i]), int(free.sum()))
-        take = rng.multivariate_hypergeometric(free, n, method="marginals")
+        take = apportion(n, free)
         counts[:, i] += take
         free -= take
     return counts

@@ -22,6 +22,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,9 @@ CHUNK = 1 << 16
 #: Postings that one partition should hold.
 PER_PARTITION = 700_000
 
+#: Records and characters that are taken apart at a time.
+ROWS, CHARACTERS = 8192, 1 << 22
+
 U = np.uint64
 _M1, _M2, _M3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
@@ -59,6 +63,17 @@ def code_points(texts: list[str]) -> np.ndarray:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ROWS records and, but for single longer ones, CHARACTERS characters."""
+    upto = np.cumsum([pc.add(pc.utf8_length(batch.column("ka")), pc.utf8_length(batch.column("kb"))).to_numpy(zero_copy_only=False)]) if batch.num_rows else np.empty(0, np.int64)
+    at = 0
+    while at < batch.num_rows:
+        stop = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHARACTERS, side="right"))
+        stop = min(max(stop, at + 1), at + ROWS)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def tokens(batch: pa.RecordBatch) -> np.ndarray:
     """Sorted distinct record << 40 | 40-bit token over a batch of up to 2**14 records."""
     texts = [x for pair in zip(batch.column("ka").to_pylist(), batch.column("kb").to_pylist()) for x in pair]
@@ -76,8 +91,8 @@ def tokens(batch: pa.RecordBatch) -> np.ndarray:
 def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = np.zeros(1 << SLOT_BITS, np.int64)
     for batch in batches:
-        for at in range(0, batch.num_rows, 8192):
-            t = tokens(batch.slice(at, 8192))
+        for some in slices(batch):
+            t = tokens(some)
             table += np.bincount(((t & U((1 << 40) - 1)) >> U(40 - SLOT_BITS)).astype(np.int64), minlength=len(table))
     for i, part in enumerate(np.split(table, 64)):
         yield pa.RecordBatch.from_pydict({"part": pa.array([i], pa.int32()), "counts": pa.array([part.astype(np.uint32 if table.max(initial=0) < 2**32 else U).tobytes()], pa.binary()), "wide": pa.array([bool(table.max(initial=0) >= 2**32)])})
@@ -135,8 +150,7 @@ def _emit(freq: np.ndarray, prefixes: Prefixes, n_parts: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 8192):
-                batch = whole.slice(at, 8192)
+            for batch in slices(whole):
                 yield from emit(batch)
 
     def emit(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
