@@ -35,7 +35,7 @@ KEY = 56
 LONGEST = 24
 ROUNDS = 8
 #: Characters parsed at a time.
-CHARACTERS = 1 << 18
+CHARACTERS = 1 << 17
 #: Entries that one partition of hashes should hold.
 PER_PARTITION = 1_500_000
 
@@ -52,38 +52,34 @@ def parse(text: np.ndarray) -> tuple[np.ndarray, ...]:
     n = len(text)
     first = np.ones(n, bool)
     first[1:] = (text[1:] != text[:-1]) | (text[1:] == 0)
-    start = np.flatnonzero(first)
-    end = np.append(start[1:], n)
+    start = np.flatnonzero(first).astype(np.int32)  # a symbol ends where the next one starts
+    end = np.append(start[1:], np.int32(n))
     run = (end - start).astype(U)
     name = mix(text[start])
     long = run > 1
     name[long] = mix(name[long] ^ mix(run[long]))
     dead = text[start] == 0
     name[dead] = 0
+    # both bounds never fall from one symbol to the next, in any round
     lo = np.where(dead, start, np.maximum(start - 1, 0))
-    hi = np.where(dead, end, np.minimum(end + 1, n))
+    hi = np.where(dead, end, np.minimum(end + 1, n)).astype(np.int32)
     for r in range(ROUNDS):
-        left = (mix(name ^ U(r + 1)) & U(0x20000)) != 0
-        dead = name == 0
-        right = ~left & ~dead
-        left &= ~dead
-        length = end - start
-        pair = left[:-1] & right[1:] & (length[:-1] + length[1:] <= LONGEST)
-        at = np.flatnonzero(pair)
+        alive = name != 0
+        left = ((mix(name ^ U(r + 1)) & U(0x20000)) != 0) & alive
+        right = alive & ~left
+        reach = np.empty(len(start), np.int32)  # where the symbol after the next starts
+        reach[:-2], reach[-2:] = start[2:], n
+        pair = left[:-1] & right[1:] & (reach[:-1] - start[:-1] <= LONGEST)
         # a left symbol depends on its right neighbour, a right one on its left neighbour
-        new_lo, new_hi = lo.copy(), hi.copy()
-        on = np.flatnonzero(left[:-1])
-        new_lo[on] = np.minimum(lo[on], lo[on + 1])
-        new_hi[on] = np.maximum(hi[on], hi[on + 1])
-        on = np.flatnonzero(right[1:]) + 1
-        new_lo[on] = np.minimum(lo[on], lo[on - 1])
-        new_hi[on] = np.maximum(hi[on], hi[on - 1])
+        hi[:-1] = np.where(left[:-1], hi[1:], hi[:-1])
+        lo[1:] = np.where(right[1:], lo[:-1], lo[1:])
+        at = np.flatnonzero(pair)
         name[at] = mix(name[at] * _PAIR + mix(name[at + 1]))
-        end[at] = end[at + 1]
+        hi[at] = hi[at + 1]
         keep = np.ones(len(name), bool)
-        keep[at + 1] = False
-        name, start, end, lo, hi = name[keep], start[keep], end[keep], new_lo[keep], new_hi[keep]
-    return name, start, end, lo, hi
+        keep[1:] = ~pair
+        name, start, lo, hi = name[keep], start[keep], lo[keep], hi[keep]
+    return name, start, np.append(start[1:], np.int32(n)), lo, hi
 
 
 def keys(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
