@@ -123,6 +123,13 @@ def limit_words(sentences: Column, most: int) -> Column:
     return F.filter(cut, lambda s: s != "")
 
 
+def token_offsets(sentences: Column) -> Column:
+    """How many tokens stand before each sentence of a list."""
+    sizes = F.transform(sentences, lambda s: F.size(tokens(s)))
+    start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(sizes, start, lambda a, n: F.struct((a["sum"] + n).alias("sum"), F.array_append(a["out"], a["sum"]).alias("out")), lambda a: a["out"])
+
+
 def limit_characters(text: Column, most: int) -> Column:
     return F.substring(text, 1, most)
 

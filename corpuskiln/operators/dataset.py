@@ -105,6 +105,12 @@ def replace_some(words: Column, key: Column, sounds: dict[str, str], share: floa
     return F.transform(words, lambda w, i: F.when(chance(key, i) < share, F.coalesce(F.try_element_at(table, w), w)).otherwise(w))
 
 
+def number_range(start: float, end: float, step: float) -> Column:
+    """Numbers from start up to but without end."""
+    n = max(0, math.ceil((end - start) / step - 1e-9))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(start) + i * step) if n else F.array().cast("array<double>")
+
+
 def steps(n_rows: int, batch: int, devices: int = 1, epochs: int = 1, warmup: float = 0.1, accumulate: int = 1) -> dict[str, int]:
     """Training steps, warm-up steps and how often to log."""
     per = max(1, math.ceil(n_rows / max(1, batch * devices * accumulate)))

@@ -400,5 +400,17 @@ add("a19_max_and_min", lambda s, d: pairs(s, d).groupBy("source").agg(F.max_by("
 add("a20_softmax", lambda s, d: pairs(s, d).select("pair_id", F.aggregate(D.softmax(F.transform(_ids("orig"), lambda x: x.cast("double"))), F.lit(0.0), lambda a, x: F.greatest(a, x)).alias("top")).select("pair_id", F.round("top", 6).alias("top")), f"SELECT pair_id, round(coalesce(1 / list_sum(list_transform({_IDS('orig')}, lambda x: exp(x - list_max({_IDS('orig')})))), 0), 6) AS top FROM ({_PAIRS})")
 
 
+add("u01_concatenate", lambda s, d: pairs(s, d).select(F.col("orig").alias("t")).unionByName(pairs(s, d).select(F.col("cor").alias("t"))), f"SELECT orig AS t FROM ({_PAIRS}) UNION ALL SELECT cor FROM ({_PAIRS})")
+add("u03_token_union", lambda s, d: pairs(s, d).select("pair_id", F.size(F.array_union(X.tokens(F.col("orig")), X.tokens(F.col("cor")))).alias("n"), F.arrays_overlap(X.tokens(F.col("orig")), X.tokens(F.col("cor"))).alias("overlap")), f"SELECT pair_id, len(list_distinct(list_concat({sql_tokens('orig')}, {sql_tokens('cor')}))) AS n, list_has_any({sql_tokens('orig')}, {sql_tokens('cor')}) AS overlap FROM ({_PAIRS})")
+add("o01_sorted_tokens", lambda s, d: pairs(s, d).select("pair_id", F.array_join(F.array_sort(F.array_distinct(X.tokens(F.col("orig")))), " ").alias("t")), f"SELECT pair_id, array_to_string(list_sort(list_distinct({sql_tokens('orig')})), ' ') AS t FROM ({_PAIRS})")
+add("e05_number_range", lambda s, d: table(s, d, "nation").select("n_nationkey", F.explode(D.number_range(0.0, 1.0, 0.25)).alias("x")), "SELECT n_nationkey, unnest([0.0, 0.25, 0.5, 0.75])::DOUBLE AS x FROM nation")
+add("w04_token_offsets", lambda s, d: pairs(s, d).select("pair_id", F.posexplode(X.token_offsets(F.split("orig", r"\. ", -1))).alias("no", "at")), f"""
+WITH a AS (SELECT pair_id, string_split(orig, '. ') AS t FROM ({_PAIRS})), b AS (SELECT pair_id, t, unnest(range(1, len(t) + 1)) AS i FROM a), c AS (SELECT pair_id, CAST(i - 1 AS INT) AS no, len({sql_tokens('t[i]')}) AS n FROM b)
+SELECT pair_id, no, coalesce(sum(n) OVER (PARTITION BY pair_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM c""")
+add("k09_spacing_report", lambda s, d: P.spacing_report(pairs(s, d)), f"""
+WITH a AS (SELECT pair_id, orig, length(orig) - length(replace(orig, ' ', '')) + 1 AS n_words, len({sql_tokens('orig')}) AS n_groups FROM ({_PAIRS})) SELECT pair_id, orig, n_words, n_groups FROM a WHERE n_words <> n_groups""")
+add("h26_rouge_weighted", lambda s, d: _rounded(R.n_counts(_hyp_ref(s, d), 1, "pair_id").select("pair_id", *R.prf(F.col("n_hyp"), F.col("n_ref"), F.col("n_common"), alpha=0.7, weight=1.2)), "pair_id"))
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskiln.functions.text import strip
+from corpuskiln.functions.text import strip, tokens
 
 
 def two_fields(lines: DataFrame, keep_empty: bool = True) -> DataFrame:
@@ -83,5 +83,7 @@ def suggestions_report(suggestions: DataFrame) -> DataFrame:
     return suggestions.select(F.concat(F.rpad("token", 15, " "), F.lit(" "), F.array_join("suggestions", ", ")).alias("value"))
 
 
-def document_order(c: Column) -> Column:
-    return F.row_number().over(Window.orderBy(c))
+def spacing_report(pairs: DataFrame) -> DataFrame:
+    """Originals whose words between spaces are not as many as their tokens."""
+    n_words = F.length("orig") - F.length(F.replace("orig", F.lit(" "), F.lit(""))) + 1
+    return pairs.select("pair_id", "orig", n_words.alias("n_words"), F.size(tokens(F.col("orig"))).alias("n_groups")).filter("n_words <> n_groups")

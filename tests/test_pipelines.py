@@ -62,3 +62,38 @@ def test_entry_without_training_queries():
 
     names = entry.queries()
     assert {"p1_found", "p2_found", "gleu_corpus"} <= set(names) and set(entry.oracle_sql()) <= set(names)
+
+
+def test_sinks(spark, tmp_path):
+    from corpuskiln.operators import annotate as A
+    from corpuskiln.sources import m2
+
+    pairs = spark.createDataFrame([(1, " 안 녕 ", "안녕"), (2, "가", "가")], "pair_id long, orig string, cor string")
+    P.write_with_header(pairs, str(tmp_path / "h"))
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "h"), sep="\t", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).collect()][0][1] == "안녕"
+    P.write_sides(pairs, str(tmp_path / "s"))
+    assert {r.value for r in spark.read.text(str(tmp_path / "s_original")).collect()} == {"안 녕", "가"}
+    P.write_generations(spark.createDataFrame([(1, "val", "a\nb", "r", "s")], "epoch int, mode string, hyp string, ref string, src string"), str(tmp_path / "g"))
+    assert spark.read.text(str(tmp_path / "g" / "hyp")).first().value == "ab"
+    clean = spark.createDataFrame([(1, "안 녕", "안녕"), (2, "가", "가")], "pair_id long, orig string, cor string")
+    m2.write(A.annotate(clean), str(tmp_path / "m"))
+    (tmp_path / "all.m2").write_text("\n".join(p.read_text() for p in sorted((tmp_path / "m").glob("part*"))))
+    assert {(r.source, len([e for e in r.edits if e.start >= 0])) for r in m2.read(spark, str(tmp_path / "all.m2")).collect()} == {("안 녕", 1), ("가", 0)}
+    (tmp_path / "n.csv").write_text("WS\t3\nNOUN\t4\n")
+    assert P.read_label_counts(spark, str(tmp_path / "n.csv")).agg(F.sum("n")).first()[0] == 7
+    sgml = '<DOC nid="3"><TEXT><P>\nOne.\n</P></TEXT><ANNOTATION><MISTAKE start_par="0" start_off="1" end_par="0" end_off="2"><TYPE>X</TYPE><CORRECTION>y</CORRECTION></MISTAKE></ANNOTATION></DOC>'
+    (tmp_path / "d.sgml").write_text(sgml)
+    doc = XML.read_sgml(spark, str(tmp_path / "d.sgml")).first()
+    assert doc.nid == "3" and doc.paragraphs == ["One."] and (doc.mistakes[0].start_off, doc.mistakes[0].type, doc.mistakes[0].correction) == (1, "X", "y")
+
+
+def test_reorder_and_types(spark):
+    from corpuskiln.operators import annotate as A
+    from corpuskiln.sources import m2
+
+    blocks = spark.createDataFrame([(0, "a", "old"), (1, "a ", "new"), (2, "b", "x")], "pos int, source string, block string")
+    probe = spark.createDataFrame([(0, "b"), (1, "a"), (2, "c")], "pos int, source string")
+    assert [(r.block, r.found) for r in m2.reorder(probe, blocks).orderBy("pos").collect()] == [("x", True), ("new", True), (None, False)]
+    kinds = spark.createDataFrame([(["NOUN"],), (["ENDING", "VERB"],), (["NOUN", "PARTICLE"],), (["ADJECTIVE", "ENDING"],), (["ENDING", "PARTICLE"],)], "k array<string>")
+    assert [r[0] for r in kinds.select(A.composite_type(F.col("k"))).collect()] == ["NOUN", "CONJUGATION", "UNCLASSIFIED", "CONJUGATION", "UNCLASSIFIED"]
+    assert D.steps(100, 8) == {"per_epoch": 13, "total": 13, "warmup": 1, "log_every": 13}
