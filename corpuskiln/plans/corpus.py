@@ -130,7 +130,7 @@ _LINES = "SELECT line_id, string_split(line, chr(9)) AS f FROM lang8_lines"
 add("s01_pair_lines", lambda s, d: P.two_fields(table(s, d, "lang8_lines").select("line_id", F.col("line").alias("value"))).select("line_id", "orig", "cor"), f"SELECT line_id, f[1] AS orig, f[2] AS cor FROM ({_LINES}) WHERE len(f) = 2")
 add("s02_pair_lines_not_empty", lambda s, d: P.two_fields(pairs(s, d).select("pair_id", F.concat_ws("\t", "orig", "cor").alias("value")), keep_empty=False), f"SELECT pair_id, orig, cor FROM ({_PAIRS}) WHERE orig <> '' AND cor <> '' AND NOT contains(orig, chr(9)) AND NOT contains(cor, chr(9))")
 add("s05_paragraphs", lambda s, d: P.paragraphs(table(s, d, "documents").select("doc_id", F.col("text").alias("value"))).groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.sum(F.length("block")).alias("n_chars")),
-    "SELECT doc_id, count(*) AS n_blocks, sum(length(b)) AS n_chars FROM (SELECT doc_id, regexp_replace(unnest(string_split_regex(text, '\\n[ \\t]*\\n+')), '^\\n+|\\n+$', '', 'g') AS b FROM documents) WHERE b <> '' GROUP BY doc_id")
+    "SELECT doc_id, count(*) AS n_blocks, CAST(sum(length(b)) AS BIGINT) AS n_chars FROM (SELECT doc_id, regexp_replace(unnest(string_split_regex(text, '\\n[ \\t]*\\n+')), '^\\n+|\\n+$', '', 'g') AS b FROM documents) WHERE b <> '' GROUP BY doc_id")
 add("s07_xml_sentences", lambda s, d: XML.from_text(table(s, d, "learner_sentences").filter("fmt = 'xml'")).select("sentence_id", F.col("sentence.s").alias("s"), F.size("sentence.MorphemeAnnotations.word").alias("n_words")))
 add("s08_xml_with_errors", lambda s, d: XML.with_errors(XML.from_text(table(s, d, "learner_sentences").filter("fmt = 'xml'")).select("sentence_id", "sentence.*")).select("sentence_id", F.size("LearnerErrorAnnotations.word").alias("n_errors")))
 add("s11_sgml", lambda s, d: XML.parse_sgml(table(s, d, "documents").filter("text is not null").select(F.concat(F.lit('<DOC nid="'), F.col("doc_id").cast("string"), F.lit('"><TEXT><P>'), F.col("title"), F.lit("</P></TEXT></DOC>")).alias("doc"))).select("nid", F.size("paragraphs").alias("n_paragraphs")))
@@ -194,8 +194,8 @@ def _overlap(s, d) -> DataFrame:
 
 
 _SIDES = f"o AS (SELECT pair_id, n, gram, count(*) AS cnt FROM ({_grams('orig', _PAIRS, 'pair_id')}) GROUP BY ALL), c AS (SELECT pair_id, n, gram, count(*) AS cnt FROM ({_grams('cor', _PAIRS, 'pair_id')}) GROUP BY ALL)"
-add("j05_multiset_intersection", _overlap, f"WITH {_SIDES} SELECT pair_id, n, sum(least(o.cnt, c.cnt)) AS common FROM o JOIN c USING (pair_id, n, gram) GROUP BY 1, 2")
-add("j06_ngram_anti_join", lambda s, d: (lambda a, b: a.join(b, ["pair_id", "n", "gram"], "left_anti").groupBy("pair_id", "n").agg(F.sum("cnt").alias("only_source")))(*_two(s, d)), f"WITH {_SIDES} SELECT pair_id, n, sum(o.cnt) AS only_source FROM o ANTI JOIN c USING (pair_id, n, gram) GROUP BY 1, 2")
+add("j05_multiset_intersection", _overlap, f"WITH {_SIDES} SELECT pair_id, n, CAST(sum(least(o.cnt, c.cnt)) AS BIGINT) AS common FROM o JOIN c USING (pair_id, n, gram) GROUP BY 1, 2")
+add("j06_ngram_anti_join", lambda s, d: (lambda a, b: a.join(b, ["pair_id", "n", "gram"], "left_anti").groupBy("pair_id", "n").agg(F.sum("cnt").alias("only_source")))(*_two(s, d)), f"WITH {_SIDES} SELECT pair_id, n, CAST(sum(o.cnt) AS BIGINT) AS only_source FROM o ANTI JOIN c USING (pair_id, n, gram) GROUP BY 1, 2")
 
 # ---- GLEU --------------------------------------------------------------------------------------------
 
@@ -353,7 +353,7 @@ def _multi(s, d) -> DataFrame:
 
 
 add("maxmatch_multi", _multi)
-add("w03_running_counts", lambda s, d: pairs(s, d).groupBy("source").agg(F.count("*").alias("n")).select("source", F.sum("n").over(Window.orderBy("source")).alias("upto")), f"SELECT source, sum(n) OVER (ORDER BY source NULLS FIRST) AS upto FROM (SELECT source, count(*) AS n FROM ({_PAIRS}) GROUP BY 1)")
+add("w03_running_counts", lambda s, d: pairs(s, d).groupBy("source").agg(F.count("*").alias("n")).select("source", F.sum("n").over(Window.orderBy("source")).alias("upto")), f"SELECT source, CAST(sum(n) OVER (ORDER BY source NULLS FIRST) AS BIGINT) AS upto FROM (SELECT source, count(*) AS n FROM ({_PAIRS}) GROUP BY 1)")
 
 
 def _proofread(s, d) -> DataFrame:
@@ -372,7 +372,7 @@ SELECT pair_id, CASE WHEN p <= t - ceil(t * 0.3) THEN 'train' WHEN p <= t - ceil
 add("t01_split", _named, _NAMED)
 add("t01_split_sizes", lambda s, d: _named(s, d).groupBy("split").agg(F.count("*").alias("n")), f"SELECT split, count(*) AS n FROM ({_NAMED}) GROUP BY 1")
 add("o04_sample", lambda s, d: D.sample(table(s, d, "kor_lang8").select("pair_id"), "pair_id"), "SELECT pair_id FROM kor_lang8 ORDER BY md5(pair_id || ':order'), pair_id LIMIT 500")
-add("u02_union_corpora", lambda s, d: D.union(kor=pairs(s, d).select("orig", "cor"), raw=raw_pairs(s, d)).groupBy("corpus").agg(F.count("*").alias("n"), F.sum(F.length("orig")).alias("chars")), f"SELECT 'kor' AS corpus, count(*) AS n, sum(length(orig)) AS chars FROM ({_PAIRS}) UNION ALL SELECT 'raw', count(*), sum(length(original)) FROM lang8_raw WHERE original IS NOT NULL AND corrected IS NOT NULL")
+add("u02_union_corpora", lambda s, d: D.union(kor=pairs(s, d).select("orig", "cor"), raw=raw_pairs(s, d)).groupBy("corpus").agg(F.count("*").alias("n"), F.sum(F.length("orig")).alias("chars")), f"SELECT 'kor' AS corpus, count(*) AS n, CAST(sum(length(orig)) AS BIGINT) AS chars FROM ({_PAIRS}) UNION ALL SELECT 'raw', count(*), CAST(sum(length(original)) AS BIGINT) FROM lang8_raw WHERE original IS NOT NULL AND corrected IS NOT NULL")
 add("u04_common_tokens", lambda s, d: pairs(s, d).select("pair_id", F.size(F.array_intersect(X.tokens(F.col("orig")), X.tokens(F.col("cor")))).alias("n")), f"SELECT pair_id, len(list_intersect({sql_tokens('orig')}, {sql_tokens('cor')})) AS n FROM ({_PAIRS})")
 _ids = lambda c: F.transform(X.tokens(F.col(c)), lambda w: F.length(w) + 1)
 _IDS = lambda c: f"list_transform({sql_tokens(c)}, lambda w: length(w) + 1)"
@@ -393,9 +393,9 @@ _epochs = lambda s, d: table(s, d, "events").groupBy(F.col("user_id").alias("epo
 _EPOCHS = "SELECT user_id AS epoch, round(avg(value), 4) AS gleu FROM events GROUP BY 1"
 add("a15_mean_loss", _epochs, _EPOCHS)
 add("a16_best_epoch", lambda s, d: D.best_so_far(_epochs(s, d)), f"{_EPOCHS} ORDER BY gleu DESC, epoch LIMIT 1")
-add("a17_spacing_errors", lambda s, d: D.spacing_errors(pairs(s, d).select((F.length("orig") - F.length(F.replace("orig", F.lit(" "), F.lit("")))).alias("n_spaces"), F.size(X.tokens(F.col("orig"))).alias("n_groups"))), f"""
+add("a17_spacing_errors", lambda s, d: D.spacing_errors(pairs(s, d).select((F.length("orig") - F.length(F.replace("orig", F.lit(" "), F.lit("")))).alias("n_spaces"), F.size(X.tokens(F.col("orig"))).alias("n_groups"))).withColumn("percent", F.round("percent", 6)), f"""
 WITH a AS (SELECT length(orig) - length(replace(orig, ' ', '')) AS s, len({sql_tokens('orig')}) AS g FROM ({_PAIRS}))
-SELECT count(*) AS n_sides, count(*) FILTER (s + 1 <> g) AS n_wrong, count(*) FILTER (s + 1 <> g) * 100.0 / count(*) AS percent FROM a""")
+SELECT count(*) AS n_sides, count(*) FILTER (s + 1 <> g) AS n_wrong, round(count(*) FILTER (s + 1 <> g) * 100.0 / count(*), 6) AS percent FROM a""")
 add("a19_max_and_min", lambda s, d: pairs(s, d).groupBy("source").agg(F.max_by("pair_id", F.struct(F.length("orig"), F.col("pair_id"))).alias("longest"), F.min_by("pair_id", F.struct(F.length("orig"), F.col("pair_id"))).alias("shortest")), f"SELECT source, max_by(pair_id, {{'a': length(orig), 'b': pair_id}}) AS longest, min_by(pair_id, {{'a': length(orig), 'b': pair_id}}) AS shortest FROM ({_PAIRS}) GROUP BY 1")
 add("a20_softmax", lambda s, d: pairs(s, d).select("pair_id", F.aggregate(D.softmax(F.transform(_ids("orig"), lambda x: x.cast("double"))), F.lit(0.0), lambda a, x: F.greatest(a, x)).alias("top")).select("pair_id", F.round("top", 6).alias("top")), f"SELECT pair_id, round(coalesce(1 / list_sum(list_transform({_IDS('orig')}, lambda x: exp(x - list_max({_IDS('orig')})))), 0), 6) AS top FROM ({_PAIRS})")
 
@@ -406,7 +406,7 @@ add("o01_sorted_tokens", lambda s, d: pairs(s, d).select("pair_id", F.array_join
 add("e05_number_range", lambda s, d: table(s, d, "nation").select("n_nationkey", F.explode(D.number_range(0.0, 1.0, 0.25)).alias("x")), "SELECT n_nationkey, unnest([0.0, 0.25, 0.5, 0.75])::DOUBLE AS x FROM nation")
 add("w04_token_offsets", lambda s, d: pairs(s, d).select("pair_id", F.posexplode(X.token_offsets(F.split("orig", r"\. ", -1))).alias("no", "at")), f"""
 WITH a AS (SELECT pair_id, string_split(orig, '. ') AS t FROM ({_PAIRS})), b AS (SELECT pair_id, t, unnest(range(1, len(t) + 1)) AS i FROM a), c AS (SELECT pair_id, CAST(i - 1 AS INT) AS no, len({sql_tokens('t[i]')}) AS n FROM b)
-SELECT pair_id, no, coalesce(sum(n) OVER (PARTITION BY pair_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM c""")
+SELECT pair_id, no, CAST(coalesce(sum(n) OVER (PARTITION BY pair_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS at FROM c""")
 add("k09_spacing_report", lambda s, d: P.spacing_report(pairs(s, d)), f"""
 WITH a AS (SELECT pair_id, orig, length(orig) - length(replace(orig, ' ', '')) + 1 AS n_words, len({sql_tokens('orig')}) AS n_groups FROM ({_PAIRS})) SELECT pair_id, orig, n_words, n_groups FROM a WHERE n_words <> n_groups""")
 add("h26_rouge_weighted", lambda s, d: _rounded(R.n_counts(_hyp_ref(s, d), 1, "pair_id").select("pair_id", *R.prf(F.col("n_hyp"), F.col("n_ref"), F.col("n_common"), alpha=0.7, weight=1.2)), "pair_id"))
