@@ -27,5 +27,34 @@ QUERIES = {
     "p2_morphs": lambda s, d: S.morphs(_nodes(s, d)),
 }
 
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_FIELD = r'(?:"(?:[^"]|"")*"|[^"\t][^\t]*|)'
+_FIVE = "^" + r"\t".join([f"({_FIELD})"] * 5) + "$"
+_WHITE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*"
+_BAD = r"[\x00-\x08\x0a-\x1f\x7f-\x{9f}\x{fffd}]"
+
+
+def _value(i: int) -> str:
+    """Field i of a line, without its quotes."""
+    v = f"regexp_extract(t, {_sql(_FIVE)}, {i}, 's')"
+    return f"CASE WHEN {v} LIKE '\"%' THEN replace({v}[2:-2], '\"\"', '\"') ELSE {v} END AS v{i}"
+
+
+_P1 = rf"""
+WITH a AS (SELECT line_id, regexp_replace(coalesce(line, ''), '\r$', '') AS t FROM lang8_lines),
+b AS (SELECT line_id, regexp_full_match(t, {_sql(_FIELD + r"(?:\t" + _FIELD + ")*")}, 's') AS quoted, regexp_full_match(t, {_sql(_FIVE)}, 's') AS five, {', '.join(_value(i) for i in (1, 2, 4, 5))} FROM a),
+c AS (SELECT *, NOT regexp_full_match(v1, '0*[1-9][0-9]*') OR NOT regexp_full_match(v2, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} [0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}') OR try_cast(v2 AS TIMESTAMP) IS NULL
+  OR regexp_full_match(v4, {_sql(_WHITE)}) OR regexp_full_match(v5, {_sql(_WHITE)}) OR regexp_matches(v4, {_sql(_BAD)}) OR regexp_matches(v5, {_sql(_BAD)}) AS wrong FROM b)
+SELECT line_id, CASE WHEN NOT quoted THEN 'quoting' WHEN NOT five THEN 'column_count' ELSE 'value' END AS reason FROM c WHERE NOT quoted OR NOT five OR wrong"""
+
+ORACLE = {
+    "p1_found": _P1,
+    "p1_report": f"SELECT file_name, coalesce(reason, 'loaded') AS outcome, count(*) AS n_lines FROM lang8_lines LEFT JOIN ({_P1}) USING (line_id) GROUP BY 1, 2",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
