@@ -204,12 +204,21 @@ def distance(a, b, cost: dict | None = None) -> float:
     return row[-1]
 
 
+def trimmed(a: str, b: str) -> tuple[str, str]:
+    """Two texts without the beginning and end they share; with insertions and deletions of cost 1 the distance stays."""
+    n = min(len(a), len(b))
+    i = next((k for k in range(n) if a[k] != b[k]), n)
+    j = next((k for k in range(n - i) if a[-1 - k] != b[-1 - k]), n - i)
+    return a[i : len(a) - j], b[i : len(b) - j]
+
+
 def letter_distances(first: list[str], second: list[str], scale: float = 1.0) -> np.ndarray:
     """Levenshtein distances of pairs of texts whose substitutions cost the distance of their letters.
 
     All pairs advance together, cell by cell, sorted by length so that few cells are idle.
     """
     out = np.zeros(len(first))
+    first, second = map(list, zip(*map(trimmed, first, second))) if len(first) else ([], [])
     order = sorted(range(len(first)), key=lambda i: (len(first[i]), len(second[i])))
     for at in range(0, len(order), 512):
         some = order[at : at + 512]

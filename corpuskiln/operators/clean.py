@@ -70,21 +70,25 @@ STEPS: list[tuple[str, Callable[[DataFrame], DataFrame]]] = [
     ("sentences", split_sentences),
     ("different", lambda d: d.filter("orig <> cor")),
     ("final", lambda d: where_both(d, lambda c: ~c.contains("\t") & (F.length(c) >= 2))),
+    ("far_apart", far_apart),
 ]
 
 
-def clean(pairs: DataFrame, upto: str = "final") -> DataFrame:
-    """``orig`` and ``cor`` after the steps up to the one named; null sides drop out at the first filter."""
+def clean(pairs: DataFrame, upto: str = "final", limit: float = 10, keep: str = "gt") -> DataFrame:
+    """``orig`` and ``cor`` after the steps up to the one named; null sides drop out at the first filter.
+
+    The whole funnel is ``upto="far_apart"``, whose ``limit`` and ``keep`` are those of that step.
+    """
     for name, step in STEPS:
-        pairs = step(pairs)
+        pairs = far_apart(pairs, limit, keep) if name == "far_apart" else step(pairs)
         if name == upto:
             break
     return pairs
 
 
-def funnel(pairs: DataFrame) -> DataFrame:
+def funnel(pairs: DataFrame, limit: float = 10, keep: str = "gt") -> DataFrame:
     """How many pairs each step leaves."""
     out = pairs.agg(F.count("*").alias("n_pairs")).select(F.lit(0).alias("step_no"), F.lit("loaded").alias("step"), "n_pairs")
     for i, (name, _) in enumerate(STEPS):
-        out = out.union(clean(pairs, name).agg(F.count("*").alias("n")).select(F.lit(i + 1), F.lit(name), "n"))
+        out = out.union(clean(pairs, name, limit, keep).agg(F.count("*").alias("n")).select(F.lit(i + 1), F.lit(name), "n"))
     return out

@@ -138,7 +138,7 @@ add("j01_zip_lines", lambda s, d: P.zip_lines(table(s, d, "kor_lang8").select(F.
     f"SELECT pair_id AS pos, orig, cor FROM ({_PAIRS}) WHERE NOT (orig = '' AND cor = '')")
 add("j02_zip_three", lambda s, d: P.zip_three(*(triples(s, d).select(F.col("sid").alias("pos"), F.col(c).alias("value")) for c in ("hyp", "src", "ref"))), f"SELECT sid AS pos, hyp, src, ref FROM ({_TRIPLES})")
 add("a18_first_of_equals", lambda s, d: pairs(s, d).groupBy("orig").agg(F.min("pair_id").alias("pos")), f"SELECT orig, min(pair_id) AS pos FROM ({_PAIRS}) GROUP BY orig")
-add("clean_pairs", lambda s, d: C.clean(raw_pairs(s, d)))
+add("clean_pairs", lambda s, d: C.clean(raw_pairs(s, d), "far_apart"))
 add("clean_funnel", lambda s, d: C.funnel(raw_pairs(s, d)))
 add("clean_far_apart", lambda s, d: C.far_apart(pairs(s, d).select("pair_id", "orig", "cor")).select("pair_id"))
 
