@@ -58,8 +58,8 @@ _HAN_RUN = re.compile(r"[\p{Han}，,、：:“”0-9]{8,}")
 _HAN = re.compile(r"\p{Han}")
 # Korean in plain characters, and the Latin words that may make it more than that
 _PLAIN = plain_re.compile("[ -~\n가-힣ㄱ-ㅎㅏ-ㅣ‘’“”…·]*")
-_LATIN_CLAUSE = plain_re.compile("(?:[A-Za-z][A-Za-z']*[^A-Za-z가-힣ㄱ-ㅣ]+){3}[A-Za-z]")
-_LATIN = plain_re.compile("[A-Za-z]")
+_LATIN_WORD = plain_re.compile("[A-Za-z]+")
+_LATIN = plain_re.compile("[A-Za-z'’]")
 _HANGUL = plain_re.compile("[가-힣ㄱ-ㅣ]")
 
 
@@ -221,6 +221,12 @@ def _apart(segment: Segment, text: str) -> list[Segment]:
     return made or [segment]
 
 
+def _latin_clause(text: str) -> bool:
+    """Whether a clause of a plain text has as many Latin words, over all its runs, as count."""
+    least = LEAST["latin"]
+    return len(_LATIN_WORD.findall(text)) >= least and any(len(_LATIN_WORD.findall(text, a, b)) >= least for a, b in clauses(text))
+
+
 class Identifier:
     """Finds the languages of texts with fitted machines."""
 
@@ -278,7 +284,7 @@ class Identifier:
         return self._split(segment, text) if segment.family in self.machines else [segment]
 
     def languages(self, text: str) -> list[str]:
-        if _HANGUL.search(text) and _PLAIN.fullmatch(text) and not _LATIN_CLAUSE.search(text) and len(_LATIN.findall(text)) < 2 * len(_HANGUL.findall(text)):
+        if _HANGUL.search(text) and _PLAIN.fullmatch(text) and not _latin_clause(text) and len(_LATIN.findall(text)) < 2 * len(_HANGUL.findall(text)):
             return ["ko"]
         return sorted({s.lang for s in self.segments(prepared(text))})
 
