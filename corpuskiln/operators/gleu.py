@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from corpuskiln.functions.text import ngrams, tokens
 
 ORDER = 4
 SIDES = ("hyp", "src", "ref")
+#: Draws of references, as many as the reference makes by default.
+ITERATIONS = 500
 
 
 def gram_counts(rows: DataFrame, *keys: str, column: str, order: int = ORDER) -> DataFrame:
@@ -84,12 +87,14 @@ def drawn_references(n_sentences: int, n_refs: int, iterations: int) -> list[tup
     return out
 
 
-def multi_reference(stats: DataFrame, draws: DataFrame) -> DataFrame:
+def multi_reference(stats: DataFrame, drawn: Callable[[Column, Column], Column], iterations: int = ITERATIONS) -> DataFrame:
     """Mean, deviation and 95 % interval of corpus GLEU over draws of references.
 
-    ``stats`` has one row for each ``sid`` and ``ref_no``, made once; ``draws`` has ``iteration``, ``sid``, ``ref_no``.
+    ``stats`` has one row for each ``sid`` and ``ref_no``, made once; ``drawn`` gives the ``ref_no`` of a
+    ``sid`` and an iteration.  Each row is summed into the iterations that draw it, so no draw is moved.
     """
-    each = corpus(draws.join(stats, ["sid", "ref_no"]), "iteration")
+    every = stats.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    each = corpus(every.filter(F.col("ref_no") == drawn(F.col("sid"), F.col("iteration"))), "iteration")
     out = each.agg(F.avg("gleu").alias("mean"), F.stddev_pop("gleu").alias("std"), F.count("*").alias("n"))
     half = 1.959963984540054 * F.col("std")
     return out.select("mean", F.when(F.col("n") > 1, F.col("std")).alias("std"), F.when(F.col("n") > 1, F.col("mean") - half).alias("low"), F.when(F.col("n") > 1, F.col("mean") + half).alias("high"))

@@ -218,12 +218,12 @@ add("gleu_by_source", lambda s, d: G.corpus(G.statistics(triples(s, d), ("sid",
 add("gleu_sentences", lambda s, d: G.sentences(_stats(s, d)).select("sid", F.round("gleu", 6).alias("gleu")), _STATS + f"SELECT sid, round({_SMOOTH}, 6) AS gleu FROM st")
 
 
-def _multi_gleu(s, d) -> DataFrame:
+def _multi_gleu(s, d, iterations: int = G.ITERATIONS) -> DataFrame:
     """Two references for each sentence; the draw of an iteration is a hash of the sentence."""
     rows = triples(s, d).select("sid", "src", "hyp", F.posexplode(F.array("ref", "src")).alias("ref_no", "ref"))
     stats = G.statistics(rows, ("sid", "ref_no"))
-    draws = triples(s, d).select("sid", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("iteration")).withColumn("ref_no", (F.ascii(F.substring(F.md5(F.concat_ws(":", "sid", "iteration")), 1, 1)) % 2).cast("int"))
-    return G.multi_reference(stats, draws).select(*(F.round(c, 6).alias(c) for c in ("mean", "std", "low", "high")))
+    drawn = lambda sid, i: (F.ascii(F.substring(F.md5(F.concat_ws(":", sid, i)), 1, 1)) % 2).cast("int")
+    return G.multi_reference(stats, drawn, iterations).select(*(F.round(c, 6).alias(c) for c in ("mean", "std", "low", "high")))
 
 
 add("gleu_multi_reference", _multi_gleu)
