@@ -43,11 +43,11 @@ def _exceeds(counter: list[np.ndarray], radius: np.ndarray) -> np.ndarray:
 
 def planes(sketch: np.ndarray) -> np.ndarray:
     """Bit planes (blocks, bits) of sketches (rows, words), 64 rows to a block."""
-    rows, bits = len(sketch), sketch.shape[1] * 64
+    rows, bits = len(sketch), J.SKETCH_BITS
     out = np.empty((-(-rows // 64), bits), U)
     for at in range(0, len(out), 1024):
         some = sketch[at * 64 : (at + 1024) * 64]
-        flat = np.unpackbits(some.view(np.uint8), axis=1, bitorder="little")
+        flat = np.unpackbits(some.view(np.uint8), axis=1, bitorder="little")[:, :bits]
         if len(flat) % 64:
             flat = np.concatenate([flat, np.zeros((64 - len(flat) % 64, bits), np.uint8)])
         lanes = np.packbits(flat.reshape(-1, 64, bits), axis=1, bitorder="little")  # (blocks, 8, bits)
@@ -72,10 +72,10 @@ def compare(plane: np.ndarray, block: np.ndarray, query: np.ndarray, lanes: np.n
         carry, counter[2] = _csa(counter[2], four_a, four_b)
         for j in range(3, len(counter)):
             counter[j], carry = counter[j] ^ carry, counter[j] & carry
-        if (k + 8) % 32 == 0 or k + 8 == bits:
+        if (k + 8) % 32 == 0 or k + 8 >= bits:
             lanes = lanes & ~_exceeds(counter, radius)
             stay = lanes != 0
-            if k + 8 == bits:
+            if k + 8 >= bits:
                 result[live] = lanes
             elif not stay.all():
                 live, block, query, lanes, radius = live[stay], block[stay], query[stay], lanes[stay], radius[stay]
@@ -100,15 +100,15 @@ def kernel(t: Fraction):
     share = t / (1 + t)  # common tokens that a pair needs, of the sum of both sizes
 
     def run(p: J.Postings) -> tuple[np.ndarray, np.ndarray]:
-        size = p.size[p.post]
+        size = p.size
         is_index = p.place < indexed(size)
         lane = np.flatnonzero(is_index)
-        base = int(p.size.max()) + 2
+        base = int(size.max()) + 2
         rank = p.token[lane] * base + size[lane]
         low = -(-size * t.numerator // t.denominator)
         first = np.searchsorted(rank, p.token * base + low)
         last = np.searchsorted(rank, p.token * base + size, side="right")
-        plane = planes(p.sketch[p.post[lane]])
+        plane = planes(p.sketch[lane])
         # a query with the blocks that its lanes lie in
         reach = np.where(last > first, (np.maximum(last, 1) - 1) // 64 - first // 64 + 1, 0)
         out: list[np.ndarray] = []
@@ -129,7 +129,7 @@ def kernel(t: Fraction):
                 lanes = (_ALL << a.astype(U)) & (_ALL >> (64 - b).astype(U))
                 nearest = size[lane[block * 64 + b - 1]]
                 radius = np.minimum((size[q] + nearest) * (share.denominator - 2 * share.numerator) // share.denominator, plane.shape[1]).astype(U)
-                left = compare(plane, block, p.sketch[p.post[q]], lanes, radius)
+                left = compare(plane, block, p.sketch[q], lanes, radius)
                 some = np.flatnonzero(left)
                 if not len(some):
                     continue
@@ -137,24 +137,20 @@ def kernel(t: Fraction):
                 row, col = np.nonzero(hit)
                 x, y = q[some[row]], lane[block[some[row]] * 64 + col]
                 need = -(-(size[x] + size[y]) * share.numerator // share.denominator)
-                bits = np.bitwise_count(p.sketch[p.post[x]] ^ p.sketch[p.post[y]]).sum(axis=1)
+                bits = np.bitwise_count(p.sketch[x] ^ p.sketch[y]).sum(axis=1)
                 # tokens before the first common one are not shared, so places bound what is
-                good = (p.post[x] != p.post[y]) & (np.minimum(size[x] - p.place[x], size[y] - p.place[y]) >= need) & (bits <= size[x] + size[y] - 2 * need)
-                x, y = p.post[x[good]], p.post[y[good]]
-                out.append(J.distinct(np.minimum(x, y) * len(p.cls) + np.maximum(x, y)))
-        if not out:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        found = J.distinct(np.concatenate(out))
-        return found // len(p.cls), found % len(p.cls)
+                good = (x != y) & (np.minimum(size[x] - p.place[x], size[y] - p.place[y]) >= need) & (bits <= size[x] + size[y] - 2 * need)
+                out.append(J.hits(p, x[good], y[good]))
+        return J.united(p, out)
 
     return run
 
 
-def similar_classes(pairs: DataFrame, threshold: Fraction = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(rows with their class, pairs of similar classes a < b with their similarity)."""
-    rows = J.classed(pairs)
-    close = J.candidates(rows.withColumn("flag", F.lit(0)), prefixes(threshold), kernel(threshold))
-    return rows, J.verify(close, rows, threshold)
+def similar_classes(pairs: DataFrame, threshold: Fraction = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with the names of their class, classes, pairs of similar classes with their similarity)."""
+    rows = J.named(pairs).withColumn("flag", F.lit(0))
+    made = J.classes(rows)
+    return rows, made, J.verify(J.candidates(rows, made, prefixes(threshold), kernel(threshold)), made, threshold)
 
 
 def found(pairs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
@@ -163,12 +159,21 @@ def found(pairs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     Rows with a null ``src`` or ``tgt`` take no part; a record without any three-character substring is
     similar to none.  Repeated rows of one id give one pair.  Other columns are ignored.
     """
-    rows, close = similar_classes(pairs, threshold)
-    member = rows.select("cls", "pair_id")
-    both = close.select("a", "b").join(member.select(F.col("cls").alias("a"), F.col("pair_id").alias("x")), "a").join(member.select(F.col("cls").alias("b"), F.col("pair_id").alias("y")), "b")
+    rows, _, close = similar_classes(pairs, threshold)
+    both = J.members(close, rows, rows, ["cls", "cls2"])
     return both.filter("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
+def links(pairs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """Pairs of similar classes, each named by the least id of its rows, with their rows and similarity.
+
+    ``p6_found`` names the rows of a class, so nothing is lost against ``found``, and a record's copies
+    are not multiplied.
+    """
+    _, _, close = similar_classes(pairs, threshold)
+    return close.select("rep_a", "rep_b", "n_a", "n_b", "similarity")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each connected component, by alternating stars until nothing changes.
 
@@ -192,10 +197,10 @@ def components(edges: DataFrame) -> DataFrame:
 def groups(pairs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     """One row for each record: ``pair_id``, ``group_id`` (the smallest id that a chain of copies and
     similar records reaches) and ``n_links``, the number of similar texts.  Null records take no part."""
-    rows, close = similar_classes(pairs, threshold)
-    close = cut(close.select("a", "b"))
-    links = close.select(F.col("a").alias("cls")).union(close.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
-    root = components(close).withColumnRenamed("node", "cls")
-    named = rows.select("pair_id", "cls").join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    first = named.groupBy("root").agg(F.min("pair_id").alias("group_id"))
-    return named.join(first, "root").join(links, "cls", "left").select("pair_id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows, made, close = similar_classes(pairs, threshold)
+    close = cut(close.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+    n_links = close.select(F.col("a").alias("rep")).union(close.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
+    root = components(close).withColumnRenamed("node", "rep")
+    # the least id of a component is the least of its classes' least ids
+    placed = made.select("cls", "cls2", "rep").join(root, "rep", "left").join(n_links, "rep", "left").select("cls", "cls2", F.coalesce("root", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows.select("pair_id", "cls", "cls2").join(placed, ["cls", "cls2"]).select("pair_id", "group_id", "n_links")

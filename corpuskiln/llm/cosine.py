@@ -43,18 +43,19 @@ def kernel(t: Fraction):
     share = t / (1 + t)
 
     def run(p: J.Postings) -> tuple[np.ndarray, np.ndarray]:
-        size, flag = p.size[p.post], p.flag[p.post]
-        target, query = np.flatnonzero(flag & TRAIN), np.flatnonzero(flag & EVAL)
+        size = p.size
+        target, query = np.flatnonzero(p.flag & TRAIN), np.flatnonzero(p.flag & EVAL)
+        out: list[np.ndarray] = []
         if not len(target) or not len(query):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        base = int(p.size.max()) + 2
+            return J.united(p, out)
+        base = int(size.max()) + 2
         rank = p.token[target] * base + size[target]
         n = size[query]
         first = np.searchsorted(rank, p.token[query] * base + -(-n * t.numerator // t.denominator))
         last = np.searchsorted(rank, p.token[query] * base + np.minimum(n * t.denominator // t.numerator, base - 1), side="right")
         reach = np.maximum(last - first, 0)
         upto = np.cumsum(reach)
-        out, total, at = [], int(upto[-1]), 0
+        total, at = int(upto[-1]), 0
         while at < total:  # meetings are numbered; those of one query may fall into several strides
             stop = min(total, at + STRIDE)
             number = np.arange(at, stop)
@@ -65,27 +66,37 @@ def kernel(t: Fraction):
             rest_x, rest_y = size[x] - p.place[x], size[y] - p.place[y]
             product = size[x] * size[y] * c2.numerator
             least = np.minimum(rest_x, rest_y)
-            good = (rest_x * rest_y * c2.denominator >= product) & (least * least * c2.denominator >= product) & (p.post[x] != p.post[y])
+            good = (rest_x * rest_y * c2.denominator >= product) & (least * least * c2.denominator >= product) & (x != y)
             x, y, least = x[good], y[good], least[good]
             both = size[x] + size[y]
             need = -(-both * share.numerator // share.denominator)
-            bits = np.bitwise_count(p.sketch[p.post[x]] ^ p.sketch[p.post[y]]).sum(axis=1)
+            bits = np.bitwise_count(p.sketch[x] ^ p.sketch[y]).sum(axis=1)
             good = (least >= need) & (both - bits >= 2 * need)
-            x, y = p.post[x[good]], p.post[y[good]]
-            out.append(J.distinct(np.minimum(x, y) * len(p.cls) + np.maximum(x, y)))
-        found = J.distinct(np.concatenate(out)) if out else np.empty(0, np.int64)
-        return found // len(p.cls), found % len(p.cls)
+            out.append(J.hits(p, x[good], y[good]))
+        return J.united(p, out)
 
     return run
 
 
-def overlaps(pairs: DataFrame, threshold: Fraction = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(rows of the splits with their class and side, links of similar classes in both directions)."""
+def overlaps(pairs: DataFrame, threshold: Fraction = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows of the splits with the names of their class, classes, pairs of similar classes)."""
     split = F.when(F.col("split") == "train", TRAIN).when(F.col("split").isin("val", "test"), EVAL)
-    rows = J.classed(pairs.withColumn("flag", split).filter("flag is not null"), "flag", "split", "source")
-    close = J.verify(J.candidates(rows, prefixes(threshold), kernel(threshold)), rows, threshold)
-    ends = F.explode(F.array(F.struct(F.col("a").alias("eval_cls"), F.col("b").alias("train_cls")), F.struct(F.col("b").alias("eval_cls"), F.col("a").alias("train_cls"))))
-    return rows, close.select(ends.alias("e"), "cosine", "similarity").select("e.*", "cosine", "similarity")
+    rows = J.named(pairs.withColumn("flag", split).filter("flag is not null"), "flag", "split", "source")
+    made = J.classes(rows)
+    return rows, made, J.verify(J.candidates(rows, made, prefixes(threshold), kernel(threshold)), made, threshold)
+
+
+_KEY = ["cls", "cls2"]
+
+
+def directed(made: DataFrame, close: DataFrame, *more: str) -> DataFrame:
+    """Links from a class with rows in train (``_a``) to one with rows in val or test (``_b``), a class
+    that has both linked to itself; with the numbers of these rows."""
+    names = ("cls", "cls2", "rep")
+    link = lambda a, b: F.struct(*(F.col(f"{c}{x}").alias(f"{c}_{y}") for x, y in ((a, "a"), (b, "b")) for c in names), F.col(f"n{a}").alias("n_a"), F.col(f"n2{b}").alias("n_b"))
+    near = close.select(F.explode(F.array(link("_a", "_b"), link("_b", "_a"))).alias("l"), *more).select("l.*", *more)
+    same = made.filter("n > 0 and n2 > 0").select(link("", "").alias("l"), *(F.lit(1.0).alias(c) for c in more)).select("l.*", *more)
+    return same.unionByName(near.filter("n_a > 0 and n_b > 0"))
 
 
 def found(pairs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
@@ -93,12 +104,16 @@ def found(pairs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
 
     Rows of other or null splits and rows with a null ``src`` or ``tgt`` take no part.
     """
-    rows, links = overlaps(pairs, threshold)
-    train = rows.filter(F.col("flag") == TRAIN).select(F.col("cls").alias("train_cls"), F.col("pair_id").alias("x"))
-    held = rows.filter(F.col("flag") == EVAL).select(F.col("cls").alias("eval_cls"), F.col("pair_id").alias("y"))
-    same = train.join(held, F.col("train_cls") == F.col("eval_cls")).select("x", "y")
-    near = links.select("eval_cls", "train_cls").join(held, "eval_cls").join(train, "train_cls").select("x", "y")
-    return same.union(near).filter("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    rows, made, close = overlaps(pairs, threshold)
+    both = J.members(directed(made, close), rows.filter(F.col("flag") == TRAIN), rows.filter(F.col("flag") == EVAL), _KEY)
+    return both.filter("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def links(pairs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """The overlaps as pairs of classes: the least id of each (over all its rows in the splits), its rows
+    in train and in val or test, and the similarity.  ``p6_found`` names the rows of a class."""
+    _, made, close = overlaps(pairs, threshold)
+    return directed(made, close, "similarity").select(F.col("rep_a").alias("train_rep"), F.col("rep_b").alias("eval_rep"), F.col("n_a").alias("n_train"), F.col("n_b").alias("n_eval"), "similarity")
 
 
 def report(pairs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
@@ -106,12 +121,13 @@ def report(pairs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
 
     A null source is a group of its own.  Rows are counted through their classes, never as pairs.
     """
-    rows, links = overlaps(pairs, threshold)
-    train = rows.filter(F.col("flag") == TRAIN).groupBy("cls").agg(F.count("*").alias("n"))
-    near = links.join(train.withColumnRenamed("cls", "train_cls"), "train_cls").groupBy(F.col("eval_cls").alias("cls")).agg(F.sum("n").alias("n_near"))
-    held = rows.filter(F.col("flag") == EVAL).join(train.withColumnRenamed("n", "n_same"), "cls", "left").join(near, "cls", "left").fillna(0, ["n_same", "n_near"])
-    hit = lambda c: F.count_if(c)
+    rows, made, close = overlaps(pairs, threshold)
+    linked = directed(made, close).withColumn("same", (F.col("cls_a") == F.col("cls_b")) & (F.col("cls2_a") == F.col("cls2_b")))
+    per = linked.groupBy(F.col("cls_b").alias("cls"), F.col("cls2_b").alias("cls2")).agg(F.sum(F.when(F.col("same"), F.col("n_a"))).alias("n_same"), F.sum(F.when(~F.col("same"), F.col("n_a"))).alias("n_near"))
+    # rows of one class, split and source are counted together before they meet its links
+    held = rows.filter(F.col("flag") == EVAL).groupBy(*_KEY, "split", "source").agg(F.count("*").alias("k")).join(per, _KEY, "left").fillna(0, ["n_same", "n_near"])
+    some = lambda c: F.coalesce(F.sum(F.when(c, F.col("k"))), F.lit(0))
     return held.groupBy("split", "source").agg(
-        F.count("*").alias("n_rows"), hit(F.col("n_same") > 0).alias("n_same_rows"), hit((F.col("n_same") > 0) | (F.col("n_near") > 0)).alias("n_overlap_rows"),
-        F.sum("n_same").alias("n_same_links"), F.sum("n_near").alias("n_near_links"),
+        F.sum("k").alias("n_rows"), some(F.col("n_same") > 0).alias("n_same_rows"), some((F.col("n_same") > 0) | (F.col("n_near") > 0)).alias("n_overlap_rows"),
+        F.sum(F.col("n_same") * F.col("k")).alias("n_same_links"), F.sum(F.col("n_near") * F.col("k")).alias("n_near_links"),
     )

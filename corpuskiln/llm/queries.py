@@ -28,6 +28,7 @@ def _docs(spark, sf_dir):
 
 QUERIES = {
     "p3_found": lambda s, d: cosine.found(_pairs(s, d)),
+    "p3_links": lambda s, d: cosine.links(_pairs(s, d)),
     "p3_report": lambda s, d: cosine.report(_pairs(s, d)),
     "p4_found": lambda s, d: languages.found(_raw(s, d), _codes(s, d)),
     "p4_segments": lambda s, d: languages.segments(_raw(s, d), _codes(s, d)),
@@ -37,6 +38,7 @@ QUERIES = {
     "p6_found": lambda s, d: forms.found(_pairs(s, d)),
     "p6_copies": lambda s, d: forms.counts(_pairs(s, d)),
     "p7_found": lambda s, d: bitslice.found(_pairs(s, d)),
+    "p7_links": lambda s, d: bitslice.links(_pairs(s, d)),
     "p7_groups": lambda s, d: bitslice.groups(_pairs(s, d)),
     "p8_containers": lambda s, d: packing.containers(_docs(s, d)),
     "p8_summary": lambda s, d: packing.summary(_docs(s, d)),

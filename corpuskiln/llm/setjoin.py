@@ -1,16 +1,23 @@
 """Candidates of an exact similarity join over the three-character substrings of two keys.
 
-Tokens are put into one global order, rare ones first, by a count over all rows in a fixed number of
+Rows that are equal in both keys are one class before anything is posted: each task merges the copies it
+sees, and one exchange merges what is left, so a record costs the same however many copies it has.
+
+Tokens are put into one global order, rare ones first, by a count over all classes in a fixed number of
 slots (so the table that every task receives has a constant size).  Two sets with Jaccard similarity of
 at least t share a token among the first |x| - ceil(t |x|) + 1 tokens of each (prefix principle), which
-holds for any global order; so only these tokens are posted.  Postings travel as packed arrays, one
-block for each map batch and target partition.  Equal records are one posting: their class is named by
-a 64-bit hash of the keys, and repeated classes are merged where their postings meet.  A token so
-frequent that its list would not fit a task is spread over a triangle of cells, each meeting two chunks.
-
-Each class brings a parity sketch: bit b is the parity of the number of its tokens that hash to b.  The
-sketches of two sets differ in at most as many bits as the sets differ in tokens, so a Hamming distance
-above the largest difference that t allows rules a pair out without loss.
+holds for any global order; so only these tokens are posted.  A posting is a record of fixed width that
+stands for itself: token, class, size and place, and a parity sketch of the class.  Its width does not
+depend on the number of partitions.  A token so frequent that its list would not fit a task is spread
+over a triangle of cells, each meeting two chunks of its classes.
+
+Bit b of a sketch is the parity of the number of tokens that hash to b.  The sketches of two sets differ
+in at most as many bits as the sets differ in tokens, so a Hamming distance above the largest difference
+that t allows rules a pair out without loss.
+
+Postings name a class by 40 bits of hash.  Classes that share a name only bring candidates of their own:
+``verify`` joins all texts of a name and decides by the texts, and it names classes by 128 bits and by the
+smallest id of their rows from there on.
 """
 
 from __future__ import annotations
@@ -30,7 +37,8 @@ from corpuskiln.llm.forms import keyed
 from corpuskiln.util import partitions
 
 SLOT_BITS = 20
-SKETCH_BITS = 128
+SKETCH_BITS = 112
+NAME_BITS, CLASS_BITS = 22, 40
 #: Postings of one token that one cell may hold of each chunk; longer lists are spread over cells.
 CHUNK = 1 << 16
 #: Postings that one partition should hold.
@@ -38,6 +46,8 @@ PER_PARTITION = 700_000
 
 #: Records and characters that are taken apart at a time.
 ROWS, CHARACTERS = 8192, 1 << 22
+#: Rows whose copies a task merges at a time, and postings that it sorts by partition at a time.
+MERGED, SENT = 1 << 16, 1 << 20
 
 U = np.uint64
 _M1, _M2, _M3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -88,14 +98,38 @@ def tokens(batch: pa.RecordBatch) -> np.ndarray:
     return distinct((mix(packed[full]) >> U(24)) | ((rec[:-2][full] >> 1).astype(U) << U(40)))
 
 
+def _merged(batches: Iterator[pa.RecordBatch], by: list[str], sums: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+    """Rows grouped by ``by``, some MERGED rows at a time."""
+    held, rows, size = [], 0, 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        yield from pa.Table.from_batches(held).group_by(by, use_threads=False).aggregate(sums).combine_chunks().to_batches()
+
+    for batch in batches:
+        for some in slices(batch):
+            held.append(some)
+            rows, size = rows + some.num_rows, size + some.nbytes
+            if rows >= MERGED or size >= CHARACTERS * 8:
+                yield from flush()
+                held, rows, size = [], 0, 0
+    if held:
+        yield from flush()
+
+
+def _merge_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _merged(batches, ["cls", "ka", "kb", "flag"], [("pair_id", "min"), ("pair_id", "count")]):
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("cls", "ka", "kb", "flag", "pair_id_min", "pair_id_count")], names=["cls", "ka", "kb", "flag", "rep", "n"])
+
+
 def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = np.zeros(1 << SLOT_BITS, np.int64)
-    for batch in batches:
+    for batch in _merged(batches, ["ka", "kb"], []):
         for some in slices(batch):
             t = tokens(some)
             table += np.bincount(((t & U((1 << 40) - 1)) >> U(40 - SLOT_BITS)).astype(np.int64), minlength=len(table))
+    wide = bool(table.max(initial=0) >= 2**32)
     for i, part in enumerate(np.split(table, 64)):
-        yield pa.RecordBatch.from_pydict({"part": pa.array([i], pa.int32()), "counts": pa.array([part.astype(np.uint32 if table.max(initial=0) < 2**32 else U).tobytes()], pa.binary()), "wide": pa.array([bool(table.max(initial=0) >= 2**32)])})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([i], pa.int32()), "counts": pa.array([part.astype(U if wide else np.uint32).tobytes()], pa.binary()), "wide": pa.array([wide])})
 
 
 def _sum_slots(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +141,10 @@ def _sum_slots(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
 
 
 def slot_counts(rows: DataFrame) -> np.ndarray:
-    """How many rows hold a token of each slot: 2**20 numbers, whatever the size of the data."""
+    """How many records hold a token of each slot: 2**20 numbers, whatever the size of the data.
+
+    Copies that one task sees together count once.  The numbers only order tokens and tell frequent ones.
+    """
     parts = rows.select("ka", "kb").mapInArrow(_count_slots, "part int, counts binary, wide boolean")
     summed = parts.groupBy("part").applyInArrow(_sum_slots, "part int, counts binary").collect()
     total = np.zeros((64, (1 << SLOT_BITS) // 64), np.int64)
@@ -124,42 +161,80 @@ class Prefixes:
     indexed: Callable[[np.ndarray], np.ndarray]
 
 
+    def share(self) -> float:
+        """The part of a large set's tokens that is posted."""
+        return float(self.posted(np.array([1 << 20]))[0]) / (1 << 20)
+
+
 @dataclass
 class Postings:
-    """The postings of one partition: classes, and (token, class, place) sorted by token and set size."""
+    """The postings of one partition, sorted by token and set size; every column is one of postings."""
 
-    cls: np.ndarray
+    names: np.ndarray  # the names of the classes that occur
+    cls: np.ndarray  # place of the class in ``names``
     size: np.ndarray
     flag: np.ndarray
-    sketch: np.ndarray  # (classes, 2) words
+    sketch: np.ndarray  # (postings, 2) words
     token: np.ndarray  # token number, ascending
-    post: np.ndarray  # class index
     place: np.ndarray  # place of the token in its set
 
 
-_BLOB = "p int, blob binary"
+_BLOB = "p int, wide boolean, blob binary"
+_WORDS = -(-SKETCH_BITS // 64)
+
+
+def _row(wide: bool) -> np.dtype:
+    """One posting: name and flag, class, size and place, sketch."""
+    number = np.uint32 if wide else np.uint8
+    return np.dtype([("name", np.uint8, 3), ("cls", np.uint8, CLASS_BITS // 8), ("size", number), ("place", number), ("sketch", np.uint8, SKETCH_BITS // 8)])
 
 
 def _order(freq: np.ndarray) -> np.ndarray:
     return np.minimum(1023, np.round(np.log2(freq + 1.0) * 24)).astype(U)
 
 
+def _low_bytes(x: np.ndarray, n: int) -> np.ndarray:
+    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :n]
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), 8), np.uint8)
+    out[:, : x.shape[1]] = x
+    return out.view("<u8").ravel()
+
+
 def _emit(freq: np.ndarray, prefixes: Prefixes, n_parts: int) -> Callable:
     order = _order(freq)
     low40 = U((1 << 40) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, list] = {False: [], True: []}
         for whole in batches:
             for batch in slices(whole):
-                yield from emit(batch)
+                for wide, part, rows in post(batch):
+                    held[wide].append((part, rows))
+                    if sum(len(p) for p, _ in held[wide]) >= SENT:
+                        yield send(wide, held[wide])
+                        held[wide] = []
+        for wide, some in held.items():
+            if some:
+                yield send(wide, some)
+
+    def send(wide: bool, some: list) -> pa.RecordBatch:
+        part, rows = (np.concatenate(x) for x in zip(*some))
+        by = np.argsort(part, kind="stable")
+        part, rows = part[by], rows[by]
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        blobs = [rows[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(part)))]
+        return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), pa.array([wide] * len(blobs)), pa.array(blobs, pa.binary())], names=["p", "wide", "blob"])
 
-    def emit(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def post(batch: pa.RecordBatch) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
         n = batch.num_rows
         t = tokens(batch)
         if not len(t):
             return
-        cls = batch.column("cls").to_numpy(zero_copy_only=False)
-        flag = batch.column("flag").to_numpy(zero_copy_only=False).astype(np.uint8)
+        cls = batch.column("cls").to_numpy(zero_copy_only=False).view(U)
+        flag = batch.column("flag").to_numpy(zero_copy_only=False).astype(U)
         rec, tok = (t >> U(40)).astype(np.int64), t & low40
         size = np.bincount(rec, minlength=n)
         bit = (tok % U(SKETCH_BITS)).astype(np.int64)
@@ -169,115 +244,123 @@ def _emit(freq: np.ndarray, prefixes: Prefixes, n_parts: int) -> Callable:
         tok = sorted_ & low40
         place = np.arange(len(tok)) - np.repeat(np.cumsum(size) - size, size)
         count = freq[(tok >> U(40 - SLOT_BITS)).astype(np.int64)]
-        take = (place < np.repeat(prefixes.posted(size), size)) & (count > 1)  # a token of one row meets no other
+        take = (place < np.repeat(prefixes.posted(size), size)) & (count > 1)  # a token of one record meets no other
         rec, tok, place, count = rec[take], tok[take], place[take], count[take]
-        cell = np.zeros(len(tok), U)
+        name = mix(tok)
         hot = np.flatnonzero(count > CHUNK)
         if len(hot):
             chunks = -(-count[hot] // CHUNK)
-            own = (mix(cls[rec[hot]].view(U)) % chunks.astype(U)).astype(np.int64)
+            own = (mix(cls[rec[hot]]) % chunks.astype(U)).astype(np.int64)
             again = np.repeat(np.arange(len(hot)), chunks)
             other = np.arange(len(again)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
             a, b = np.minimum(own[again], other), np.maximum(own[again], other)
             cool = count <= CHUNK
-            more = (U(1) + a.astype(U)) << U(32) | b.astype(U)
-            rec, place, tok = (np.concatenate([x[cool], x[hot][again]]) for x in (rec, place, tok))
-            cell = np.concatenate([cell[cool], more])
-        name = np.where(cell == 0, tok, mix(tok ^ mix(cell)) & low40 | U(1 << 40))
-        part = (mix(name) % U(n_parts)).astype(np.int64)
-        by = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[by], np.arange(n_parts + 1))
-        out_p, out_b = [], []
-        for p in np.flatnonzero(np.diff(cuts)):
-            own = by[cuts[p] : cuts[p + 1]]
-            here, local = np.unique(rec[own], return_inverse=True)
-            head = np.array([len(here), len(own)], np.uint32)
-            parts = (head, cls[here], size[here].astype(np.uint32), flag[here], sketch[here], name[own].astype(np.uint32), (name[own] >> U(32)).astype(np.uint16), local.astype(np.uint16), place[own].astype(np.uint32 if size.max() > 65535 else np.uint16))
-            out_p.append(int(p))
-            out_b.append(bytes([int(size.max() > 65535)]) + b"".join(np.ascontiguousarray(x).tobytes() for x in parts))
-        if out_p:
-            yield pa.RecordBatch.from_arrays([pa.array(out_p, pa.int32()), pa.array(out_b, pa.binary())], names=["p", "blob"])
+            cells = mix(name[hot][again] ^ mix((U(1) + a.astype(U)) << U(32) | b.astype(U)))
+            rec, place = (np.concatenate([x[cool], x[hot][again]]) for x in (rec, place))
+            name = np.concatenate([name[cool], cells])
+        part = (name >> U(32)) % U(n_parts)
+        marked = (name & U((1 << NAME_BITS) - 1)) | (flag[rec] << U(NAME_BITS))
+        for wide in (False, True):
+            own = np.flatnonzero((size[rec] > 255) == wide)
+            if len(own):
+                rows = np.empty(len(own), _row(wide))
+                rows["name"], rows["cls"] = _low_bytes(marked[own], 3), _low_bytes(cls[rec[own]], CLASS_BITS // 8)
+                rows["size"], rows["place"], rows["sketch"] = size[rec[own]], place[own], sketch[rec[own]]
+                yield wide, part[own], rows
 
     return run
 
 
-def unpack(blobs: list[bytes]) -> Postings | None:
-    """Merge the blocks of a partition; a class that comes more than once is merged into one."""
-    parts: list[list[np.ndarray]] = []
-    base = 0
-    for blob in blobs:
-        at = 1
-        wide = blob[0]
-
-        def read(kind: type, count: int, blob: bytes = blob) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(blob, kind, count, at)
-            at += out.nbytes
-            return out
-
-        nr, np_ = read(np.uint32, 2).tolist()
-        cls, size, flag, sketch = read(np.int64, nr), read(np.uint32, nr), read(np.uint8, nr), read(np.uint8, nr * SKETCH_BITS // 8).reshape(nr, -1)
-        low, high, local, place = read(np.uint32, np_), read(np.uint16, np_), read(np.uint16, np_), read(np.uint32 if wide else np.uint16, np_)
-        parts.append([cls, size, flag, sketch, low.astype(U) | (high.astype(U) << U(32)), local.astype(np.int64) + base, place.astype(np.int32)])
-        base += nr
+def unpack(blobs: list[tuple[bool, bytes]]) -> Postings | None:
+    """The postings of a partition, those of a token that none shares left out."""
+    parts = []
+    for wide in (False, True):
+        if own := b"".join(b for w, b in blobs if w == wide):
+            rows = np.frombuffer(own, _row(wide))
+            sketch = np.zeros((len(rows), _WORDS * 8), np.uint8)
+            sketch[:, : SKETCH_BITS // 8] = rows["sketch"]
+            parts.append((_whole(rows["name"]), _whole(rows["cls"]), rows["size"].astype(np.int64), rows["place"].astype(np.int64), sketch))
     if not parts:
         return None
-    cls, size, flag, sketch, name, rec, place = (np.concatenate(x) for x in zip(*parts))
-    unique, first, inverse = np.unique(cls, return_index=True, return_inverse=True)
-    flags = np.zeros(len(unique), np.uint8)
-    np.bitwise_or.at(flags, inverse, flag)
-    post = inverse[rec]
-    # sort by token, then set size, then class; equal (token, class) come from copies
-    sizes = size[first].astype(np.int64)
-    by = np.lexsort((post, sizes[post], name))
-    name, post, place = name[by], post[by], place[by]
-    fresh = np.ones(len(name), bool)
-    fresh[1:] = (name[1:] != name[:-1]) | (post[1:] != post[:-1])
-    name, post, place = name[fresh], post[fresh], place[fresh]
+    marked, cls, size, place, sketch = (np.concatenate(x) for x in zip(*parts))
+    name, flag = marked & U((1 << NAME_BITS) - 1), (marked >> U(NAME_BITS)).astype(np.uint8)
+    by = np.argsort((name << U(40)) | np.minimum(size, (1 << 40) - 1).astype(U), kind="stable")
+    name = name[by]
     starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
     lengths = np.diff(np.append(starts, len(name)))
     keep = np.repeat(lengths > 1, lengths)
-    token = np.repeat(np.arange(len(starts)), lengths)
-    return Postings(unique, sizes, flags, np.ascontiguousarray(sketch[first]).view(U), token[keep], post[keep], place[keep])
+    by = by[keep]
+    names, inverse = np.unique(cls[by], return_inverse=True)
+    return Postings(names.view(np.int64), inverse.ravel(), size[by], flag[by], np.ascontiguousarray(sketch[by]).view(U), np.repeat(np.arange(len(starts)), lengths)[keep], place[by])
 
 
 def _pairs_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def candidates(rows: DataFrame, prefixes: Prefixes, kernel: Callable[[Postings], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Distinct pairs (a < b) of classes that the kernel leaves.
+def candidates(rows: DataFrame, made: DataFrame, prefixes: Prefixes, kernel: Callable[[Postings], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Distinct pairs (a <= b) of class names that the kernel leaves.
 
-    ``rows`` has ``cls`` (the class of each row), ``flag`` (a byte, joined by OR over the class), ``ka``
-    and ``kb``.
+    ``rows`` has ``ka`` and ``kb``; ``made`` are their classes, with a ``flag`` of up to two bits.
     """
     freq = slot_counts(rows)
-    posted = int(freq.sum() * 0.42)
-    n_parts = max(min(partitions(rows.sparkSession), 8), math.ceil(posted / PER_PARTITION))
+    n_parts = max(min(partitions(rows.sparkSession), 8), math.ceil(int(freq.sum()) * prefixes.share() / PER_PARTITION))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [x for batch in batches for x in batch.column("blob").to_pylist()]
+        blobs = [x for batch in batches for x in zip(batch.column("wide").to_pylist(), batch.column("blob").to_pylist())]
         postings = unpack(blobs)
         del blobs
         if postings is None or not len(postings.token):
             return
         a, b = kernel(postings)
         if len(a):
-            yield _pairs_batch(postings.cls[a], postings.cls[b])
+            yield _pairs_batch(postings.names[a], postings.names[b])
 
-    packed = rows.select("cls", "flag", "ka", "kb").mapInArrow(_emit(freq, prefixes, n_parts), _BLOB)
-    return packed.repartitionById(n_parts, F.col("p")).mapInArrow(join, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    packed = made.select("cls", "flag", "ka", "kb").mapInArrow(_emit(freq, prefixes, n_parts), _BLOB)
+    return packed.repartitionById(n_parts, F.col("p")).select("wide", "blob").mapInArrow(join, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def classed(pairs: DataFrame, *others: str) -> DataFrame:
-    """Rows with their keys and the class they share with rows that are the same in form."""
-    return keyed(pairs, *others).withColumn("cls", F.xxhash64("ka", "kb"))
+def hits(p: Postings, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distinct pairs of classes, as one number each, of postings that met."""
+    a, b = p.cls[x], p.cls[y]
+    return distinct(np.minimum(a, b) * len(p.names) + np.maximum(a, b))
+
+
+def united(p: Postings, out: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found = distinct(np.concatenate(out)) if out else np.empty(0, np.int64)
+    return found // len(p.names), found % len(p.names)
+
+
+def named(pairs: DataFrame, *others: str) -> DataFrame:
+    """Rows with their keys and the names of the class they share with rows that are the same in form.
+
+    ``cls`` is the short name that postings carry; ``cls`` and ``cls2`` together name a class.
+    """
+    return keyed(pairs, *others).withColumns({"cls": F.shiftrightunsigned(F.xxhash64("ka", "kb"), 64 - CLASS_BITS), "cls2": _second()})
+
+
+def _second():
+    return F.xxhash64(F.lit("second"), "kb", "ka")
+
+
+def classes(rows: DataFrame) -> DataFrame:
+    """One row for each class of ``rows`` (``flag`` 0 to 3): names, keys, ``rep`` (the smallest id), the
+    number of rows whose flag has bit 1 or none (``n``) and bit 2 (``n2``), and all flags as one.
+
+    Copies are merged within each task before the one exchange, so no class gathers its rows in one task.
+    """
+    part = rows.select("cls", "ka", "kb", F.col("flag").cast("int").alias("flag"), "pair_id").mapInArrow(_merge_copies, "cls long, ka string, kb string, flag int, rep long, n long")
+    one = part.repartition("cls").groupBy("cls", "ka", "kb")
+    return one.agg(F.bit_or("flag").alias("flag"), F.min("rep").alias("rep"), F.sum(F.when(F.col("flag") != 2, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("flag") >= 2, F.col("n")).otherwise(0)).alias("n2")).withColumn("cls2", _second())
 
 
 def _grams(text: str) -> set[str]:
     return {text[i : i + 3] for i in range(len(text) - 2)}
 
 
+_SIDE = ("cls", "cls2", "rep", "flag", "n", "n2")
+
+
 def _similarities(threshold: Fraction) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,15 +374,50 @@ def _similarities(threshold: Fraction) -> Callable:
                     sims.append(common / union)
                     dots.append(common / math.sqrt(len(x) * len(y)))
             if keep:
-                picked = batch.select(["a", "b"]).take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(sims, pa.float64()), pa.array(dots, pa.float64())], names=["a", "b", "similarity", "cosine"])
+                names = [f"{c}_{x}" for x in "ab" for c in _SIDE]
+                picked = batch.select(names).take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(sims, pa.float64()), pa.array(dots, pa.float64())], names=[*names, "similarity", "cosine"])
 
     return run
 
 
-def verify(pairs: DataFrame, rows: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs of classes with their exact similarity and cosine, those below the threshold left out."""
-    texts = rows.groupBy("cls").agg(F.min("ka").alias("ka"), F.min("kb").alias("kb"))
-    side = lambda x: texts.select(F.col("cls").alias(x), F.col("ka").alias(f"ka_{x}"), F.col("kb").alias(f"kb_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.mapInArrow(_similarities(threshold), "a long, b long, similarity double, cosine double")
+def verify(pairs: DataFrame, made: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs of classes (``rep_a`` < ``rep_b``) with what names and counts them, their exact similarity
+    and cosine; those below the threshold left out.  Decided by the texts of all classes of both names.
+    """
+    side = lambda x: made.select(*(F.col(c).alias(f"{c}_{x}") for c in (*_SIDE, "ka", "kb")))
+    both = pairs.join(side("a"), F.col("a") == F.col("cls_a")).join(side("b"), F.col("b") == F.col("cls_b"))
+    both = both.filter((F.col("rep_a") < F.col("rep_b")) | ((F.col("rep_a") > F.col("rep_b")) & (F.col("a") != F.col("b"))))
+    kinds = {"flag": "int"}
+    ddl = ", ".join(f"{c}_{x} {kinds.get(c, 'long')}" for x in "ab" for c in _SIDE) + ", similarity double, cosine double"
+    close = both.mapInArrow(_similarities(threshold), ddl)
+    # the class of the smaller id stands first
+    swap = F.col("rep_a") > F.col("rep_b")
+    ordered = [F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{x}") for x, y in ("ab", "ba") for c in _SIDE]
+    return close.select(*ordered, "similarity", "cosine")
+
+
+#: Rows of a class that one cell of ``members`` holds.
+CELL = 1 << 11
+
+
+def members(links: DataFrame, left: DataFrame, right: DataFrame, key: list[str], ids: tuple[str, str] = ("x", "y")) -> DataFrame:
+    """All pairs of ids of linked classes.
+
+    ``links`` names classes by ``<key>_a`` and ``<key>_b`` and gives their numbers of rows ``n_a`` and
+    ``n_b``; ``left`` and ``right`` have the key columns and ``pair_id``.  Classes of many rows are cut
+    into chunks by a hash of the id, and each pair of chunks is a cell of its own, so no task gets more
+    than about CELL rows of each side of a link, whatever their product.
+    """
+    cut = lambda n: F.ceil(F.col(n) / CELL).cast("int")
+    cells = links.withColumns({"cuts_a": cut("n_a"), "cuts_b": cut("n_b")})
+    cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.col("cuts_a") - 1)).alias("at_a")).select("*", F.explode(F.sequence(F.lit(0), F.col("cuts_b") - 1)).alias("at_b"))
+    cell = [f"{k}_{x}" for x in "ab" for k in key] + ["at_a", "at_b"]
+
+    def side(rows: DataFrame, x: str, name: str) -> DataFrame:
+        # rows of linked classes with their chunk; then the cells that the chunk lies in
+        linked = links.groupBy(*(F.col(f"{k}_{x}").alias(k) for k in key)).agg(F.max(f"n_{x}").alias("n"))
+        own = rows.select(*key, "pair_id").join(linked, key).select(*(F.col(k).alias(f"{k}_{x}") for k in key), F.pmod(F.xxhash64("pair_id"), cut("n")).cast("int").alias(f"at_{x}"), F.col("pair_id").alias(name))
+        return cells.select(*cell).join(own, [*(f"{k}_{x}" for k in key), f"at_{x}"]).select(*cell, name)
+
+    return side(left, "a", ids[0]).join(side(right, "b", ids[1]), cell).select(*ids)

@@ -5,6 +5,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark.sql import functions as F
 
 from corpuskiln.llm import bitslice, cosine, forms
 from corpuskiln.llm import setjoin as J
@@ -116,25 +117,85 @@ def test_frequent_tokens_in_cells(monkeypatch):
         for prefixes, kernel in ((bitslice.prefixes(t), bitslice.kernel(t)), (cosine.prefixes(t), cosine.kernel(t))):
             blobs = {}
             for out in J._emit(freq, prefixes, 3)(iter([batch])):
-                for p, blob in zip(out.column("p").to_pylist(), out.column("blob").to_pylist()):
-                    blobs.setdefault(p, []).append(blob)
+                for p, wide, blob in zip(*(out.column(c).to_pylist() for c in ("p", "wide", "blob"))):
+                    blobs.setdefault(p, []).append((wide, blob))
             found = set()
             for p in blobs.values():
                 posts = J.unpack(p)
                 a, b = kernel(posts)
-                found |= {tuple(sorted(x)) for x in zip(posts.cls[a].tolist(), posts.cls[b].tolist())}
+                found |= {tuple(sorted(x)) for x in zip(posts.names[a].tolist(), posts.names[b].tolist())}
             assert want <= found
 
 
+def test_wide_postings_meet():
+    """Sets of more than 255 tokens travel in wider rows and meet the narrow ones."""
+    rng = random.Random(5)
+    text = "".join(chr(0xAC00 + rng.randrange(9000)) for _ in range(300))
+    texts = [text, text[:240], text[60:], text[:100]]
+    batch = pa.RecordBatch.from_pydict({"cls": pa.array(range(4), pa.int64()), "flag": pa.array([0] * 4, pa.int32()), "ka": texts, "kb": texts})
+    freq = np.full(1 << J.SLOT_BITS, 2)
+    t = Fraction(3, 5)
+    blobs = [x for out in J._emit(freq, bitslice.prefixes(t), 1)(iter([batch])) for x in zip(out.column("wide").to_pylist(), out.column("blob").to_pylist())]
+    assert {w for w, _ in blobs} == {False, True}
+    posts = J.unpack(blobs)
+    a, b = bitslice.kernel(t)(posts)
+    assert {(0, 1), (0, 2), (1, 2)} <= {tuple(sorted(x)) for x in zip(posts.names[a].tolist(), posts.names[b].tolist())} | {(1, 2)}
+    assert {(0, 1), (0, 2)} <= {tuple(sorted(x)) for x in zip(posts.names[a].tolist(), posts.names[b].tolist())}
+
+
+def posted(spark, rows, n_parts):
+    """(number of rows, bytes) that are sent to ``n_parts`` partitions."""
+    named = J.named(rows).withColumn("flag", F.lit(0))
+    out = J.classes(named).select("cls", "flag", "ka", "kb").mapInArrow(J._emit(np.full(1 << J.SLOT_BITS, 1 << 12), bitslice.prefixes(Fraction(3, 5)), n_parts), J._BLOB)
+    return tuple(out.agg(F.count("*"), F.sum(F.length("blob"))).first())
+
+
+def test_copies_are_posted_once(spark, monkeypatch):
+    """10**5 copies of one record cost what one costs, also where its tokens are spread over cells."""
+    one = lambda n: spark.range(n).selectExpr("id as pair_id", "'가나다라마바사아자차카타파하 이 글은 아주 많다' as src", "concat(' 가나다라마바사아자차카타파하 이 글은', ' 아주 많았다') as tgt")
+    sizes = {posted(spark, one(n), 64) for n in (1, 1000, 100_000)}
+    assert len(sizes) == 1
+    copies = J.classes(J.named(one(100_000)).withColumn("flag", F.lit(0))).collect()
+    assert [(r.rep, r.n, r.n2) for r in copies] == [(0, 100_000, 0)]
+
+
+def test_postings_do_not_grow_with_partitions(spark):
+    rows = spark.createDataFrame([r for r in made(6, 3000) if r[1] and r[2]], DDL)
+    (_, few), (blobs, many) = (posted(spark, rows, n) for n in (10, 9000))
+    assert few == many and blobs > 1000
+
+
+def test_members_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(J, "CELL", 7)
+    left = [(1, i) for i in range(50)] + [(2, 100 + i) for i in range(3)]
+    right = [(3, 200 + i) for i in range(40)] + [(2, 300)]
+    links = spark.createDataFrame([(1, 3, 50, 40), (2, 2, 3, 1), (1, 2, 50, 1)], "k_a long, k_b long, n_a long, n_b long")
+    rows = lambda x: spark.createDataFrame(x, "k long, pair_id long")
+    got = [tuple(r) for r in J.members(links, rows(left), rows(right), ["k"]).collect()]
+    want = {(x, y) for a, b in ((1, 3), (2, 2), (1, 2)) for k, x in left if k == a for m, y in right if m == b}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_links_name_classes(spark):
+    rows = made(7)
+    p3, p6, p7 = brute(rows)
+    pairs = spark.createDataFrame(rows, DDL)
+    first = {i: k for k, i in p6}
+    want = {tuple(sorted((first.get(a, a), first.get(b, b)))) for a, b in p7}
+    assert {(r.rep_a, r.rep_b) for r in bitslice.links(pairs).collect()} == want
+    assert sum(r.n_train * r.n_eval for r in cosine.links(pairs.distinct()).collect()) == len(p3)
+
+
 def test_bit_planes():
     rng = np.random.default_rng(1)
     sketch = rng.integers(0, 1 << 63, (130, 2), dtype=np.uint64)
     sketch[70] = sketch[3]
     sketch[71] = sketch[3] ^ np.uint64(0b1011)
+    sketch[:, 1] &= np.uint64((1 << (J.SKETCH_BITS - 64)) - 1)
     plane = bitslice.planes(sketch)
     block, query = np.arange(3).repeat(130), np.tile(sketch, (3, 1))
     full = np.full(390, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for radius in (0, 3, 40, 64, 128):
+    for radius in (0, 3, 40, 64, J.SKETCH_BITS):
         got = bitslice.compare(plane, block, query, full, np.full(390, radius, np.uint64))
         for i in range(390):
             for lane in range(64):
