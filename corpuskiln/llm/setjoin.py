@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuskiln.llm.forms import keyed
-from corpuskiln.util import partitions
+from corpuskiln.util import cut, partitions
 
 SLOT_BITS = 20
 SKETCH_BITS = 112
@@ -316,7 +316,8 @@ def candidates(rows: DataFrame, made: DataFrame, prefixes: Prefixes, kernel: Cal
         if len(a):
             yield _pairs_batch(postings.names[a], postings.names[b])
 
-    packed = made.select("cls", "flag", "ka", "kb").mapInArrow(_emit(freq, prefixes, n_parts), _BLOB)
+    # all columns, so that the exchange of the classes is the one that ``verify`` reads as well
+    packed = made.drop("cls2").mapInArrow(_emit(freq, prefixes, n_parts), _BLOB)
     return packed.repartitionById(n_parts, F.col("p")).select("wide", "blob").mapInArrow(join, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -350,8 +351,12 @@ def classes(rows: DataFrame) -> DataFrame:
     Copies are merged within each task before the one exchange, so no class gathers its rows in one task.
     """
     part = rows.select("cls", "ka", "kb", F.col("flag").cast("int").alias("flag"), "pair_id").mapInArrow(_merge_copies, "cls long, ka string, kb string, flag int, rep long, n long")
-    one = part.repartition("cls").groupBy("cls", "ka", "kb")
-    return one.agg(F.bit_or("flag").alias("flag"), F.min("rep").alias("rep"), F.sum(F.when(F.col("flag") != 2, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("flag") >= 2, F.col("n")).otherwise(0)).alias("n2")).withColumn("cls2", _second())
+    one = part.filter("cls is not null").repartition("cls").groupBy("cls", "ka", "kb")
+    # every aggregate reads every column, so that all users of the classes ask for one and the same exchange
+    whole = F.col("flag").isNotNull() & F.col("rep").isNotNull() & F.col("n").isNotNull()
+    rows_of = lambda c: F.coalesce(F.sum(F.when(whole & c, F.col("n"))), F.lit(0))
+    made = one.agg(F.bit_or(F.when(whole, F.col("flag"))).alias("flag"), F.min(F.when(whole, F.col("rep"))).alias("rep"), rows_of(F.col("flag") != 2).alias("n"), rows_of(F.col("flag") >= 2).alias("n2"))
+    return made.withColumn("cls2", _second())
 
 
 def _grams(text: str) -> set[str]:
@@ -409,15 +414,16 @@ def members(links: DataFrame, left: DataFrame, right: DataFrame, key: list[str],
     into chunks by a hash of the id, and each pair of chunks is a cell of its own, so no task gets more
     than about CELL rows of each side of a link, whatever their product.
     """
-    cut = lambda n: F.ceil(F.col(n) / CELL).cast("int")
-    cells = links.withColumns({"cuts_a": cut("n_a"), "cuts_b": cut("n_b")})
+    links = cut(links.select(*(f"{k}_{x}" for x in "ab" for k in key), "n_a", "n_b"))  # used four times below
+    chunks = lambda n: F.ceil(F.col(n) / CELL).cast("int")
+    cells = links.withColumns({"cuts_a": chunks("n_a"), "cuts_b": chunks("n_b")})
     cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.col("cuts_a") - 1)).alias("at_a")).select("*", F.explode(F.sequence(F.lit(0), F.col("cuts_b") - 1)).alias("at_b"))
     cell = [f"{k}_{x}" for x in "ab" for k in key] + ["at_a", "at_b"]
 
     def side(rows: DataFrame, x: str, name: str) -> DataFrame:
         # rows of linked classes with their chunk; then the cells that the chunk lies in
         linked = links.groupBy(*(F.col(f"{k}_{x}").alias(k) for k in key)).agg(F.max(f"n_{x}").alias("n"))
-        own = rows.select(*key, "pair_id").join(linked, key).select(*(F.col(k).alias(f"{k}_{x}") for k in key), F.pmod(F.xxhash64("pair_id"), cut("n")).cast("int").alias(f"at_{x}"), F.col("pair_id").alias(name))
+        own = rows.select(*key, "pair_id").join(linked, key).select(*(F.col(k).alias(f"{k}_{x}") for k in key), F.pmod(F.xxhash64("pair_id"), chunks("n")).cast("int").alias(f"at_{x}"), F.col("pair_id").alias(name))
         return cells.select(*cell).join(own, [*(f"{k}_{x}" for k in key), f"at_{x}"]).select(*cell, name)
 
     return side(left, "a", ids[0]).join(side(right, "b", ids[1]), cell).select(*ids)
