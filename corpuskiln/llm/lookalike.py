@@ -1,10 +1,12 @@
 """One consistent form for texts that look the same, and the texts that do (p5).
 
 Characters first: compatibility, width and composition forms become one, invisible characters go, kinds
-of space become one.  Then tokens of alphabetic letters: each token has a dominant script, that of its
-letters which exist in one alphabet only (of all its letters where there is none such).  In a token of
-mixed script the look-alike letters of other alphabets are replaced by those of the dominant script, if
-the result is a word of the corpus.
+of space become one.  Then tokens of alphabetic letters.  Each token has a dominant script, that of its
+letters which exist in one alphabet only; a token without such letters follows its text.  Look-alikes of
+other alphabets are replaced by the letters of that script, or of the next one, whose result is a word of
+the corpus: a clean copy of a text, if there is one, decides how the others are written.  Where no result
+is a word of the corpus, letters of the same shape in Latin, Cyrillic and Greek go to the first of these
+scripts, as they cannot be told apart; letters of other alphabets, whose shapes are only close, stay.
 """
 
 from __future__ import annotations
@@ -16,9 +18,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex as re
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuskiln.llm.setjoin import members
+from corpuskiln.util import cut
+
 # Letters of the same shape, Latin with Cyrillic and Latin with Greek.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԚԜаеорсухѕіјһԁԛԝ", "ABESIJKMHOPCTYXYQWaeopcyxsijhdqw"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονραικυχϲϳ", "ABEZHIKMNOPTYXovpaikuxcj"))
@@ -49,6 +54,11 @@ _PLAIN = plain_re.compile("[ -~\n가-힣ぁ-ゖァ-ヺー一-鿿、。「」‘
 _COULD_BE_OTHER = plain_re.compile("[Ͱ-\u052fἀ-\u1fffᲀ-᲏ⷠ-ⷿꙀ-ꚟ]")
 
 _COULD_BE_WORD = plain_re.compile("[A-Za-z\u00c0-\u052f\u1e00-\u1fffＡ-ｚ]")
+#: Alphabets of which only letters with a close Latin shape matter: Armenian, Cherokee, Coptic, Lisu.
+FURTHER = ((0x530, 0x58F), (0x13A0, 0x13FF), (0x2C80, 0x2CFF), (0xA4D0, 0xA4FF), (0xAB70, 0xABBF))
+_FURTHER = "".join(f"{chr(a)}-{chr(b)}" for a, b in FURTHER)
+_FOREIGN = plain_re.compile(_COULD_BE_OTHER.pattern[:-1] + _FURTHER + "]")
+_TOKEN = re.compile(_WORD.pattern.replace("]", _FURTHER + "]"))
 
 
 def characters(text: str) -> str:
@@ -124,21 +134,70 @@ def look(text: str) -> str:
     return _WORD.sub(one, text)
 
 
+def close_letters(spark: SparkSession) -> dict[int, str]:
+    """Letters of further alphabets with the Latin letter whose shape they come close to.
+
+    Taken from Unicode's confusables data, as the ICU library that Spark itself uses holds them.
+    """
+    letters = [chr(c) for a, b in FURTHER for c in range(a, b + 1) if chr(c).isalpha()]
+    latin = [*"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]
+    checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    shapes = checker.getSkeleton("\n".join(latin + letters)).split("\n")
+    of = {}
+    for letter, shape in zip(latin, shapes):
+        of.setdefault(shape, []).append(letter)
+    # a shape that two Latin letters have (I and l) goes to the one of the same case
+    best = lambda c, found: max(found, key=lambda x: x.islower() == c.islower())
+    return {ord(c): best(c, of[shape]) for c, shape in zip(letters, shapes[len(latin) :]) if shape in of}
+
+
+def choices(text: str, close: dict[int, str]) -> list[tuple[str, list[str], bool]]:
+    """(token, forms in order of preference, whether the first may stand without the corpus).
+
+    Only tokens that are not of their first form; depends on the text's look alone, so texts of one look
+    ask the same.
+    """
+    own: Counter = Counter()
+    apart: dict[str, tuple[str, bool]] = {}
+    for token in set(_TOKEN.findall(text)):
+        plain = ud.normalize("NFD", token)
+        further = [c for c in plain if FURTHER[0][0] <= ord(c) and any(a <= ord(c) <= b for a, b in FURTHER)]
+        if further and (len(further) == sum(c.isalpha() for c in plain) or any(ord(c) not in close for c in further)):
+            continue  # a word of its own alphabet
+        folded = plain.translate(close).translate(TO_LATIN)
+        apart[token] = folded, not further
+        if not further:
+            own.update(script(c) for c in folded if c not in SHARED)
+    whole = max("LCG", key=lambda s: own[s])
+    out = []
+    for token, (folded, sure) in apart.items():
+        scripts = {script(c) for c in folded if c not in SHARED} - {""}
+        order = scripts if len(scripts) == 1 else "L" if scripts else dict.fromkeys(whole + "LCG")
+        forms = [f for f in (in_script(folded, s) for s in order) if len(scripts) > 1 or not mixed(f)]
+        if forms and (forms[0] != token or not sure):
+            out.append((token, forms, sure))
+    return sorted(out)
+
+
 _FIELDS = ("original", "corrected")
-_BASE = pa.schema([("pair_id", pa.int64()), ("field", pa.string()), ("raw", pa.string()), ("text", pa.string()), ("words", pa.list_(pa.string()))])
-_BASE_DDL = "pair_id long, field string, raw string, text string, words array<string>"
+_ASKED = pa.list_(pa.struct([("token", pa.string()), ("forms", pa.list_(pa.string())), ("sure", pa.bool_())]))
+_BASE = "pair_id long, field string, raw string, text string, asked array<struct<token: string, forms: array<string>, sure: boolean>>"
 
 
-def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each field with its characters made one, and its words of mixed script."""
-    for batch in batches:
-        for field in _FIELDS:
-            raw = batch.column(field).cast(pa.string())
-            kept = raw.is_valid()
-            raw = raw.filter(kept)
-            texts = [characters(x) for x in raw.to_pylist()]
-            words = [sorted({w for w in _WORD.findall(t) if mixed(w)}) if _COULD_BE_OTHER.search(t) else None for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("pair_id").filter(kept), pa.array([field] * len(texts), pa.string()), raw, pa.array(texts, pa.string()), pa.array([w or None for w in words], _BASE.field("words").type)], schema=_BASE)
+def _base(close: dict[int, str]):
+    """Each field with its characters made one, and the tokens that the corpus is asked about."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for field in _FIELDS:
+                raw = batch.column(field).cast(pa.string())
+                kept = raw.is_valid()
+                raw = raw.filter(kept)
+                texts = [characters(x) for x in raw.to_pylist()]
+                asked = [[dict(zip(("token", "forms", "sure"), c)) for c in choices(t, close)] or None if _FOREIGN.search(t) else None for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column("pair_id").filter(kept), pa.array([field] * len(texts), pa.string()), raw, pa.array(texts, pa.string()), pa.array(asked, _ASKED)], names=["pair_id", "field", "raw", "text", "asked"])
+
+    return run
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,58 +207,57 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for field in _FIELDS:
             for text in batch.column(field).to_pylist():
                 if text and _COULD_BE_WORD.search(text):
-                    seen.update(_WORD.findall(characters(text)))
+                    seen.update(_TOKEN.findall(characters(text)))
         words = [w for w in seen if w.isascii() or not mixed(w)]
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])
 
 
-def _repairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words = batch.column("mixed").to_pylist()
-        yield pa.RecordBatch.from_arrays([batch.column("mixed"), pa.array([repair(w) for w in words], pa.string())], names=["mixed", "word"])
-
-
 def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Put the first form that the corpus knows in place of each token, or the first where that is sure."""
     for batch in batches:
         texts = []
-        for text, by in zip(batch.column("text").to_pylist(), batch.column("by").to_pylist()):
-            map_ = {x["mixed"]: x["word"] for x in by or ()}
-            texts.append(_WORD.sub(lambda m, map_=map_: map_.get(m[0], m[0]), text) if map_ else text)
+        for text, answers in zip(batch.column("text").to_pylist(), batch.column("answers").to_pylist()):
+            to: dict[str, tuple] = {}
+            for x in answers:
+                rank = (0, x["at"]) if x["known"] else (1, x["at"]) if x["sure"] and x["at"] == 0 else None
+                if rank and (x["token"] not in to or rank < to[x["token"]][0]):
+                    to[x["token"]] = rank, x["form"]
+            texts.append(_TOKEN.sub(lambda m, to=to: to[m[0]][1] if m[0] in to else m[0], text) if to else text)
         yield pa.RecordBatch.from_arrays([batch.column("pair_id"), batch.column("field"), batch.column("raw"), pa.array(texts, pa.string())], names=["pair_id", "field", "raw", "text"])
 
 
-def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("pair_id"), batch.column("field"), batch.column("raw"), pa.array([look(t) for t in batch.column("text").to_pylist()], pa.string())], names=["pair_id", "field", "raw", "look"])
-
-
-def normalized(rows: DataFrame) -> DataFrame:
+def normalized(rows: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """``pair_id``, ``field``, the ``raw`` text and its consistent ``text`` for each non-null field.
 
-    Empty texts stay empty.  A mixed-script word whose repair is no word of the corpus stays as it is.
-    Repeated rows are kept once for each different text; other columns are ignored.
+    ``vocabulary`` (``word``) stands for the words of the corpus, else those of ``rows`` do.  Empty texts
+    stay empty.  Repeated rows with a token in question are kept once; other columns are ignored.
     """
     texts = rows.select("pair_id", *_FIELDS)
-    base = texts.mapInArrow(_base, _BASE_DDL)
-    asked = base.filter("words is not null").select("pair_id", "field", "raw", "text", F.explode("words").alias("mixed"))
-    words = texts.mapInArrow(_vocabulary, "word string").distinct()
-    known = asked.select("mixed").distinct().mapInArrow(_repairs, "mixed string, word string").join(words, "word", "left_semi")
-    answered = asked.join(known, "mixed", "left").groupBy("pair_id", "field", "raw", "text").agg(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("mixed", "word"))).alias("by"))
+    base = texts.mapInArrow(_base(close_letters(rows.sparkSession)), _BASE)
+    asked = base.filter("asked is not null").select("pair_id", "field", "raw", "text", F.explode("asked").alias("a"))
+    forms = asked.select("pair_id", "field", "raw", "text", "a.token", "a.sure", F.posexplode("a.forms").alias("at", "form"))
+    words = vocabulary if vocabulary is not None else texts.mapInArrow(_vocabulary, "word string").distinct()
+    known = forms.select("form").distinct().join(words.withColumnRenamed("word", "form"), "form", "left_semi").withColumn("known", F.lit(True))
+    answered = forms.join(known, "form", "left").groupBy("pair_id", "field", "raw", "text").agg(F.collect_set(F.struct("token", "sure", "at", "form", F.coalesce("known", F.lit(False)).alias("known"))).alias("answers"))
     repaired = answered.mapInArrow(_replace, "pair_id long, field string, raw string, text string")
-    return base.filter("words is null").select("pair_id", "field", "raw", "text").union(repaired)
+    return base.filter("asked is null").select("pair_id", "field", "raw", "text").union(repaired)
 
 
-def found(rows: DataFrame) -> DataFrame:
+def found(rows: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """Pairs of rows (``id_a`` < ``id_b``) whose ``field`` looks the same but is not the same string.
 
-    The consistent texts are compared by their look, in which words that no corpus word settled are
-    brought to the script that their own letters imply.  Null and empty texts take no part.
+    Consistent texts are compared.  Rows of one string are a class; classes of one text are linked, and
+    members are paired only then, in cells, so that a common sentence with one odd copy costs no more
+    than its pairs.  Texts and strings are named by 128 bits.  Null and empty texts take no part.
     """
-    texts = normalized(rows).filter("raw <> ''").mapInArrow(_look, "pair_id long, field string, raw string, look string")
-    named = texts.select("field", "pair_id", F.xxhash64("raw").alias("raw"), F.xxhash64("look").alias("look"), F.xxhash64(F.lit("second"), "look").alias("look2"))
-    # one exchange serves the grouping and the join below
-    named = named.repartition("field", "look", "look2").distinct()
-    several = named.groupBy("field", "look", "look2").agg(F.min("raw").alias("least"), F.max("raw").alias("most")).filter("least <> most").select("field", "look", "look2")
-    held = named.join(several, ["field", "look", "look2"], "left_semi")
-    a, b = (held.select("field", "look", "look2", F.col("raw").alias(f"raw_{x}"), F.col("pair_id").alias(f"id_{x}")) for x in "ab")
-    return a.join(b, ["field", "look", "look2"]).filter("id_a < id_b and raw_a <> raw_b").select("field", "id_a", "id_b").distinct()
+    name = lambda c: (F.xxhash64(c).alias(f"{c}1"), F.xxhash64(F.lit("second"), c).alias(f"{c}2"))
+    # the one pass over all texts is cut, as it is read twice
+    named = cut(normalized(rows, vocabulary).filter("raw <> ''").select("pair_id", "field", *name("text"), *name("raw")))
+    look, string = ["field", "text1", "text2"], ["field", "raw1", "raw2"]
+    several = named.groupBy(*look).agg(F.min(F.struct("raw1", "raw2")).alias("least"), F.max(F.struct("raw1", "raw2")).alias("most")).filter("least <> most").select(*look)
+    held = named.join(several, look, "left_semi")
+    classes = held.groupBy("field", "text1", "text2", "raw1", "raw2").agg(F.count("*").alias("n"))
+    side = lambda x: classes.select(*look, *(F.col(c).alias(f"{c}_{x}") for c in ("raw1", "raw2", "n")))
+    links = side("a").join(side("b"), look).filter("raw1_a < raw1_b or raw1_a = raw1_b and raw2_a < raw2_b").withColumns({"field_a": F.col("field"), "field_b": F.col("field")})
+    both = members(links, held, held, string, keep=("field_a",)).filter("x <> y")
+    return both.select(F.col("field_a").alias("field"), F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

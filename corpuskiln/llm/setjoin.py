@@ -406,8 +406,8 @@ def verify(pairs: DataFrame, made: DataFrame, threshold: Fraction) -> DataFrame:
 CELL = 1 << 11
 
 
-def members(links: DataFrame, left: DataFrame, right: DataFrame, key: list[str], ids: tuple[str, str] = ("x", "y")) -> DataFrame:
-    """All pairs of ids of linked classes.
+def members(links: DataFrame, left: DataFrame, right: DataFrame, key: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs of ids (``x``, ``y``) of linked classes, with the key columns named in ``keep``.
 
     ``links`` names classes by ``<key>_a`` and ``<key>_b`` and gives their numbers of rows ``n_a`` and
     ``n_b``; ``left`` and ``right`` have the key columns and ``pair_id``.  Classes of many rows are cut
@@ -426,4 +426,4 @@ def members(links: DataFrame, left: DataFrame, right: DataFrame, key: list[str],
         own = rows.select(*key, "pair_id").join(linked, key).select(*(F.col(k).alias(f"{k}_{x}") for k in key), F.pmod(F.xxhash64("pair_id"), chunks("n")).cast("int").alias(f"at_{x}"), F.col("pair_id").alias(name))
         return cells.select(*cell).join(own, [*(f"{k}_{x}" for k in key), f"at_{x}"]).select(*cell, name)
 
-    return side(left, "a", ids[0]).join(side(right, "b", ids[1]), cell).select(*ids)
+    return side(left, "a", "x").join(side(right, "b", "y"), cell).select(*keep, "x", "y")

@@ -58,10 +58,30 @@ def test_look_pairs(spark):
     frame = spark.createDataFrame([(*r, "clash") for r in rows], "pair_id long, original string, corrected string, look string")
     assert {tuple(r) for r in K.found(frame).collect()} == {("original", 1, 2), ("original", 1, 3), ("original", 2, 3), ("original", 5, 6)}
     text = {(r.pair_id, r.field): r.text for r in K.normalized(frame).collect()}
-    assert text[2, "original"] == "my Cafe" and text[5, "original"] == "my Lоnvenpаl" and text[5, "corrected"] == "" and (4, "original") not in text
+    assert text[2, "original"] == "my Cafe" and text[5, "original"] == text[6, "original"] == "my Lonvenpal" and text[5, "corrected"] == "" and (4, "original") not in text
     assert K.found(frame.limit(0)).count() == 0
 
 
+def test_the_corpus_decides(spark):
+    """Close letters of further alphabets, and the script of words without a letter of their own."""
+    rows = [(1, "a gօօd day"), (2, "a good day"), (3, "a gօօx day"), (4, "a gook dax"), (5, "сoр"), (6, "cop"), (7, "нoс и сop"), (8, "нос и сор"), (9, "Օրենք"), (10, "Ꮐood сop")]
+    frame = spark.createDataFrame([(*r, "") for r in rows], "pair_id long, original string, corrected string")
+    assert {tuple(r)[1:] for r in K.found(frame).collect()} == {(1, 2), (5, 6), (7, 8)}
+    text = {r.pair_id: r.text for r in K.normalized(frame).filter("field = 'original'").collect()}
+    assert text[1] == "a good day" and text[3] == "a gօօx day" and text[5] == "cop" and text[7] == "нос и сор" and text[9] == "Օրենք" and text[10] == "Ꮐood cop"
+    # without the words of the corpus only letters of one shape go
+    none = spark.createDataFrame([], "word string")
+    assert {tuple(r)[1:] for r in K.found(frame, none).collect()} == {(5, 6), (7, 8)}
+    words = spark.createDataFrame([("сор",)], "word string")
+    text = {r.pair_id: r.text for r in K.normalized(frame, words).filter("field = 'original'").collect()}
+    assert text[5] == "сор" and text[6] == "cop"
+
+
+def test_common_sentence_with_one_odd_copy(spark):
+    rows = spark.range(3000).selectExpr("id as pair_id", "if(id = 7, 'ｈello', if(id = 9, 'hеllо', 'hello')) as original", "cast(null as string) as corrected")
+    assert K.found(rows).count() == 2 * 2998 + 1
+
+
 CODES = [("ko", "ko"), ("en", "en"), ("fr", "fr"), ("ja", "ja"), ("zh", "zh"), ("de", "de"), ("es", "es"), ("vi", "vi"), ("ru", "ru")]
 
 
