@@ -2,8 +2,8 @@
 
 Only the number of texts of each size matters for a plan, and there are at most as many sizes as the
 capacity: the plan is made on that histogram, and texts are then assigned to it by their rank among those
-of their size.  Reduction comes first (Martello and Toth): an item is fixed with others where that set
-dominates every other set that could hold it.  What is left is packed best-fit, in decreasing order.
+of their size.  Reduction comes first (Martello and Toth): an item is fixed with up to two others where
+that set dominates every other feasible set with it.  What is left is packed best-fit, in decreasing order.
 """
 
 from __future__ import annotations
@@ -32,56 +32,74 @@ class Pattern:
     items: dict[int, int]
 
 
+def _largest_pair(sizes: np.ndarray, count: np.ndarray, room: int) -> int:
+    """The largest sum of two different items that fits the room; 0 if no two do."""
+    if not len(sizes):
+        return 0
+    other = np.searchsorted(sizes, room - sizes, side="right") - 1
+    own = np.arange(len(sizes))
+    other -= (other == own) & (count < 2)
+    fits = other >= 0
+    return int((sizes[fits] + sizes[other[fits]]).max(initial=0))
+
+
+def dominating(counts: dict[int, int], item: int, capacity: int) -> tuple[int, ...] | None:
+    """The other items of a set with ``item`` that dominates every feasible set with it, if one of up to
+    three items does.
+
+    A set dominates another if each of its items is at least as large as the items of the other set that
+    are put on it, these parts together being the whole other set: whatever the other set allows, items
+    can be exchanged without loss.  What decides is how many other items fit beside the item at all.
+    """
+    sizes = np.array(sorted(counts), np.int64)
+    count = np.array([counts[s] for s in sizes.tolist()], np.int64)
+    count[np.searchsorted(sizes, item)] -= 1
+    sizes, count = sizes[count > 0], count[count > 0]
+    room = capacity - item
+    least = np.repeat(sizes[:3], np.minimum(count[:3], 3))[:3]
+    fit = int((np.cumsum(least) <= room).sum())
+    if fit == 0:
+        return ()
+    single = int(sizes[np.searchsorted(sizes, room, side="right") - 1])
+    if fit == 1 or single == room:
+        return (single,)
+    if fit > 2:
+        return None
+    if single >= _largest_pair(sizes, count, room):
+        return (single,)
+    # the largest single partner with the largest that fits beside it: the first covers every single
+    # partner, both cover every pair whose smaller item is no larger than the second
+    beside = sizes[: np.searchsorted(sizes, room - single, side="right")]
+    if len(beside) and beside[-1] == single and count[np.searchsorted(sizes, single)] < 2:
+        beside = beside[:-1]
+    if len(beside):
+        heavier = sizes > beside[-1]
+        if single >= _largest_pair(sizes[heavier], count[heavier], room):
+            return (single, int(beside[-1]))
+    return None
+
+
 def reduce(counts: Counter, capacity: int) -> list[Pattern]:
-    """Fix dominating sets of one or two items; ``counts`` keeps what is left.
+    """Fix dominating sets, item by item from the largest, until no item has one; ``counts`` keeps the rest.
 
-    A set {i, j} with size i + size j = capacity dominates all others with i: whatever else goes with i
-    would fit in the place of j.  If not even the two smallest other items fit beside i, the largest
-    single one that does is best.  An item beside which nothing fits stands alone.
+    A decision depends on which sizes there are, and on whether there are one, two or three items of a
+    size; so it is taken for as many equal items at a time as leave three of each size concerned.
     """
     fixed: list[Pattern] = []
-
-    def fix(times: int, *sizes: int) -> None:
-        if times:
-            fixed.append(Pattern(times, dict(Counter(sizes))))
-            for s in sizes:
-                counts[s] -= times
-                if not counts[s]:
-                    del counts[s]
-
-    for a in sorted(counts, reverse=True):
-        b = capacity - a
-        if a < b or not counts.get(a):
-            break
-        if counts.get(b):
-            fix(counts[a] // 2 if a == b else min(counts[a], counts[b]), a, b)
-    # from the largest on, as long as the outcome for it is certain
-    while counts:
-        sizes = sorted(counts)
-        i = sizes[-1]
-        room = capacity - i
-        left = dict(counts)
-        left[i] -= 1
-        smallest = []
-        for s in sizes:
-            smallest += [s] * min(2 - len(smallest), left[s])
-            if len(smallest) == 2:
-                break
-        if not smallest or smallest[0] > room:
-            fix(counts[i], i) if i > capacity // 2 or room < sizes[0] else fix(1, i)
-            continue
-        j = sizes[bisect.bisect_right(sizes, room) - 1]
-        if j == i and left[i] == 0:
-            j = sizes[-2]
-        if j == room or len(smallest) < 2 or sum(smallest) > room:
-            if i == j:
-                fix(counts[i] // 2 if j == room or sum(smallest) > room else 1, i, j)
-            else:
-                # as long as the two smallest stay the two smallest, the same holds for the next i
-                spare = counts[j] if j not in smallest else 1
-                fix(min(counts[i], spare), i, j)
-            continue
-        break
+    again = True
+    while again:
+        again = False
+        for item in sorted(counts, reverse=True):
+            while counts.get(item) and (others := dominating(counts, item, capacity)) is not None:
+                pattern = Counter((item, *others))
+                spare = min(counts[s] // n for s, n in pattern.items())
+                times = counts[item] if not others else max(1, spare - 4)
+                fixed.append(Pattern(times, dict(pattern)))
+                for s, n in pattern.items():
+                    counts[s] -= times * n
+                    if not counts[s]:
+                        del counts[s]
+                again = True
     return fixed
 
 
@@ -121,20 +139,21 @@ def best_fit(counts: Counter, capacity: int) -> list[Pattern]:
     return [p for group in open_.values() for p in group]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Pattern], list[Pattern]]:
+    """(containers that the reduction fixes, containers that best fit adds)."""
     counts = Counter({s: n for s, n in histogram.items() if n})
-    return reduce(counts, capacity) + best_fit(counts, capacity)
+    return reduce(counts, capacity), best_fit(counts, capacity)
 
 
-def layout(patterns: list[Pattern]) -> np.ndarray:
-    """Rows (size, first rank, items of that size in a container, first container), sorted."""
+def layout(fixed: list[Pattern], packed: list[Pattern]) -> np.ndarray:
+    """Rows (size, first rank, items of that size in a container, first container, fixed), sorted."""
     rows, used, base = [], Counter(), 0
-    for p in patterns:
+    for i, p in enumerate(fixed + packed):
         for size, each in p.items.items():
-            rows.append((size, used[size], each, base))
+            rows.append((size, used[size], each, base, i < len(fixed)))
             used[size] += p.times * each
         base += p.times
-    return np.array(sorted(rows), np.int64).reshape(-1, 4)
+    return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
 def ranked(items: DataFrame, *by: str, order: tuple[str, ...]) -> DataFrame:
@@ -159,13 +178,15 @@ def _assign(table: np.ndarray):
             size, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_tokens", "rank"))
             row = table[np.searchsorted(starts, size * big + rank, side="right") - 1]
             container = row[:, 3] + (rank - row[:, 1]) // row[:, 2]
-            yield pa.RecordBatch.from_arrays([pa.array(container), *(batch.column(c) for c in ("doc_id", "piece_no", "token_start", "n_tokens"))], names=["container_id", "doc_id", "piece_no", "token_start", "n_tokens"])
+            names = ["doc_id", "piece_no", "token_start", "n_tokens"]
+            yield pa.RecordBatch.from_arrays([pa.array(container), *(batch.column(c) for c in names), pa.array(row[:, 4] == 1)], names=["container_id", *names, "fixed"])
 
     return run
 
 
 def containers(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The container of each text: ``container_id``, ``doc_id``, ``piece_no``, ``token_start``, ``n_tokens``.
+    """The container of each text: ``container_id``, ``doc_id``, ``piece_no``, ``token_start``, ``n_tokens``,
+    and whether the reduction ``fixed`` it there.
 
     A text longer than a container is cut into full pieces and a rest, which is packed as an item; no
     other text is split.  Null and empty texts have no row.  Rows repeated under one ``doc_id`` are
@@ -178,11 +199,12 @@ def containers(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str =
     items = sizes.select("doc_id", "n_tokens", piece).select("doc_id", (F.col("piece") + 1).cast("int").alias("piece_no"), (F.col("piece") * capacity).alias("token_start"), length.alias("n_tokens"))
     items = cut(items)
     histogram = {r["n_tokens"]: r["n"] for r in items.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
-    table = layout(plan(histogram, capacity))
-    return ranked(items, "n_tokens", order=("doc_id", "piece_no")).mapInArrow(_assign(table), "container_id long, doc_id long, piece_no int, token_start long, n_tokens long")
+    table = layout(*plan(histogram, capacity))
+    return ranked(items, "n_tokens", order=("doc_id", "piece_no")).mapInArrow(_assign(table), "container_id long, doc_id long, piece_no int, token_start long, n_tokens long, fixed boolean")
 
 
 def summary(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
-    """One row: containers used, the least number that the total size allows, and the part that is filled."""
-    used = containers(documents, capacity, vocabulary).groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
-    return used.agg(F.count("*").alias("n_containers"), F.ceil(F.sum("n") / capacity).alias("least_containers"), (F.sum("n") / (F.count("*") * capacity)).alias("filled"), F.max("n").alias("fullest"))
+    """One row: containers used, the least number that the total size allows, the part that is filled, and
+    the part of the items that the reduction fixed."""
+    used = containers(documents, capacity, vocabulary).groupBy("container_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("items"), F.count_if("fixed").alias("fixed"))
+    return used.agg(F.count("*").alias("n_containers"), F.ceil(F.sum("n") / capacity).alias("least_containers"), (F.sum("n") / (F.count("*") * capacity)).alias("filled"), F.max("n").alias("fullest"), F.sum("items").alias("n_items"), (F.sum("fixed") / F.sum("items")).alias("fixed_share"))

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -118,7 +119,7 @@ def test_plans():
     rng = random.Random(2)
     for capacity, n in ((10, 40), (100, 500), (2048, 3000)):
         sizes = [rng.randint(1, capacity) for _ in range(n)]
-        plan = P.plan({s: sizes.count(s) for s in set(sizes)}, capacity)
+        plan = sum(P.plan({s: sizes.count(s) for s in set(sizes)}, capacity), [])
         used = {}
         for p in plan:
             assert sum(s * k for s, k in p.items.items()) <= capacity
@@ -134,7 +135,54 @@ def test_plans():
             else:
                 first_fit.append(capacity - s)
         assert sum(p.times for p in plan) <= len(first_fit)
-    assert P.plan({}) == []
+    assert P.plan({}) == ([], [])
+
+
+def fewest(sizes, capacity):
+    """The least number of containers, by trying all."""
+    best = len(sizes)
+    sizes = sorted(sizes, reverse=True)
+
+    def put(i, rooms):
+        nonlocal best
+        if len(rooms) >= best and i < len(sizes) or len(rooms) > best:
+            return
+        if i == len(sizes):
+            best = min(best, len(rooms))
+            return
+        for room in sorted(set(rooms)):
+            if room >= sizes[i]:
+                rest = list(rooms)
+                rest[rest.index(room)] -= sizes[i]
+                put(i + 1, rest)
+        put(i + 1, [*rooms, capacity - sizes[i]])
+
+    put(0, [])
+    return best
+
+
+def test_reduction_keeps_the_optimum():
+    """What the reduction fixes is part of a best packing; sets of two and three that leave space are fixed."""
+    rng = random.Random(8)
+    loose = Counter()
+    for _ in range(300):
+        capacity = rng.choice((20, 50, 100))
+        low = rng.choice((1, capacity // 5, capacity // 4))
+        sizes = [rng.randint(low, capacity * 3 // 5) for _ in range(rng.randint(1, 9))]
+        counts = Counter(sizes)
+        fixed = P.reduce(counts, capacity)
+        n = sum(p.times for p in fixed)
+        assert all(sum(s * k for s, k in p.items.items()) <= capacity for p in fixed)
+        assert n + fewest(list(counts.elements()), capacity) == fewest(sizes, capacity)
+        for p in fixed:
+            if sum(s * k for s, k in p.items.items()) < capacity:
+                loose[sum(p.items.values())] += 1
+    assert loose[2] > 50 and loose[3] > 20
+    # 50 with 30 and 19: no single partner is above 30, and no pair has a second item above 19
+    assert set(P.dominating(Counter([50, 30, 19, 17, 90]), 50, 100)) == {30, 19}
+    # many equal items are fixed at once
+    many = Counter({60: 10**9, 35: 10**9, 30: 10**9})
+    assert sum(p.times for p in P.reduce(many, 100)) >= 10**9
 
 
 def test_containers(spark):
