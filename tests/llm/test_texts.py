@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from corpuskiln.llm import languages as I
 from corpuskiln.llm import lookalike as K
@@ -45,6 +46,44 @@ def test_long_spans(spark):
     assert R.found(frame.limit(0)).count() == 0
 
 
+def test_parts_of_shared_stretches(spark):
+    """Documents that hold parts of a passage which others hold as a whole; passages side by side."""
+    rng = random.Random(11)
+    text = lambda n, a="abcdefgh 가나다라": "".join(rng.choice(a) for _ in range(n))
+    a, b, c = text(700), text(400), text(130)
+    docs = [(1, a + b), (2, text(40) + a), (3, a[:450] + a[451:]), (4, a[200:420] + text(9) + b), (5, b[100:] + a[:150]), (6, c + b[:120]), (7, text(300) + c), (8, a[:99] + c[1:]), (9, b), (10, b), (11, a[300:] + b[:90])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {tuple(r) for r in R.found(frame).collect()} == spans(docs)
+
+
+def test_symbols_grow():
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefgh 가나다라") for _ in range(3000))
+    text, _, starts = R.lay_out([passage, passage[500:]])
+    start, end = R.high_symbols(text)
+    assert (end - start).max() > 1000 and (end - start).min() >= R.WINDOW
+    # a symbol of the passage stands in its later part as well, under one hash
+    h = R.substring_hashes(text)(start, end)[0]
+    first, second = set(h[start < starts[1]].tolist()), set(h[start >= starts[1]].tolist())
+    assert len(first & second) > 5
+
+
+def test_a_passage_in_every_document_sends_little():
+    rng = random.Random(13)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(200))
+    own = lambda: "".join(rng.choice("abcdefgh") for _ in range(150))
+    ids = list(range(4000))
+    batch = pa.RecordBatch.from_pydict({"doc_id": ids, "body": ids, "text": [own() + passage for _ in ids]})
+    sent = {}
+    for out in R._send_keys(1)(iter([batch])):
+        for kind, blob in zip(out.column("kind").to_pylist(), out.column("blob").to_pylist()):
+            if kind == R._ENTRIES:
+                n, d, _, _ = np.frombuffer(blob, np.uint32, 4).tolist()
+                for h in np.frombuffer(blob, np.uint64, n, 16).tolist():
+                    sent[h] = sent.get(h, 0) + 1
+    assert len(sent) > 1000 and max(sent.values()) <= 2
+
+
 def test_looks():
     same = [("Cafe", "Саfе"), ("école", "école"), ("ＡＢＣ　１", "ABC 1"), ("a​b", "ab"), ("a\xa0b", "a b"), ("каша", "кaшa"), ("ещё", "ещë"), ("ｶﾞ", "ガ"), ("한", "한"), ("No", "Νο"), ("ㅋ", "ﾻ"), ("a­b", "ab")]
     for a, b in same:
