@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -109,6 +110,41 @@ def ngrams(words: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.slice(words, i, n))
 
 
+def grams(words: Column, n: int) -> Column:
+    """The n-grams of an array of words as texts."""
+    return F.transform(ngrams(words, n), lambda g: F.array_join(g, " "))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once, also where lambdas within ``use`` ask for it again and again."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
+def numbered(items: Column) -> Column:
+    """The sorted items, each with its number among its equals, so that a multiset becomes a set."""
+    return let(F.array_sort(items), lambda ordered: F.transform(ordered, lambda x, i: F.struct(x.alias("item"), (i - F.array_position(ordered, x)).alias("number"))))
+
+
+def common_count(a: Column, b: Column) -> Column:
+    """How many items two arrays have in common, counted with their copies."""
+    return F.size(F.array_intersect(numbered(a), numbered(b)))
+
+
+def lacking_count(a: Column, b: Column) -> Column:
+    """How many items of the first array, counted with their copies, the second has none of."""
+    return let(b, lambda others: F.size(F.filter(a, lambda x: ~F.array_contains(others, x))))
+
+
+def item_counts(items: Column) -> Column:
+    """Structs (item, cnt) of the distinct items of an array."""
+
+    def counted(ordered: Column, kinds: Column) -> Column:
+        starts = F.transform(kinds, lambda x: F.array_position(ordered, x).cast("int"))
+        return let(F.array_append(starts, F.size(ordered) + 1), lambda at: F.transform(kinds, lambda x, i: F.struct(x.alias("item"), (F.get(at, i + 1) - F.get(at, i)).cast("long").alias("cnt"))))
+
+    return let(F.array_sort(items), lambda ordered: let(F.array_distinct(ordered), lambda kinds: counted(ordered, kinds)))
+
+
 def word_pairs(words: Column, overlapping: bool = True) -> Column:
     """Neighbouring words as pairs, each word twice or once."""
     pairs = ngrams(words, 2)

@@ -1,4 +1,4 @@
-"""GLEU by joins of n-gram counts and sums; no text leaves the executors' columns."""
+"""GLEU by n-gram counts within the row and sums; no text leaves the executors' columns."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuskiln.functions.text import ngrams, tokens
+from corpuskiln.functions.text import common_count, grams, item_counts, lacking_count, let, tokens
 
 ORDER = 4
 SIDES = ("hyp", "src", "ref")
@@ -17,12 +17,33 @@ ITERATIONS = 500
 
 
 def gram_counts(rows: DataFrame, *keys: str, column: str, order: int = ORDER) -> DataFrame:
-    """Counts of the n-grams of an array of tokens, for n up to ``order``."""
+    """Counts of the n-grams of each row's array of tokens, for n up to ``order``, made within the row."""
+
     def of(n: int) -> Column:
-        return F.transform(ngrams(F.col(column), n), lambda g: F.struct(F.lit(n).alias("n"), F.array_join(g, " ").alias("gram")))
+        return F.transform(item_counts(grams(F.col(column), n)), lambda g: F.struct(F.lit(n).alias("n"), g["item"].alias("gram"), g["cnt"].alias("cnt")))
 
     each = F.concat(*(of(n) for n in range(1, order + 1)))
-    return rows.select(*keys, F.explode(each).alias("g")).select(*keys, "g.*").groupBy(*keys, "n", "gram").agg(F.count("*").alias("cnt"))
+    return rows.select(*keys, F.explode(each).alias("g")).select(*keys, "g.*")
+
+
+def _per_order(rows: DataFrame, keys: tuple[str, ...], name: str, value: Callable[[int], Column], order: int) -> DataFrame:
+    each = F.array(*(F.struct(F.lit(n).alias("n"), value(n).cast("long").alias(name)) for n in range(1, order + 1)))
+    return rows.select(*keys, F.explode(F.filter(each, lambda x: x[name] > 0)).alias("x")).select(*keys, "x.*")
+
+
+def shared_grams(rows: DataFrame, *keys: str, left: str, right: str, order: int = ORDER) -> DataFrame:
+    """How many n-grams two arrays of tokens of a row have in common, as multisets; rows of none left out."""
+    return _per_order(rows, keys, "common", lambda n: common_count(grams(F.col(left), n), grams(F.col(right), n)), order)
+
+
+def grams_of_one(rows: DataFrame, *keys: str, left: str, right: str, order: int = ORDER) -> DataFrame:
+    """How many n-grams of the first array the second lacks altogether; rows of none left out."""
+    return _per_order(rows, keys, "only_source", lambda n: lacking_count(grams(F.col(left), n), grams(F.col(right), n)), order)
+
+
+def without(a: Column, b: Column) -> Column:
+    """The items of the first array that the second has none of, with their copies."""
+    return let(b, lambda others: F.filter(a, lambda x: ~F.array_contains(others, x)))
 
 
 def document_frequency(rows: DataFrame, column: str = "words", order: int = ORDER) -> DataFrame:
@@ -36,24 +57,18 @@ def merged_references(references: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def statistics(triples: DataFrame, keys: tuple[str, ...] = ("sid",), order: int = ORDER) -> DataFrame:
-    """Lengths and, for each n, numerator and denominator of every sentence (``hyp``, ``src``, ``ref``).
+    """Lengths and, for each n, numerator and denominator of every row (``hyp``, ``src``, ``ref``).
 
-    One aggregation over the n-grams of all three sides takes the place of joins between them.
+    All n-grams concerned stand in one row, so they are matched there and nothing is moved.
     """
     rows = triples.select(*keys, *(tokens(F.col(s)).alias(s) for s in SIDES))
-    grams = None
-    for s in SIDES:
-        own = gram_counts(rows, *keys, column=s, order=order).withColumnRenamed("cnt", s)
-        own = own.select(*keys, "n", "gram", *(F.col(x) if x == s else F.lit(0).cast("long").alias(x) for x in SIDES))
-        grams = own if grams is None else grams.unionByName(own)
-    by_gram = grams.groupBy(*keys, "n", "gram").agg(*(F.sum(s).alias(s) for s in SIDES))
-    only_source = F.when(F.col("ref") == 0, F.col("src")).otherwise(0)
-    signed = F.least("hyp", "ref") - F.least("hyp", only_source)
-    per = by_gram.groupBy(*keys).agg(*(F.sum(F.when(F.col("n") == n, signed).otherwise(0)).alias(f"raw{n}") for n in range(1, order + 1)))
-    sized = rows.select(*keys, F.size("hyp").cast("long").alias("c"), F.size("ref").cast("long").alias("r"))
-    joined = sized.join(per, list(keys), "left")
-    columns = [c for n in range(1, order + 1) for c in (F.greatest(F.coalesce(f"raw{n}", F.lit(0)), F.lit(0)).cast("long").alias(f"num{n}"), F.greatest(F.col("c") + 1 - n, F.lit(0)).alias(f"den{n}"))]
-    return joined.select(*keys, "c", "r", *columns)
+    out = [F.size("hyp").cast("long").alias("c"), F.size("ref").cast("long").alias("r")]
+    for n in range(1, order + 1):
+        hyp, src, ref = (grams(F.col(s), n) for s in SIDES)
+        only_source = without(src, ref)
+        signed = common_count(hyp, ref) - common_count(hyp, only_source)
+        out += [F.greatest(signed, F.lit(0)).cast("long").alias(f"num{n}"), F.greatest(F.size("hyp") + 1 - n, F.lit(0)).cast("long").alias(f"den{n}")]
+    return rows.select(*keys, *out)
 
 
 def names(order: int = ORDER) -> list[str]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuskiln.functions.text import ngrams, rouge_text, tokens
+from corpuskiln.functions.text import common_count, grams, rouge_text, tokens
 
 
 def prf(hyp: Column, ref: Column, common: Column, alpha: float = 0.5, weight: float = 1.0) -> list[Column]:
@@ -22,17 +22,10 @@ def prf(hyp: Column, ref: Column, common: Column, alpha: float = 0.5, weight: fl
 
 
 def n_counts(pairs: DataFrame, n: int, *keys: str) -> DataFrame:
-    """Counts of n-grams of ``hyp`` and ``ref`` and of those in common, for each row of unique ``keys``."""
+    """Counts of n-grams of ``hyp`` and ``ref`` and of those in common, for each row."""
     words = pairs.select(*keys, *(tokens(rouge_text(F.col(s))).alias(s) for s in ("hyp", "ref")))
-    rows = words.select(*keys, *(ngrams(F.col(s), n).alias(s) for s in ("hyp", "ref")))
-    def of(side: str) -> Column:
-        return F.transform(side, lambda g: F.struct(F.array_join(g, " ").alias("g"), F.lit(side).alias("side")))
-
-    each = F.concat(of("hyp"), of("ref"))
-    grams = rows.select(*keys, F.explode(each).alias("x")).groupBy(*keys, "x.g").agg(F.count_if(F.col("x.side") == "hyp").alias("h"), F.count_if(F.col("x.side") == "ref").alias("r"))
-    common = grams.groupBy(*keys).agg(F.sum(F.least("h", "r")).alias("n_common"))
-    sizes = rows.select(*keys, F.size("hyp").cast("long").alias("n_hyp"), F.size("ref").cast("long").alias("n_ref"))
-    return sizes.join(common, list(keys), "left").fillna(0, ["n_common"])
+    rows = words.select(*keys, *(grams(F.col(s), n).alias(s) for s in ("hyp", "ref")))
+    return rows.select(*keys, F.size("hyp").cast("long").alias("n_hyp"), F.size("ref").cast("long").alias("n_ref"), common_count(F.col("hyp"), F.col("ref")).cast("long").alias("n_common"))
 
 
 def rouge_n(pairs: DataFrame, n: int, *keys: str, alpha: float = 0.5) -> DataFrame:

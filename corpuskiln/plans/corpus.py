@@ -182,20 +182,10 @@ _counted = f"(SELECT pair_id, n, gram, count(*) AS cnt FROM ({_grams('orig', _PA
 add("a11_merged_references", lambda s, d: G.merged_references(_refs(s, d)), f"SELECT pair_id AS sid, n, gram, max(cnt) AS cnt FROM {_counted} GROUP BY 1, 2, 3")
 
 
-def _two(s, d) -> tuple[DataFrame, DataFrame]:
-    rows = pairs(s, d).select("pair_id", X.tokens(F.col("orig")).alias("o"), X.tokens(F.col("cor")).alias("c"))
-    return tuple(G.gram_counts(rows, "pair_id", column=x) for x in "oc")
-
-
-def _overlap(s, d) -> DataFrame:
-    a, b = _two(s, d)
-    both = a.join(b.withColumnRenamed("cnt", "other"), ["pair_id", "n", "gram"])
-    return both.groupBy("pair_id", "n").agg(F.sum(F.least("cnt", "other")).alias("common"))
-
-
+_two = lambda s, d: pairs(s, d).select("pair_id", X.tokens(F.col("orig")).alias("o"), X.tokens(F.col("cor")).alias("c"))
 _SIDES = f"o AS (SELECT pair_id, n, gram, count(*) AS cnt FROM ({_grams('orig', _PAIRS, 'pair_id')}) GROUP BY ALL), c AS (SELECT pair_id, n, gram, count(*) AS cnt FROM ({_grams('cor', _PAIRS, 'pair_id')}) GROUP BY ALL)"
-add("j05_multiset_intersection", _overlap, f"WITH {_SIDES} SELECT pair_id, n, CAST(sum(least(o.cnt, c.cnt)) AS BIGINT) AS common FROM o JOIN c USING (pair_id, n, gram) GROUP BY 1, 2")
-add("j06_ngram_anti_join", lambda s, d: (lambda a, b: a.join(b, ["pair_id", "n", "gram"], "left_anti").groupBy("pair_id", "n").agg(F.sum("cnt").alias("only_source")))(*_two(s, d)), f"WITH {_SIDES} SELECT pair_id, n, CAST(sum(o.cnt) AS BIGINT) AS only_source FROM o ANTI JOIN c USING (pair_id, n, gram) GROUP BY 1, 2")
+add("j05_multiset_intersection", lambda s, d: G.shared_grams(_two(s, d), "pair_id", left="o", right="c"), f"WITH {_SIDES} SELECT pair_id, n, CAST(sum(least(o.cnt, c.cnt)) AS BIGINT) AS common FROM o JOIN c USING (pair_id, n, gram) GROUP BY 1, 2")
+add("j06_ngram_anti_join", lambda s, d: G.grams_of_one(_two(s, d), "pair_id", left="o", right="c"), f"WITH {_SIDES} SELECT pair_id, n, CAST(sum(o.cnt) AS BIGINT) AS only_source FROM o ANTI JOIN c USING (pair_id, n, gram) GROUP BY 1, 2")
 
 # ---- GLEU --------------------------------------------------------------------------------------------
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,13 +20,18 @@ def partitions(spark: SparkSession) -> int:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where the session names none (tests, one machine) is a temporary folder set.
+    Only a session on one machine (tests) that names none gets a temporary folder; a cluster must name its own.
     """
-    jsc = spark.sparkContext._jsc.sc()
+    context = spark.sparkContext
+    jsc = context._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
-    wanted = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    spark.sparkContext.setCheckpointDir(wanted or os.path.join(tempfile.gettempdir(), "corpuskiln-checkpoint"))
+    wanted = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not wanted:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        wanted = tempfile.mkdtemp(prefix="corpuskiln-checkpoint-")
+    context.setCheckpointDir(wanted)
     return jsc.getCheckpointDir().get()
 
 
