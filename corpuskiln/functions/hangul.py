@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -121,64 +122,69 @@ def join_tokens(left: str, right: str) -> tuple[str, str | None]:
     return (left[:-1] + made + right[1:], None) if made else (left, right)
 
 
-Vowel = Callable[[tuple[str, str, str], tuple[str, str, str]], str | None]
+# A token spelled out: three places for each character, a syllable as initial, medial and final letter.
+NO_FINAL, NO_LETTER = "-", "·"
+_OPEN = "[ㅏㅓㅕㅐㅔ]-"
 
+#: Contractions as (pattern over the spelled token, what it becomes); each is made once, at the last place.
+CONTRACTIONS: dict[str, list[tuple[str, str]]] = {
+    "34": [(f"ㅎ{_OPEN}ㅇ[ㅕㅏ](.)", "ㅎㅐ{1}"), (f"(?=.{_OPEN})(..)-ㅇ[ㅏㅓㅕㅐㅔ](.)", "{1}{2}")],
+    "35": [("ㄴㅗㅎㅇ[ㅏㅓ]ㅆ", "ㄴㅘㅆ"), ("(.)ㅗ-ㅇㅏㅆ", "{1}ㅘㅆ"), ("(.)ㅜ-ㅇㅓㅆ", "{1}ㅝㅆ"), ("(.)ㅚ-ㅇㅓㅆ", "{1}ㅙㅆ")],
+    "36": [("(.)ㅣ-ㅇㅓㅆ", "{1}ㅕㅆ")],
+}
+#: A stem in ㅂ that softens, at the first place; what follows the vowel goes or stays.
+SOFTENED = ("ㄹ([ㅕㅓ])ㅂㅇㅓ-", "ㄹ{1}-ㅇㅝ-")
 # Vowels that contract, and what they become.
-_OPEN = "ㅏㅓㅕㅐㅔ"
 _PAIRS = {"ㅗㅏ": "ㅘ", "ㅜㅓ": "ㅝ", "ㅚㅓ": "ㅙ"}
 
 
-def _rule_34(before: tuple[str, str, str], vowel: tuple[str, str, str]) -> str | None:
-    if vowel[1] in _OPEN and before[1] in _OPEN and before[2] == " ":
-        return "ㅐ" if before[0] == "ㅎ" and vowel[1] in "ㅕㅏ" else before[1]
-    return None
+def spell(token: str) -> str:
+    out = []
+    for c in token:
+        three = parts(c)
+        out.append("".join(three).replace(" ", NO_FINAL) if FIRST <= ord(c) <= LAST else c + NO_LETTER * 2)
+    return "".join(out)
 
 
-def _rule_35(before: tuple[str, str, str], vowel: tuple[str, str, str]) -> str | None:
-    if vowel[1] not in "ㅏㅓ" or vowel[2] != "ㅆ":
-        return None
-    if before == ("ㄴ", "ㅗ", "ㅎ"):
-        return "ㅘ"
-    return _PAIRS.get(before[1] + vowel[1]) if before[2] == " " else None
+def unspell(spelled: str) -> str:
+    units = (spelled[i : i + 3] for i in range(0, len(spelled), 3))
+    return "".join(u[0] if u[1] == NO_LETTER else syllable(u[0], u[1], u[2].replace(NO_FINAL, " ")) or "" for u in units)
 
 
-def _rule_36(before: tuple[str, str, str], vowel: tuple[str, str, str]) -> str | None:
-    return "ㅕ" if before[1:] == ("ㅣ", " ") and vowel[1:] == ("ㅓ", "ㅆ") else None
+@lru_cache(None)
+def _compiled(name: str) -> tuple[re.Pattern, list[tuple[re.Pattern, str]]]:
+    place = "|".join(re.sub(r"\((?![?])", "(?:", p) for p, _ in CONTRACTIONS[name])
+    return re.compile(f"(?s)((?:...)*)(?={place})"), [(re.compile(f"(?s){p}"), re.sub(r"{(.)}", r"\\\1", r)) for p, r in CONTRACTIONS[name]]
 
 
-def _contract(token: str, rule: Vowel) -> str:
-    """Apply a rule to the last pair of characters it fits."""
-    for i in range(len(token) - 1, 0, -1):
-        here, before = parts(token[i]), parts(token[i - 1])
-        if here[0] == "ㅇ" and here[1].strip() and before[0].strip():
-            vowel = rule(before, here)
-            made = vowel and syllable(before[0], vowel, here[2])
-            if made:
-                return token[: i - 1] + made + token[i + 1 :]
-    return token
+def contract_once(spelled: str, name: str) -> str:
+    """One contraction of a spelled token, at the last place that it fits."""
+    place, rules = _compiled(name)
+    if found := place.match(spelled):
+        at = found.end()
+        for pattern, made in rules:
+            if hit := pattern.match(spelled, at):
+                return spelled[:at] + hit.expand(made) + spelled[hit.end() :]
+    return spelled
 
 
-def _soften(token: str, keep_rest: bool) -> str:
-    """렵어 and 럽어 become 려워 and 러워; the rest of the token goes unless it is to be kept."""
-    for i in range(len(token) - 1):
-        if token[i] in "렵럽" and token[i + 1] == "어":
-            return token[:i] + ("려" if token[i] == "렵" else "러") + "워" + (token[i + 2 :] if keep_rest else "")
-    return token
+_SOFT = re.compile(f"(?s)((?:...)*?){SOFTENED[0]}(.*)")
 
 
-RULES: dict[str, Vowel] = {"34": _rule_34, "35": _rule_35, "36": _rule_36}
+def soften(spelled: str, keep_rest: bool) -> str:
+    found = _SOFT.fullmatch(spelled)
+    return found.expand(r"\1" + SOFTENED[1].replace("{1}", r"\2") + (r"\3" if keep_rest else "")) if found else spelled
 
 
 def contract(token: str, keep_rest: bool = False) -> str:
     """All contractions, again and again until nothing changes."""
-    while True:
-        after = token
-        for rule in RULES.values():
-            after = _contract(after, rule)
-        after = _soften(after, keep_rest)
-        if after == token:
-            return token
-        token = after
+    spelled, before = spell(token), None
+    while spelled != before:
+        before = spelled
+        for name in CONTRACTIONS:
+            spelled = contract_once(spelled, name)
+        spelled = soften(spelled, keep_rest)
+    return unspell(spelled)
 
 
 @lru_cache(1 << 16)
@@ -265,15 +271,66 @@ def _udf(kernel: Callable[[str], str]):
     return run
 
 
-absorb_consonants = _udf(absorb)
 contract_token = _udf(contract)
-contract_34, contract_35, contract_36 = (_udf(lambda t, r=r: _contract(t, r)) for r in RULES.values())
-soften_token = _udf(lambda t: _soften(t, False))
 
 
-@F.pandas_udf(T.StructType([T.StructField("head", T.StringType()), T.StructField("tail", T.StringType())]))
-def joined_tokens(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([join_tokens(a, b) if isinstance(a, str) and isinstance(b, str) else (a, b) for a, b in zip(left, right)], columns=["head", "tail"])
+# ---- the same over spelled tokens, as Columns ----------------------------------------------------------
+
+
+def spelled(token: Column) -> Column:
+    """A token spelled out, three places for each character."""
+    one = lambda c: F.when(is_syllable(c), F.replace(F.concat(*(decompose(c)[x] for x in ("cho", "jung", "jong"))), F.lit(" "), F.lit(NO_FINAL))).otherwise(F.concat(c, F.lit(NO_LETTER * 2)))
+    return F.array_join(F.transform(F.split(token, ""), one), "")
+
+
+def unspelled(letters: Column) -> Column:
+    def one(unit: Column) -> Column:
+        at = lambda i: F.substring(unit, i, 1)
+        return F.when(at(2) == NO_LETTER, at(1)).otherwise(compose(at(1), at(2), F.when(at(3) == NO_FINAL, " ").otherwise(at(3))))
+
+    return F.array_join(F.transform(F.regexp_extract_all(letters, F.lit("(?s)..."), 0), one), "")
+
+
+def _spelled_rule(token: Column, change: Callable[[Column], Column]) -> Column:
+    return F.when(token == "", token).otherwise(unspelled(change(spelled(token))))
+
+
+def contracted(token: Column, name: str) -> Column:
+    """One contraction of a token, at the last place that one of its patterns fits."""
+    rules = CONTRACTIONS[name]
+    places = [f"(?s)^((?:...)*){p}" for p, _ in rules]
+
+    def change(letters: Column) -> Column:
+        # of the patterns that fit, the one furthest on; the first of equals
+        head = [F.when(letters.rlike(p), F.length(F.regexp_extract(letters, p, 1))).otherwise(-1) for p in places]
+        furthest = F.greatest(*head, F.lit(-1)) if len(head) > 1 else head[0]
+        out = letters
+        for p, (_, made), at in reversed(list(zip(places, rules, head))):
+            become = "$1" + made.replace("{2}", "$3").replace("{1}", "$2")
+            out = F.when((at == furthest) & (at >= 0), F.regexp_replace(letters, p, become)).otherwise(out)
+        return out
+
+    return _spelled_rule(token, change)
+
+
+def softened(token: Column) -> Column:
+    """A token whose stem in ㅂ softens before a vowel; the rest of the token goes."""
+    return _spelled_rule(token, lambda x: F.regexp_replace(x, f"(?s)^((?:...)*?){SOFTENED[0]}.*", "$1" + SOFTENED[1].replace("{1}", "$2")))
+
+
+def absorbed(token: Column) -> Column:
+    """Consonant letters that follow a syllable become its final, the last of several."""
+    finals = FINALS.strip()
+    pattern = f"([{INITIALS}][{MEDIALS}])[{finals}{NO_FINAL}](?:[{finals}]{NO_LETTER * 2})*([{finals}]){NO_LETTER * 2}"
+    return _spelled_rule(token, lambda x: F.regexp_replace(x, pattern, "$1$2"))
+
+
+def joined(left: Column, right: Column) -> Column:
+    """Struct (head, tail): a consonant that begins ``right`` folded into the end of ``left``, if possible."""
+    last, first = F.right(left, F.lit(1)), F.substring(right, 1, 1)
+    made = F.when(is_consonant(first) & is_syllable(last), compose(decompose(last)["cho"], decompose(last)["jung"], first))
+    whole = F.concat(F.substring(left, F.lit(1), F.length(left) - 1), made, F.substring(right, F.lit(2), F.length(right)))
+    return F.struct(F.coalesce(whole, left).alias("head"), F.when(made.isNull(), right).alias("tail"))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -261,9 +261,9 @@ _FIRST = f"SELECT pair_id, o[1] AS c FROM ({_RAW}) WHERE o <> ''"
 add("h03_is_korean", lambda s, d: _first(s, d).select("pair_id", H.is_korean(F.col("c")).alias("korean")), f"SELECT pair_id, unicode(c) BETWEEN 44032 AND 55203 OR unicode(c) BETWEEN 12593 AND 12643 AS korean FROM ({_FIRST})")
 add("h04_is_consonant", lambda s, d: _first(s, d).select("pair_id", H.is_consonant(F.col("c")).alias("consonant")), f"SELECT pair_id, unicode(c) BETWEEN 12593 AND 12622 AS consonant FROM ({_FIRST})")
 _tok = lambda s, d: pairs(s, d).select(F.explode(X.tokens(F.col("orig"))).alias("token")).distinct()
-for _name, _f in {"h05_absorb_consonants": H.absorb_consonants, "h08_contract": H.contract_token, "h09_rule_34": H.contract_34, "h10_rule_35": H.contract_35, "h11_rule_36": H.contract_36, "h12_soften": H.soften_token}.items():
-    add(_name, lambda s, d, f=_f: _tok(s, d).select("token", f("token").alias("made")))
-add("h07_join_tokens", lambda s, d: pairs(s, d).select("pair_id", F.explode(X.word_pairs(X.tokens(F.col("orig")))).alias("w")).select("pair_id", H.joined_tokens(F.col("w")[0], F.col("w")[1]).alias("x")).select("pair_id", "x.*"))
+for _name, _f in {"h05_absorb_consonants": H.absorbed, "h08_contract": H.contract_token, "h09_rule_34": lambda c: H.contracted(c, "34"), "h10_rule_35": lambda c: H.contracted(c, "35"), "h11_rule_36": lambda c: H.contracted(c, "36"), "h12_soften": H.softened}.items():
+    add(_name, lambda s, d, f=_f: _tok(s, d).select("token", f(F.col("token")).alias("made")))
+add("h07_join_tokens", lambda s, d: pairs(s, d).select("pair_id", F.explode(X.word_pairs(X.tokens(F.col("orig")))).alias("w")).select("pair_id", H.joined(F.col("w")[0], F.col("w")[1]).alias("x")).select("pair_id", "x.*"))
 add("h13_compose_vowels", lambda s, d: _dec(s, d).select("k", H.compose_vowels(F.col("jung"), F.lit("ㅏ")).alias("v")), f"SELECT k, CASE WHEN jung = 'ㅗ' THEN 'ㅘ' END AS v FROM ({_DEC})")
 add("h14_levenshtein", lambda s, d: table(s, d, "part").select("p_partkey", F.levenshtein("p_name", "p_type").alias("distance")), "SELECT p_partkey, levenshtein(p_name, p_type) AS distance FROM part")
 add("h14_weighted_levenshtein", lambda s, d: pairs(s, d).select("pair_id", H.weighted_distance({("을", "를"): 0.5, ("를", "을"): 0.5})("orig", "cor").alias("distance")))
