@@ -22,11 +22,23 @@ def where_both(pairs: DataFrame, f: Callable[[Column], Column]) -> DataFrame:
     return pairs.filter(f(F.col("orig")) & f(F.col("cor")))
 
 
+def token_ratio(o: Column, c: Column) -> Column:
+    per = F.try_divide(F.size(X.tokens(c)), F.size(X.tokens(o)))
+    return (per > 0.25) & (per < 4)
+
+
+def char_ratio(o: Column, c: Column) -> Column:
+    per = F.try_divide(F.length(c), F.length(o))
+    return (per > 0.5) & (per < 1.25)
+
+
+def enough_tokens(o: Column, c: Column, least: int = 5) -> Column:
+    return F.least(F.size(X.tokens(c)), F.size(X.tokens(o))) > least
+
+
 def balanced(o: Column, c: Column) -> Column:
     """Whether two sides are of like length, in tokens and in characters, and long enough."""
-    n, m = F.size(X.tokens(o)), F.size(X.tokens(c))
-    per_token, per_char = F.try_divide(m, n), F.try_divide(F.length(c), F.length(o))
-    return (per_token > 0.25) & (per_token < 4) & (per_char > 0.5) & (per_char < 1.25) & (F.least(n, m) > 5)
+    return token_ratio(o, c) & char_ratio(o, c) & enough_tokens(o, c)
 
 
 def ratios(pairs: DataFrame) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from corpuskiln.functions.text import let
 
 IGNORE = -100
 
@@ -24,17 +24,19 @@ def split_sizes(n: int) -> tuple[int, int, int]:
     return n - held, held - test, test
 
 
+#: Rows that one range of the split should hold.
+RANGE = 100_000
+
+
 def split(rows: DataFrame, key: str) -> DataFrame:
     """Add ``split`` with exact sizes, in the order of a hash of the key.
 
-    Places come from an approximate range partitioning, counts before each range and a numbering within
-    it, so no task sees all rows.
+    A range holds the keys whose hash begins with the same digits; places are counts before the range and
+    a numbering within it.  There are enough ranges for some RANGE rows each, so no task sees many.
     """
-    from corpuskiln.util import partitions
-
     ordered = rows.withColumn("_o", order_key(F.col(key)))
     # a hash in hexadecimal is even over its first digits, which serve as ranges
-    digits = 2 if partitions(rows.sparkSession) <= 256 else 4
+    digits = max(1, math.ceil(math.log(max(1, rows.count()) / RANGE, 16)))
     ordered = ordered.withColumn("_r", F.substring("_o", 1, digits))
     before = ordered.groupBy("_r").agg(F.count("*").alias("_n")).withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_t", F.sum("_n").over(Window.partitionBy()))
     placed = ordered.join(before.select("_r", "_b", "_t"), "_r").withColumn("_p", F.col("_b") + F.row_number().over(Window.partitionBy("_r").orderBy("_o", key)))
@@ -79,8 +81,9 @@ def unmask(labels: Column, end_id: int = 1) -> Column:
 
 
 def chance(key: Column, salt: Column | str) -> Column:
-    """A number from 0 to 1 that a key and salt fix."""
-    return F.pmod(F.xxhash64(key, F.lit(salt) if isinstance(salt, str) else salt), F.lit(1_000_000)) / 1_000_000
+    """A number from 0 to 1 that a key and salt fix: the first 32 bits of the MD5 of both."""
+    salt = F.lit(salt) if isinstance(salt, str) else salt
+    return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), salt.cast("string"))), 1, 8), 16, 10).cast("double") / (1 << 32)
 
 
 def mask_words(words: Column, key: Column, share: float = 0.1, mask: str = "<mask>") -> Column:
@@ -117,15 +120,10 @@ def steps(n_rows: int, batch: int, devices: int = 1, epochs: int = 1, warmup: fl
     return {"per_epoch": per, "total": per * epochs, "warmup": int(per * epochs * warmup), "log_every": max(1, min(50, per))}
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def softmax(values: pd.Series) -> pd.Series:
-    import numpy as np
-
-    def one(v):
-        e = np.exp(np.array(v, float) - max(v)) if len(v) else np.array([])
-        return e / e.sum() if len(v) else e
-
-    return values.map(one)
+def softmax(values: Column) -> Column:
+    """The softmax of an array of numbers; an empty array stays empty."""
+    powers = lambda v: F.transform(v, lambda x: F.exp(x - F.array_max(v)))
+    return let(powers(values), lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def best_so_far(scores: DataFrame, by: str = "gleu") -> DataFrame:

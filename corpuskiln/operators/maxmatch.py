@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuskiln.util import partitions
+
 Arc = tuple[str, int, int, str, str, int]  # kind, start, end, original, correction, unchanged words
 EPSILON = 0.001
 
@@ -192,10 +194,21 @@ def single(counted: DataFrame, beta: float = 0.5) -> DataFrame:
     return total.select(*_COUNTS.names, *scores(F.col("correct"), F.col("proposed"), F.col("gold"), beta))
 
 
-def running(counted: DataFrame) -> DataFrame:
-    """Cumulative counts in the order of ``sid``."""
-    upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
-    return counted.select("sid", *(F.sum(c).over(upto).alias(c) for c in _COUNTS.names))
+def running(counted: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Cumulative counts in the order of ``sid``.
+
+    Rows are summed by ranges of ``sid`` (between quantiles), and numbered on within their range, so that
+    no task reads all of them.
+    """
+    n = ranges or partitions(counted.sparkSession)
+    bounds = sorted(set(counted.approxQuantile("sid", [i / n for i in range(1, n)], 0.01))) if n > 1 else []
+    at = sum((F.when(F.col("sid") > b, 1).otherwise(0) for b in bounds), F.lit(0))
+    rows = counted.withColumn("range", at)
+    sums = rows.groupBy("range").agg(*(F.sum(c).alias(f"all_{c}") for c in _COUNTS.names))  # one row for each range
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("range", *(F.coalesce(F.sum(f"all_{c}").over(before), F.lit(0)).alias(f"before_{c}") for c in _COUNTS.names))
+    upto = Window.partitionBy("range").orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(F.broadcast(sums), "range").select("sid", *((F.col(f"before_{c}") + F.sum(c).over(upto)).alias(c) for c in _COUNTS.names))
 
 
 def choose(rows: Iterator[tuple[int, list[tuple[int, int, int]]]], beta: float = 0.5) -> tuple[int, int, int]:
