@@ -23,7 +23,7 @@ from corpuskiln.util import cut, partitions
 BLOCK = 512
 SLOTS = 1024
 #: Output shards are made larger before there are more of them than this.
-SHARDS = 4096
+SHARDS = 1 << 16
 SEED = 20
 
 U = np.uint64
@@ -179,6 +179,20 @@ def mixture(documents: DataFrame, targets: DataFrame, total_blocks: int | None =
     return slots.join(pieces, ["source_no", "block"]).select("shard", "slot", name.alias("source"), "doc_id", "token_start", "token_end", "round")
 
 
+def invariants(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """For each target source whether it has texts, whether no text of it is used more than ``max_repeats``
+    times, and whether its share meets its weight (among the sources with texts) to a few blocks."""
+    mixed = mixture(documents, targets, vocabulary=vocabulary)
+    used = mixed.groupBy("source", "doc_id").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("used"))
+    sizes = sized(documents, vocabulary=vocabulary).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"))
+    per = used.join(sizes, "doc_id").groupBy("source").agg(F.sum("used").alias("used"), F.max(F.col("used") / F.col("n")).alias("most"))
+    # a row for each source, so windows over all of them are small
+    every = Window.partitionBy(F.lit(1))
+    rows = targets.select("source", "weight", "max_repeats").join(per, "source", "left").withColumn("weight", F.when(F.col("used") > 0, F.col("weight")))
+    share, wanted = F.col("used") / F.sum("used").over(every), F.col("weight") / F.sum("weight").over(every)
+    return rows.select("source", (F.coalesce("used", F.lit(0)) > 0).alias("has_texts"), (F.coalesce("most", F.lit(0.0)) <= F.col("max_repeats")).alias("repeats_kept"), F.coalesce(F.abs(share - wanted) * F.sum("used").over(every) <= 8 * BLOCK, F.lit(True)).alias("share_met"))
+
+
 def shares(documents: DataFrame, targets: DataFrame, total_blocks: int | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """For each target source: its weight, the tokens and share it really has, and its most frequent use."""
     mixed = mixture(documents, targets, total_blocks, vocabulary)

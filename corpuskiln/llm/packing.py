@@ -208,3 +208,14 @@ def summary(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VO
     the part of the items that the reduction fixed."""
     used = containers(documents, capacity, vocabulary).groupBy("container_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("items"), F.count_if("fixed").alias("fixed"))
     return used.agg(F.count("*").alias("n_containers"), F.ceil(F.sum("n") / capacity).alias("least_containers"), (F.sum("n") / (F.count("*") * capacity)).alias("filled"), F.max("n").alias("fullest"), F.sum("items").alias("n_items"), (F.sum("fixed") / F.sum("items")).alias("fixed_share"))
+
+
+def invariants(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
+    """One row: texts placed with all their tokens, containers beyond the capacity, and texts that are cut
+    though they fit a container."""
+    placed = containers(documents, capacity, vocabulary)
+    per = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"))
+    whole = sized(documents, vocabulary=vocabulary).groupBy("doc_id").agg(F.sum("n_tokens").alias("size"))
+    texts = whole.join(per, "doc_id", "left").agg(F.count_if(F.col("n") == F.col("size")).alias("n_texts"), F.count_if((F.col("pieces") > 1) & (F.col("size") <= capacity)).alias("n_cut"))
+    full = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("n")).agg(F.count_if(F.col("n") > capacity).alias("n_overfull"))
+    return texts.crossJoin(full)  # one row each
