@@ -1,15 +1,19 @@
 """Languages of texts and of the stretches of mixed texts, by hierarchical discrimination (p4).
 
-The script of its letters, taken as what they look like, gives the family of each word.  Within a
-family of several languages, linear support vector machines separate each pair of languages (one versus
-one); the language that wins most pairs is taken.  A word's features add up, so the machines score single
-words once and a stretch by the sum of its words.
+A linear machine predicts the family of each word from the scripts of its letters, taken as what they
+look like.  Within a family of several languages, linear support vector machines separate each pair of
+languages (one versus one); the language that wins most pairs is taken.  A word's features add up, so the
+machines score single words once and a stretch by the sum of its words.
+
+The confidence of a stretch is that of its family, of its language within the family, and the part of its
+letters that the labelled texts of the language have.
 """
 
 from __future__ import annotations
 
 import math
 import re as plain_re
+import unicodedata as ud
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -38,8 +42,12 @@ MARGIN = 0.25
 #: A stretch without any mark is cut in two only where both parts are so clearly of their own language.
 CLEAR = 1.0
 
-#: A little of each language, so that fitting on a tiny table knows all of them.
+#: A language with fewer labelled stretches than this in the sample also gets the text below.
+FEW = 20
+#: A little of each language for such tables.
 SEED = {
+    "ko": "오늘은 날씨가 아주 좋아서 친구와 함께 공원에 가서 책을 읽고 사진도 많이 찍었습니다. 그래서 정말 기뻤어요.",
+    "ru": "Это дом, и у нас не много времени. Я хотел бы пойти с женщиной в город, потому что там очень красиво, ещё тихо и есть объявления.",
     "de": "Das ist ein Haus und wir haben nicht viel Zeit. Ich möchte mit der Frau in die Stadt gehen, weil es sehr schön ist.",
     "en": "This is a house and we do not have much time. I would like to go to the town with the woman, because it is very nice.",
     "es": "Esta es una casa y no tenemos mucho tiempo. Me gustaría ir a la ciudad con la mujer, porque es muy bonito para los niños.",
@@ -95,20 +103,36 @@ class Machines:
             score = self.memo[word] = self.weights[:, features(word, self.family)].mean(axis=1)
         return score
 
+    def __post_init__(self) -> None:
+        self.langs = FAMILIES[self.family]
+        place = {x: i for i, x in enumerate(self.langs)}
+        self.first, self.second = (np.array([place[p[k]] for p in self.pairs]) for k in (0, 1))
+        self.wins, self.losses = (np.eye(len(self.langs))[x] for x in (self.first, self.second))
+        # the pair of two languages, and whether its margin is that of the first of them
+        self.pair, self.sign = np.zeros((len(self.langs),) * 2, np.int64), np.zeros((len(self.langs),) * 2)
+        for i, (x, y) in enumerate(zip(self.first, self.second)):
+            self.pair[x, y] = self.pair[y, x] = i
+            self.sign[x, y], self.sign[y, x] = 1, -1
+
     def margins(self, words: list[str]) -> np.ndarray:
         return np.sum([self.word(w) for w in words], axis=0) / len(words) + self.bias
 
+    def best(self, margins: np.ndarray) -> np.ndarray:
+        """The place of the language that wins most pairs, for each row; the margins of its pairs decide ties."""
+        vote = 1 + 0.4 * np.tanh(np.abs(margins))
+        ahead = margins > 0
+        return np.argmax((vote * ahead) @ self.wins + (vote * ~ahead) @ self.losses, axis=1)
+
     def decide(self, margins: np.ndarray) -> tuple[str, float]:
-        """The language that wins most pairs, the margins of its pairs deciding ties; and its confidence."""
-        votes: Counter = Counter()
-        for (a, b), m in zip(self.pairs, margins):
-            votes[a if m > 0 else b] += 1 + 0.4 * math.tanh(abs(m))
-        best = max(sorted(votes), key=lambda x: votes[x])
-        return best, min(1 / (1 + math.exp(-3 * self.against(margins, best, x))) for x in FAMILIES[self.family] if x != best)
+        """The language that wins most pairs, and its confidence: that of its closest pair."""
+        i = int(self.best(margins[None])[0])
+        own = (margins[self.pair[i]] * self.sign[i])[np.arange(len(self.langs)) != i]
+        return self.langs[i], float(1 / (1 + math.exp(-3 * own.min())))
 
     def against(self, margins: np.ndarray, a: str, b: str) -> float:
         """The margin of a over b."""
-        return float(margins[self.pairs.index((a, b))]) if a < b else -float(margins[self.pairs.index((b, a))])
+        i, j = self.langs.index(a), self.langs.index(b)
+        return float(margins[self.pair[i, j]] * self.sign[i, j])
 
 
 def fit(family: str, examples: list[tuple[str, list[str]]], rounds: int = 40, penalty: float = 1e-3) -> Machines:
@@ -146,14 +170,62 @@ def fit(family: str, examples: list[tuple[str, list[str]]], rounds: int = 40, pe
     return Machines(family, pairs, weights, bias)
 
 
+SCRIPTS = ("hangul", "cyrillic", "latin", "han")
+
+
+@dataclass
+class Families:
+    """The machine of the families: a weight row for each family over the shares of scripts."""
+
+    weights: np.ndarray  # (families, scripts)
+
+    def __post_init__(self) -> None:
+        names = list(FAMILIES)
+        # a word has letters of one script, so its family and that family's confidence are the script's
+        odds = np.exp(self.weights - self.weights.max(axis=0))
+        self.of = {script: names[int(i)] for script, i in zip(SCRIPTS, self.weights.argmax(axis=0))}
+        self.confidence = dict(zip(SCRIPTS, (odds.max(axis=0) / odds.sum(axis=0)).tolist()))
+
+
+def fit_families(examples: list[tuple[str, np.ndarray]], rounds: int = 60) -> Families:
+    """One hinge machine for each family against the rest, on (family, shares of scripts).
+
+    Examples whose label the machines contradict are left out of a second fit, as labels may be wrong.
+    """
+    names = list(FAMILIES)
+    shares = np.array([x for _, x in examples])
+    label = np.array([names.index(f) for f, _ in examples])
+    use = np.ones(len(label), bool)
+    for _ in range(2):
+        weights = np.zeros((len(names), len(SCRIPTS)))
+        for i in range(len(names)):
+            y = np.where(label == i, 1.0, -1.0)
+            for r in range(rounds):
+                push = use & (y * (shares @ weights[i]) < 1)
+                side = [np.sum(use & (y == v)) or 1 for v in (1.0, -1.0)]
+                weight = np.where(y > 0, 1 / side[0], 1 / side[1]) * push
+                weights[i] += 4.0 / (1 + 0.1 * r) * ((y * weight) @ shares)
+        use = (shares @ weights.T).argmax(axis=1) == label
+    return Families(4 * weights)
+
+
 @dataclass
 class Segment:
     start: int
     end: int
-    family: str
+    script: str
     words: list[str]
+    family: str = ""
     lang: str = ""
     confidence: float = 1.0
+    fitted: bool = False  # whether machines chose among languages
+
+
+def alphabet(word: str) -> list[str]:
+    """The letters of a word: those that syllables are made of; of Han and kana only the kind."""
+    if _HAN.search(word) or _KANA.search(word):
+        return ["kana" if _KANA.match(c) else "han" for c in word]
+    return [c for c in ud.normalize("NFD", word.lower()) if c.isalpha() or ud.combining(c)]
 
 
 def _units(family: str, words: list[str]) -> list[str]:
@@ -171,7 +243,7 @@ def clauses(text: str) -> Iterator[tuple[int, int]]:
 
 
 def families(text: str) -> tuple[list[Segment], Segment | None]:
-    """(the stretches of one family that count, all the words of the text's main family)."""
+    """(the stretches of one script that count, all the words of the text's main script)."""
     segments: list[Segment] = []
     total: dict[str, list] = {}
     for a, b in clauses(text):
@@ -182,7 +254,7 @@ def families(text: str) -> tuple[list[Segment], Segment | None]:
             n = len(m[0]) if family == "han" else 1
             size[family] += n
             total.setdefault(family, []).append(m[0])
-            if runs and runs[-1].family == family:
+            if runs and runs[-1].script == family:
                 runs[-1].end = m.end()
                 runs[-1].words.append(m[0])
             else:
@@ -193,10 +265,10 @@ def families(text: str) -> tuple[list[Segment], Segment | None]:
         share = {f: size[f] / LEAST[f] for f in size}
         main = max(sorted(share), key=lambda f: share[f])
         if share[main] >= 1:
-            own = [r for r in runs if r.family == main]
+            own = [r for r in runs if r.script == main]
             segments.append(Segment(own[0].start, own[-1].end, main, [w for r in own for w in r.words]))
         for r in runs:
-            if r.family != main and (sum(map(len, r.words)) if r.family == "han" else len(r.words)) >= LEAST[r.family]:
+            if r.script != main and (sum(map(len, r.words)) if r.script == "han" else len(r.words)) >= LEAST[r.script]:
                 segments.append(r)
     if not total:
         return [], None
@@ -208,7 +280,7 @@ def families(text: str) -> tuple[list[Segment], Segment | None]:
 def _apart(segment: Segment, text: str) -> list[Segment]:
     """Stretches of Han characters without kana stand apart from Japanese."""
     body = text[segment.start : segment.end]
-    if segment.family != "han" or not _KANA.search(body):
+    if segment.script != "han" or not _KANA.search(body):
         return [segment]
     out, at = [], 0
     for m in _HAN_RUN.finditer(body):
@@ -216,7 +288,7 @@ def _apart(segment: Segment, text: str) -> list[Segment]:
             out += [(at, m.start()), (m.start(), m.end())]
             at = m.end()
     out.append((at, len(body)))
-    made = [Segment(segment.start + a, segment.start + b, "han", [m[0] for m in _LETTERS.finditer(body, a, b) if m.lastgroup == "han"]) for a, b in out if b > a]
+    made = [Segment(segment.start + a, segment.start + b, "han", [m[0] for m in _LETTERS.finditer(body, a, b) if m.lastgroup == "han"], segment.family) for a, b in out if b > a]
     made = [s for s in made if sum(map(len, s.words)) >= LEAST["han"]]
     return made or [segment]
 
@@ -230,37 +302,44 @@ def _latin_clause(text: str) -> bool:
 class Identifier:
     """Finds the languages of texts with fitted machines."""
 
-    def __init__(self, machines: dict[str, Machines]) -> None:
-        self.machines = machines
+    def __init__(self, machines: dict[str, Machines], scripts: Families, letters: dict[str, frozenset]) -> None:
+        self.machines, self.scripts, self.letters = machines, scripts, letters
+
+    def _sure(self, segment: Segment) -> float:
+        """Confidence of a stretch's family, and the part of its letters that its language is known to have."""
+        seen = self.letters.get(segment.lang, frozenset())
+        own = [x for w in segment.words for x in alphabet(w)]
+        return self.scripts.confidence[segment.script] * (sum(x in seen for x in own) + 0.5) / (len(own) + 1)
 
     def _split(self, segment: Segment, text: str) -> list[Segment]:
         """Cut a stretch of words in two where two languages explain it much better than one."""
-        least = LEAST[segment.family]
+        least = LEAST[segment.script]
         machine = self.machines[segment.family]
         words = segment.words
-        if segment.family == "han" or len(words) < 2 * least:
+        if segment.script == "han" or len(words) < 2 * least:
             return [segment]
         upto = np.cumsum([machine.word(w) for w in words], axis=0)
-        whole, _ = machine.decide(upto[-1] / len(words) + machine.bias)
-        best, gain = None, 0.0
-        for i in range(least, len(words) - least + 1):
-            left, right = upto[i - 1] / i + machine.bias, (upto[-1] - upto[i - 1]) / (len(words) - i) + machine.bias
-            a, b = machine.decide(left)[0], machine.decide(right)[0]
-            if a == b:
-                continue
-            now = min(machine.against(left, a, b), machine.against(right, b, a))
-            if now > max(gain, CLEAR) and whole in (a, b):
-                best, gain = i, now
+        n = len(words)
+        whole = int(machine.best(upto[-1:] / n + machine.bias)[0])
+        i = np.arange(least, n - least + 1)
+        left, right = upto[i - 1] / i[:, None] + machine.bias, (upto[-1] - upto[i - 1]) / (n - i)[:, None] + machine.bias
+        a, b = machine.best(left), machine.best(right)
+        pair, sign, at = machine.pair[a, b], machine.sign[a, b], np.arange(len(i))
+        gain = np.where((a != b) & ((a == whole) | (b == whole)), np.minimum(left[at, pair] * sign, -right[at, pair] * sign), 0)
+        best = int(i[gain.argmax()]) if gain.max() > CLEAR else None
         if best is None:
             return [segment]
-        spots = [m for m in _LETTERS.finditer(text, segment.start, segment.end) if m.lastgroup == segment.family]
-        return [Segment(segment.start, spots[best - 1].end(), segment.family, words[:best]), Segment(spots[best].start(), segment.end, segment.family, words[best:])]
+        spots = [m for m in _LETTERS.finditer(text, segment.start, segment.end) if m.lastgroup == segment.script]
+        return [Segment(segment.start, spots[best - 1].end(), segment.script, words[:best], segment.family), Segment(spots[best].start(), segment.end, segment.script, words[best:], segment.family)]
 
-    def segments(self, text: str) -> list[Segment]:
-        """The stretches of a text that count, each with its language; one for a text without a clause."""
+    def segments(self, text: str, sure: bool = True) -> list[Segment]:
+        """The stretches of a text that count, each with its language and, if asked for, its confidence; one
+        for a text without a clause."""
         found, main = families(text)
         if main is None:
             return []
+        for s in (*found, main):
+            s.family = self.scripts.of[s.script]
         if not found:
             found = [main]
         else:
@@ -273,11 +352,14 @@ class Identifier:
             sizes = np.array([len(_units(family, s.words)) for s in own], float)
             chief = machine.decide(np.average(scores, axis=0, weights=sizes))[0] if len(own) > 1 else None
             for s, m in zip(own, scores):
+                s.fitted = True
                 s.lang, s.confidence = machine.decide(m)
                 if chief and s.lang != chief and machine.against(m, s.lang, chief) < MARGIN:
                     s.lang, s.confidence = chief, 0.5
         for s in found:
             s.lang = s.lang or FAMILIES[s.family][0]
+            if sure:
+                s.confidence *= self._sure(s)
         return found
 
     def _split_if(self, segment: Segment, text: str) -> list[Segment]:
@@ -286,7 +368,7 @@ class Identifier:
     def languages(self, text: str) -> list[str]:
         if _HANGUL.search(text) and _PLAIN.fullmatch(text) and not _latin_clause(text) and len(_LATIN.findall(text)) < 2 * len(_HANGUL.findall(text)):
             return ["ko"]
-        return sorted({s.lang for s in self.segments(prepared(text))})
+        return sorted({s.lang for s in self.segments(prepared(text), sure=False)})
 
 
 def prepared(text: str) -> str:
@@ -295,20 +377,35 @@ def prepared(text: str) -> str:
 
 
 def train(rows: DataFrame, codes: DataFrame, sample: int = SAMPLE) -> Identifier:
-    """Fit the machines on at most ``sample`` labelled rows, chosen by a hash of their id."""
+    """Fit the machines on labelled rows, chosen by a hash of their id: at most ``sample`` of the languages
+    that share a family, and a tenth of it of each other language."""
+    labelled = rows.select("pair_id", "original", "lang_label").join(F.broadcast(codes.select(F.col("label").alias("lang_label"), "lang").distinct()), "lang_label").filter("original is not null")
     several = [x for f in FAMILIES.values() if len(f) > 1 for x in f]
-    labelled = rows.select("pair_id", "original", "lang_label").join(F.broadcast(codes.filter(F.col("lang").isin(several)).select(F.col("label").alias("lang_label"), "lang").distinct()), "lang_label")
-    labelled = labelled.filter("original is not null")
-    # only the rows of the smallest hashes are sorted, some times as many as are wanted
-    part = min(1.0, 4 * sample / max(1, labelled.count()))
-    low = F.pmod(F.xxhash64("pair_id"), F.lit(1 << 40)) < int(part * (1 << 40))
-    chosen = labelled.filter(low).orderBy(F.xxhash64("pair_id"), "original").limit(sample).select("lang", "original").collect()
+    first = lambda langs, n: labelled.filter(F.col("lang").isin(langs)).orderBy(F.xxhash64("pair_id"), "original").limit(n).select("lang", "original")
+    chosen = first(several, sample)
+    for lang in sorted({*LANGUAGES} - {*several}):
+        chosen = chosen.union(first([lang], max(1, sample // 10)))
+    texts = [(r["lang"], r["original"]) for r in chosen.collect()]
+    count = Counter(lang for lang, _ in texts)
+    texts += [(lang, text) for lang, text in SEED.items() if count[lang] < FEW]
+    family_of = {x: f for f, langs in FAMILIES.items() for x in langs}
     examples: dict[str, list[tuple[str, list[str]]]] = {f: [] for f, langs in FAMILIES.items() if len(langs) > 1}
-    for lang, text in [*((r["lang"], r["original"]) for r in chosen), *SEED.items()]:
-        for s in families(prepared(text))[0]:
-            if lang in FAMILIES[s.family] and s.family in examples:
-                examples[s.family].append((lang, _units(s.family, s.words)))
-    return Identifier({f: fit(f, x) for f, x in examples.items()})
+    shares, letters = [], {lang: Counter() for lang in LANGUAGES}
+    for lang, text in texts:
+        found, main = families(prepared(text))
+        if main is None:
+            continue
+        size = Counter({main.script: sum(map(len, main.words))})
+        for s in found:
+            size[s.script] = max(size[s.script], sum(map(len, s.words)))
+        shares.append((family_of[lang], np.array([size[x] for x in SCRIPTS]) / sum(size.values())))
+        for s in found:
+            if lang in FAMILIES[s.script]:
+                letters[lang].update(x for w in s.words for x in alphabet(w))
+                if s.script in examples:
+                    examples[s.script].append((lang, _units(s.script, s.words)))
+    known = {lang: frozenset(c) for lang, c in letters.items()}
+    return Identifier({f: fit(f, x) for f, x in examples.items()}, fit_families(shares), known)
 
 
 _FIELDS = ("original", "corrected")
@@ -328,31 +425,33 @@ def _languages(identifier: Identifier):
 def _segments(identifier: Identifier):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for name in _FIELDS:
                 for pair, raw in zip(batch.column("pair_id").to_pylist(), batch.column(name).to_pylist()):
                     text = prepared(raw) if raw else ""
                     for i, s in enumerate(sorted(identifier.segments(text), key=lambda s: s.start) if text else ()):
-                        for column, value in zip(out, (pair, name, i + 1, text[s.start : s.end], s.lang, float(s.confidence))):
+                        for column, value in zip(out, (pair, name, i + 1, text[s.start : s.end], s.lang, float(s.confidence), s.fitted)):
                             column.append(value)
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["pair_id", "field", "segment_no", "segment", "lang", "confidence"])
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["pair_id", "field", "segment_no", "segment", "lang", "confidence", "fitted"])
 
     return run
 
 
 def segments(rows: DataFrame, codes: DataFrame) -> DataFrame:
-    """Each stretch of each field with its language and confidence; null and letterless fields have none."""
+    """Each stretch of each field with its language and confidence, and whether machines chose among the
+    languages of its family (``fitted``); null and letterless fields have none."""
     identifier = train(rows, codes)
-    return rows.select("pair_id", *_FIELDS).distinct().mapInArrow(_segments(identifier), "pair_id long, field string, segment_no int, segment string, lang string, confidence double")
+    return rows.select("pair_id", *_FIELDS).distinct().mapInArrow(_segments(identifier), "pair_id long, field string, segment_no int, segment string, lang string, confidence double, fitted boolean")
 
 
 def documents(rows: DataFrame, codes: DataFrame) -> DataFrame:
-    """Each language of each field with its share of the stretches' length and its mean confidence."""
+    """Each language of each field with its share of the stretches' length, its mean confidence, and the part
+    of it that machines chose among several languages."""
     parts = segments(rows, codes).withColumn("n", F.char_length("segment"))
-    per = parts.groupBy("pair_id", "field", "lang").agg(F.sum("n").alias("chars"), (F.sum(F.col("confidence") * F.col("n")) / F.sum("n")).alias("confidence"))
+    per = parts.groupBy("pair_id", "field", "lang").agg(F.sum("n").alias("chars"), (F.sum(F.col("confidence") * F.col("n")) / F.sum("n")).alias("confidence"), (F.sum(F.when(F.col("fitted"), F.col("n")).otherwise(0)) / F.sum("n")).alias("fitted_share"))
     total = parts.groupBy("pair_id", "field").agg(F.sum("n").alias("total"))
-    return per.join(total, ["pair_id", "field"]).select("pair_id", "field", "lang", (F.col("chars") / F.col("total")).alias("share"), "confidence")
+    return per.join(total, ["pair_id", "field"]).select("pair_id", "field", "lang", (F.col("chars") / F.col("total")).alias("share"), "confidence", "fitted_share")
 
 
 def found(rows: DataFrame, codes: DataFrame) -> DataFrame:

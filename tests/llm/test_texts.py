@@ -142,6 +142,18 @@ def test_languages(spark):
     assert I.found(frame.limit(0), codes).count() == 0
 
 
+def test_families_are_fitted_and_confidence_falls(spark):
+    rows = [(i, t, x) for i in range(60) for t, x in (("오늘은 친구와 함께 학교에 갔습니다", "ko"), ("Я не знаю почему мы здесь живём", "ru"), ("I would like to know why it is so", "en"), ("私は毎日友達と学校へ行きます", "ja"))]
+    rows += [(900 + i, "오늘은 친구와 함께 학교에 갔습니다", "en") for i in range(20)]  # wrong labels
+    codes = spark.createDataFrame(CODES, "label string, lang string")
+    fitted = I.train(spark.createDataFrame(rows, "pair_id long, original string, lang_label string"), codes)
+    assert fitted.scripts.of == {f: f for f in I.FAMILIES} and all(0.6 < c <= 1 for c in fitted.scripts.confidence.values())
+    sure = lambda t: fitted.segments(t)[0]
+    russian, ukrainian = sure("Я не знаю почему мы здесь"), sure("Я їхав її є ще їжа її")
+    assert russian.lang == ukrainian.lang == "ru" and ukrainian.confidence < 0.8 < russian.confidence
+    assert not russian.fitted and sure("I would like to know why").fitted
+
+
 def test_held_out_accuracy(spark):
     """Machines fitted on some sentences know the language of others."""
     names = {"en": "I would like to know why the {} from {} is so quiet", "de": "Wir möchten mit {} das Buch und den {} sehen", "fr": "Nous avons perdu avec {} le pont et la {}", "es": "No sé por qué el {} de {} es muy triste", "vi": "Tôi không biết tại sao cái {} của {} lại rất buồn"}
