@@ -186,8 +186,8 @@ def _apostrophes(text: str, language: str) -> str:
 
 def tokenize(text: str, language: str = "en", brackets: bool = False) -> list[str]:
     """Words, numbers and marks of a text: dots and dashes stay together in runs, commas stay in numbers,
-    full stops stay with abbreviations, and clitics come apart.  ``brackets`` writes brackets and double
-    quotes in the treebank's way and splits contractions."""
+    full stops stay with abbreviations, and clitics come apart.  ``brackets`` writes brackets and quotes in
+    the treebank's way (an opening single quote is a backtick) and splits contractions."""
     text = f" {text.strip()} "
     text = re.sub(r"([^\w\s.'`,\-\"|/])", r" \1 ", text).replace("|", " -PIPE- ")
     text = re.sub(r"(?<=\S)/(?=\S)", " / ", text)
@@ -196,8 +196,9 @@ def tokenize(text: str, language: str = "en", brackets: bool = False) -> list[st
             text = text.replace(mark, f" {name} ")
         text = re.sub(r"(?<=\S)\"|\"(?=\s*$)", " '' ", text)
         text = text.replace('"', " `` ").replace("''", "\3")
-        text = re.sub(r"'(ll|re|ve|LL|RE|VE)", " \0\\1", text)
-        text = re.sub(r"(n)'(t)|(N)'(T)", lambda m: " " + (m[1] or m[3]) + "\0" + (m[2] or m[4]), text)
+        text = re.sub(r"(?<=\s)'(?=\S)", " ` ", text)
+        text = re.sub(r"'(ll|re|ve|LL|RE|VE)", " \4\\1", text)
+        text = re.sub(r"(n)'(t)|(N)'(T)", lambda m: " " + (m[1] or m[3]) + "\4" + (m[2] or m[4]), text)
         text = re.sub(r"([Cc])annot", r"\1an not", text)
     runs: list[str] = []
 
@@ -208,7 +209,7 @@ def tokenize(text: str, language: str = "en", brackets: bool = False) -> list[st
     text = re.sub(r"\.{2,}|-{2,}", hold, text)
     text = re.sub(r"(?<!\d),|,(?!\d)", " , ", text)
     text = _apostrophes(text, language)
-    words = text.split()
+    words = " ".join(text.split()).replace("' '", "''").split()  # two single quotes are one mark
     out: list[str] = []
     for i, word in enumerate(words):
         if len(word) > 1 and word.endswith("."):
@@ -218,7 +219,8 @@ def tokenize(text: str, language: str = "en", brackets: bool = False) -> list[st
                 out += [stem, "."]
                 continue
         out.append(word)
-    return [re.sub("\1(\\d+)\2", lambda m: runs[int(m[1])], w).replace("\0", "'").replace("\3", "''") for w in out]
+    out = " ".join(out).replace("' '", "''").split()
+    return [re.sub("\1(\\d+)\2", lambda m: runs[int(m[1])], w).replace("\4", "'").replace("\3", "''") for w in out]
 
 
 def tokenizer(language: str = "en", brackets: bool = False):

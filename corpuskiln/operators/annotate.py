@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,6 +88,21 @@ def annotate(pairs: DataFrame, lemma: DataFrame | None = None, pos: DataFrame |
     return pairs.join(lex, "pair_id", "left").withColumn("edits", edits_of(how, spelling is not None)("orig", "cor", F.col("lex").cast(_LEX))).drop("lex")
 
 
+def applied(tokens: Column, edits: Column, correction: Callable[[Column], Column] = lambda e: e["cor"]) -> Column:
+    """The text of an array of tokens with each edit (``start``, ``end``) put in, in their order; edits of
+    an empty correction leave nothing."""
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+
+    def put(state: Column, e: Column) -> Column:
+        kept = F.slice(tokens, state["at"] + 1, F.greatest(e["start"] - state["at"], F.lit(0)))
+        made = F.when(correction(e) == "", none).otherwise(F.array(correction(e)))
+        return F.struct(e["end"].alias("at"), F.concat(state["out"], kept, made).alias("out"))
+
+    rest = lambda state: F.array_join(F.concat(state["out"], F.slice(tokens, state["at"] + 1, F.greatest(F.size(tokens) - state["at"], F.lit(0)))), " ")
+    return F.aggregate(edits, start, put, rest)
+
+
 def exploded(annotated: DataFrame) -> DataFrame:
     """One row for each edit."""
     return annotated.select("pair_id", F.posexplode("edits").alias("edit_no", "e")).select("pair_id", "edit_no", "e.*")

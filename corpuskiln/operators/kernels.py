@@ -292,6 +292,36 @@ def morph_groups(words: Sequence[str], morphs: Sequence[tuple[str, str]]) -> lis
         if groups:
             at = max(at, owner[place[s]]) if m and s < n else at
             groups[at].append((surface, tag))
+    whole_groups = [g for g in groups if g]
+    return split_groups(whole_groups, words) if whole_groups and len(whole_groups) < len(words) else groups
+
+
+def split_groups(groups: list[list[tuple[str, str]]], words: Sequence[str]) -> list[list[tuple[str, str]]]:
+    """Split groups of morphemes until there is one for each word.
+
+    The first group two or more letters away from its word is split, or else the furthest one: before the
+    suffix that is nearest to the next word (before 하, if that stands there), a single morpheme after its
+    first character.
+    """
+    from corpuskiln.functions.hangul import letter_distances
+
+    text = lambda g: "".join(m for m, _ in g)
+    groups = list(groups)
+    while len(groups) < len(words):
+        far = letter_distances([text(g) for g in groups], list(words[: len(groups)])).tolist()
+        i = next((k for k, d in enumerate(far) if d >= 2), far.index(max(far)))
+        g = groups[i]
+        if len(g) == 1:
+            surface, tag = g[0]
+            parts = [(surface[:1].strip(), tag)], [(surface[1:].strip(), tag)]
+        else:
+            near = letter_distances([text(g[k:]) for k in range(len(g))], [words[i + 1]] * len(g)).tolist()
+            at = near.index(min(near))
+            if at and g[at - 1][0] == "하":
+                at -= 1
+            at = max(at, 1)
+            parts = g[:at], g[at:]
+        groups[i : i + 1] = parts
     return groups
 
 

@@ -7,7 +7,7 @@ large negative weight; the lightest path names the system's edits.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -98,17 +98,45 @@ class Lattice:
         self.order, self.arcs, self.length = order, arcs, length
         self.nodes = nodes
 
+    def _is(self, e: tuple, g: tuple) -> bool:
+        return self.arcs[e][3] == g[2] and self.arcs[e][4] in g[3]
+
+    def _weigh_insertions(self, here: list[tuple], wanted: list[tuple], weight: dict[tuple, float]) -> None:
+        """Weights of the insertions at one place, whose order matters: arcs are read from both ends in
+        turn, each gold edit serves once, and after a match only an arc that joins on comes next."""
+        rest, gold = deque(here), deque(wanted)
+        left = True
+        while rest:
+            left = left or len(rest) == 1
+            e = rest.popleft() if left else rest.pop()
+            taken = next((i for i in (range(len(gold)) if left else reversed(range(len(gold)))) if self._is(e, gold[i])), None)
+            if taken is None:
+                if self.arcs[e][0] != "noop":
+                    weight[e] += EPSILON
+                left = not left
+                continue
+            weight[e] = -float(len(self.order))
+            kept = list(gold)
+            gold = deque(kept[taken + 1 :] if left else kept[:taken])
+            while rest and (rest[0][0] != e[1] if left else rest[-1][1] != e[0]):
+                weight[rest.popleft() if left else rest.pop()] += EPSILON
+
     def best(self, gold: Sequence[tuple[int, int, str, Sequence[str]]]) -> list[Arc]:
         """The edits of the lightest path, gold edits (start, end, original, corrections) being preferred."""
         weight = {e: float(self.length[e]) for e in self.order}
+        places: dict[tuple[int, int], list[tuple]] = defaultdict(list)
         for e in self.order:
-            kind, start, end, original, correction, _ = self.arcs[e]
-            if kind == "noop":
+            places[self.arcs[e][1:3]].append(e)
+        for (start, end), here in places.items():
+            wanted = [g for g in gold if (g[0], g[1]) == (start, end)]
+            if start == end:
+                self._weigh_insertions(sorted(here), wanted, weight)
                 continue
-            if any(g[0] == start and g[1] == end and g[2] == original and correction in g[3] for g in gold):
-                weight[e] = -float(len(self.order))
-            else:
-                weight[e] += EPSILON
+            for e in here:
+                if any(self._is(e, g) for g in wanted):
+                    weight[e] = -float(len(self.order))
+                elif self.arcs[e][0] != "noop":
+                    weight[e] += EPSILON
         far = {v: float("inf") for v in self.nodes}
         far[0, 0] = 0.0
         came: dict[tuple, tuple] = {}

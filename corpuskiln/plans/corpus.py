@@ -403,6 +403,16 @@ add("w02_runs_of_edits", lambda s, d: spread(s, d).select("pair_id", A.alignment
 add("f20_not_matching", lambda s, d: spread(s, d).select("pair_id", F.size(F.filter(A.alignment("orig", "cor"), lambda m: m["op"] != "M")).alias("n_edits")))
 
 
+# edits put into the original give the correction, whole tables through
+_WHOLE = f"SELECT pair_id, array_to_string({sql_tokens('cor')}, ' ') AS made FROM ({_PAIRS})"
+_squeezed = lambda c: F.array_join(X.tokens(c), " ")
+for _name, _how in {"d06_edits_applied": "rules", "d07_split_applied": "split", "d07_equal_applied": "equal", "d07_all_applied": "all"}.items():
+    add(_name, lambda s, d, how=_how: _annotated(s, d, how).select("pair_id", _squeezed(A.applied(X.split_tokens(F.col("orig")), F.col("edits"))).alias("made")), _WHOLE)
+add("a04_unchanged", lambda s, d: _annotated(s, d).agg(F.count("*").alias("n_lines"), F.count_if(F.size("edits") == 0).alias("n_unchanged")), f"SELECT count(*) AS n_lines, count(*) FILTER (orig = cor) AS n_unchanged FROM ({_PAIRS})")
+add("f20_differing", lambda s, d: spread(s, d).select("pair_id", F.exists(A.alignment("orig", "cor"), lambda m: m["op"] != "M").alias("differs")), f"SELECT pair_id, orig <> cor AS differs FROM ({_PAIRS})")
+add("w01_runs_cover", lambda s, d: spread(s, d).select("pair_id", A.alignment("orig", "cor").alias("m")).select("pair_id", A.runs(F.col("m")).alias("r")).select("pair_id", F.aggregate("r", F.lit(0), lambda n, x: n + x["s1"] - x["s0"]).alias("n_orig"), F.aggregate("r", F.lit(0), lambda n, x: n + x["t1"] - x["t0"]).alias("n_cor")), f"SELECT pair_id, CAST(len(string_split(orig, ' ')) AS INT) AS n_orig, CAST(len(string_split(cor, ' ')) AS INT) AS n_cor FROM ({_PAIRS})")
+
+
 def _tags(s, d) -> DataFrame:
     return S.morphs(S.shred(table(s, d, "learner_sentences"))).filter("section = 'M'")
 
@@ -441,6 +451,10 @@ add("k01_m2_blocks", lambda s, d: _m2(s, d).select("pair_id", "block"))
 add("k02_m2_of_types", lambda s, d: M2.with_types(_annotated(s, d), "WS").select("pair_id"))
 add("s04_m2_parse", lambda s, d: M2.parse(_m2(s, d).select("pair_id", "block")).select("pair_id", "source", F.size("edits").alias("n_edits")))
 add("f21_m2_gold", lambda s, d: M2.gold(M2.parse(_m2(s, d).select("pair_id", "block"))).select("pair_id", "annotator", F.size("gold").alias("n_gold")))
+_spaced = lambda s, d: A.annotate(spread(s, d).select("pair_id", *(_squeezed(F.col(c)).alias(c) for c in ("orig", "cor"))))
+add("s04_m2_applied", lambda s, d: M2.parse(_spaced(s, d).select("pair_id", M2.block(F.col("orig"), F.col("edits")).alias("block"))).select("pair_id", A.applied(X.tokens(F.col("source")), F.filter("edits", lambda e: e["start"] >= 0), lambda e: e["corrections"][0]).alias("made")), _WHOLE)
+add("f21_gold_applied", lambda s, d: M2.gold(M2.parse(_spaced(s, d).select("pair_id", M2.block(F.col("orig"), F.col("edits")).alias("block")))).select("pair_id", A.applied(X.tokens(F.col("source")), F.col("gold"), lambda e: e["corrections"][0]).alias("made")), _WHOLE)
+add("k11_created_applied", lambda s, d: spread(s, d).select("pair_id", A.applied(X.tokens(F.col("orig")), M.created_edits("orig", "cor")).alias("made")), _WHOLE)
 _probe = lambda s, d: pairs(s, d).select(F.col("pair_id").alias("pos"), F.col("orig").alias("source"), F.col("cor").alias("block"))
 add("j03_reorder_m2", lambda s, d: M2.reorder(_probe(s, d).select("pos", "source"), _probe(s, d)), f"""
 WITH b AS (SELECT trim(orig, ' ') AS source, max_by(cor, pair_id) AS block FROM ({_PAIRS}) GROUP BY 1)

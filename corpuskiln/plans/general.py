@@ -99,6 +99,8 @@ ORACLE = {
     "p2_words": f"{_P2} SELECT {_KEY}, {_inside('t', 'w')} AS w FROM xw UNION ALL SELECT {_KEY}, o ->> '$.w' FROM jw",
     "p2_morphs": f"{_P2} SELECT {_KEY}, CAST(morph_no AS INT) AS morph_no, {', '.join(_MORPH_XML)} FROM xm UNION ALL SELECT {_KEY}, CAST(morph_no AS INT), {', '.join(_MORPH_JSON)} FROM jm",
     "p1_found": _P1,
+    "p1_loaded": f"""{_P1.replace("SELECT line_id, regexp_replace(coalesce", "SELECT line_id, file_name, line_no, regexp_replace(coalesce").replace("b AS (SELECT line_id,", f"b AS (SELECT line_id, file_name, line_no, {_value(3)},").rsplit("SELECT line_id, CASE", 1)[0]}
+SELECT line_id, file_name, line_no, try_cast(v1 AS BIGINT) AS pair_id, CAST(v2 AS TIMESTAMP) AS posted_at, v3 AS l1, v4 AS original, v5 AS corrected FROM c WHERE quoted AND five AND NOT wrong""",
     "p1_report": f"SELECT file_name, coalesce(reason, 'loaded') AS outcome, count(*) AS n_lines FROM lang8_lines LEFT JOIN ({_P1}) USING (line_id) GROUP BY 1, 2",
 }
 

@@ -58,6 +58,30 @@ def write_sides(pairs: DataFrame, path: str) -> None:
         side.write.mode("overwrite").text(f"{path}_{name}")
 
 
+def four_sides(proofread: DataFrame) -> DataFrame:
+    """What the four files of a proof-read corpus hold, as ``side`` and ``value``: originals, corrections,
+    both with a tab between, and M2 blocks."""
+    from corpuskiln.sources.m2 import block
+
+    sides = {"orig": F.col("original"), "cor": F.col("corrected"), "pair": F.concat_ws("\t", "original", "corrected"), "m2": block(F.col("original"), F.col("edits"))}
+    return proofread.select(F.explode(F.array(*(F.struct(F.lit(k).alias("side"), v.alias("value")) for k, v in sides.items()))).alias("x")).select("x.*")
+
+
+def write_four(proofread: DataFrame, path: str) -> None:
+    """The four files of a proof-read corpus, a folder for each side, in one pass."""
+    four_sides(proofread).write.mode("overwrite").partitionBy("side").text(path)
+
+
+def append_score(score: DataFrame, path: str) -> None:
+    """Add rows (``epoch``, ``mode``, ``gleu``) to the table of results."""
+    score.select("epoch", "mode", "gleu").write.mode("append").parquet(path)
+
+
+def label_totals(counts: DataFrame) -> DataFrame:
+    """Rows and the sum of a table of ``label`` and ``n``."""
+    return counts.agg(F.count("*").alias("n_labels"), F.sum("n").alias("total"))
+
+
 def write_generations(outputs: DataFrame, path: str) -> None:
     """hyp, ref and src lines of each epoch and mode, one folder each."""
     for c in ("hyp", "ref", "src"):
