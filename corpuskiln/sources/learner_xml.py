@@ -13,9 +13,9 @@ LearnerErrorAnnotations STRUCT<word: ARRAY<STRUCT<w: STRING, morph: ARRAY<STRUCT
 """
 
 
-def read(spark: SparkSession, path: str, written_only: bool = False) -> DataFrame:
+def read(spark: SparkSession, path: str, written_only: bool = False, pattern: str = "*.xml") -> DataFrame:
     """SENTENCE rows of all files below a folder, of those with 문어 in their path if asked."""
-    options = {"rowTag": "SENTENCE", "recursiveFileLookup": "true", "pathGlobFilter": "*.xml"}
+    options = {"rowTag": "SENTENCE", "recursiveFileLookup": "true", "pathGlobFilter": pattern}
     rows = spark.read.format("xml").options(**options).schema(SCHEMA).load(path)
     return rows.filter(F.input_file_name().contains("문어") | F.input_file_name().contains("%EB%AC%B8%EC%96%B4")) if written_only else rows
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuskiln.functions.text import strip, tokens
@@ -21,9 +21,17 @@ def read_pairs(spark: SparkSession, path: str, keep_empty: bool = True) -> DataF
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``pos`` and ``value`` of the lines of each file, as ``file``; the text after the last line end counts as a line."""
-    whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    return whole.select("file", F.posexplode(F.split("value", "\n", -1)).alias("pos", "value"))
+    """``file``, ``pos`` (from 0) and ``value`` of the lines of each file, which may be split over tasks.
+
+    Lines are numbered within the stretch of a file that one task reads, after the lines of the stretches
+    before, so that no task holds a whole file.
+    """
+    block = ["file", "_start"]
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    within = lines.withColumn("_within", F.row_number().over(Window.partitionBy(*block).orderBy("_id")) - 1)
+    before = lines.groupBy(*block).agg(F.count("*").alias("_n"))
+    before = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return within.join(before.drop("_n"), block).select("file", (F.col("_before") + F.col("_within")).alias("pos"), "value")
 
 
 def zip_lines(orig: DataFrame, cor: DataFrame) -> DataFrame:
@@ -40,13 +48,13 @@ def zip_three(hyp: DataFrame, src: DataFrame, ref: DataFrame) -> DataFrame:
     return joined.select("pos", whole.alias("hyp"), "src", "ref")
 
 
-def write_pairs(pairs: DataFrame, path: str) -> None:
-    pairs.select(F.concat_ws("\t", "orig", "cor")).write.mode("overwrite").text(path)
+def write_pairs(pairs: DataFrame, path: str, compression: str = "none") -> None:
+    pairs.select(F.concat_ws("\t", "orig", "cor")).write.mode("overwrite").text(path, compression=compression)
 
 
 def write_with_header(pairs: DataFrame, path: str) -> None:
     """Pairs that differ, as ``src`` and ``tgt`` with a header."""
-    pairs.filter("orig <> cor").select(F.col("orig").alias("src"), F.col("cor").alias("tgt")).write.mode("overwrite").csv(path, sep="\t", header=True, quote="")
+    pairs.filter("orig <> cor").select(F.col("orig").alias("src"), F.col("cor").alias("tgt")).write.mode("overwrite").csv(path, sep="\t", header=True, quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def split_sides(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
