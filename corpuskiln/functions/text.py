@@ -135,6 +135,11 @@ def lacking_count(a: Column, b: Column) -> Column:
     return let(b, lambda others: F.size(F.filter(a, lambda x: ~F.array_contains(others, x))))
 
 
+def kept_items(a: Column, b: Column) -> Column:
+    """The items of the first array that the second has too, with their copies and in their order."""
+    return let(b, lambda others: F.filter(a, lambda x: F.array_contains(others, x)))
+
+
 def item_counts(items: Column) -> Column:
     """Structs (item, cnt) of the distinct items of an array."""
 

@@ -504,7 +504,7 @@ add("t01_split", _named, _NAMED)
 add("t01_split_sizes", lambda s, d: _named(s, d).groupBy("split").agg(F.count("*").alias("n")), f"SELECT split, count(*) AS n FROM ({_NAMED}) GROUP BY 1")
 add("o04_sample", lambda s, d: D.sample(table(s, d, "kor_lang8").select("pair_id"), "pair_id"), "SELECT pair_id FROM kor_lang8 ORDER BY md5(pair_id || ':order'), pair_id LIMIT 500")
 add("u02_union_corpora", lambda s, d: D.union(kor=pairs(s, d).select("orig", "cor"), raw=raw_pairs(s, d)).groupBy("corpus").agg(F.count("*").alias("n"), F.sum(F.length("orig")).alias("chars")), f"SELECT 'kor' AS corpus, count(*) AS n, CAST(sum(length(orig)) AS BIGINT) AS chars FROM ({_PAIRS}) UNION ALL SELECT 'raw', count(*), CAST(sum(length(original)) AS BIGINT) FROM lang8_raw WHERE original IS NOT NULL AND corrected IS NOT NULL")
-add("u04_common_tokens", lambda s, d: pairs(s, d).select("pair_id", F.size(F.array_intersect(X.tokens(F.col("orig")), X.tokens(F.col("cor")))).alias("n")), f"SELECT pair_id, len(list_intersect({sql_tokens('orig')}, {sql_tokens('cor')})) AS n FROM ({_PAIRS})")
+add("u04_common_tokens", lambda s, d: pairs(s, d).select("pair_id", F.array_join(X.kept_items(X.tokens(F.col("orig")), X.tokens(F.col("cor"))), " ").alias("t")), f"SELECT pair_id, array_to_string(list_filter({sql_tokens('orig')}, lambda x: list_contains({sql_tokens('cor')}, x)), ' ') AS t FROM ({_PAIRS})")
 _ids = lambda c: F.transform(X.tokens(F.col(c)), lambda w: F.length(w) + 1)
 _IDS = lambda c: f"list_transform({sql_tokens(c)}, lambda w: length(w) + 1)"
 _joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")

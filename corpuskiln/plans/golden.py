@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpuskiln.functions import hangul as H
 from corpuskiln.functions import text as X
 from corpuskiln.operators import annotate as A
+from corpuskiln.operators import dataset as D
 from corpuskiln.operators import gleu as G
 from corpuskiln.operators import learner as L
 from corpuskiln.operators import maxmatch as M
@@ -188,6 +189,9 @@ add("golden_j04_proofread_edits", lambda s: _proofread(s).select("sentence_id",
 add("golden_k05_four_sides", lambda s: P.four_sides(_proofread(s)), "side varchar, value varchar", [("orig", "저는 넘어소 갔다 아주 빨리"), ("cor", "저는 넘어서 갔다 아주 빨리"), ("pair", "저는 넘어소 갔다 아주 빨리\t저는 넘어서 갔다 아주 빨리"), ("m2", "S 저는 넘어소 갔다 아주 빨리\nA 1 2|||E|||넘어서|||REQUIRED|||-NONE-|||0\nA 2 3|||E|||갔다|||REQUIRED|||-NONE-|||0\n")])
 
 
+# Steps of a training run of 17,560 rows in batches of 32 over ten epochs.
+add("golden_t10_steps", lambda s: s.createDataFrame([D.steps(17560, 32, epochs=10)], "per_epoch long, total long, warmup long, log_every long"), "per_epoch bigint, total bigint, warmup bigint, log_every bigint", [(549, 5490, 549, 50)])
+
 # Sum of a table of label counts.
 add("golden_s12_label_totals", lambda s: P.label_totals(s.createDataFrame([("WS", 15066), ("PARTICLE", 40), ("NOUN", 7)], "label string, n long")), "n_labels bigint, total bigint", [(3, 15113)])
 

@@ -71,12 +71,12 @@ def gold(parsed: DataFrame) -> DataFrame:
 
 
 def reorder(probe: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Blocks in the order of ``probe`` (``pos``, ``source``); of blocks with one source the last counts.
+    """Blocks in the order of ``probe`` (``pos``, ``source``), sorted over all; of blocks with one source the last counts.
 
     ``found`` is false where no block has the source.  ``blocks`` has ``pos``, ``source`` and ``block``.
     """
     last = blocks.groupBy(F.trim("source").alias("source")).agg(F.max_by("block", "pos").alias("block"))
-    return probe.withColumn("source", F.trim("source")).join(last, "source", "left").select("pos", "source", "block", F.col("block").isNotNull().alias("found"))
+    return probe.withColumn("source", F.trim("source")).join(last, "source", "left").select("pos", "source", "block", F.col("block").isNotNull().alias("found")).orderBy("pos")
 
 
 def token_offset(source: Column, offset: Column) -> Column:

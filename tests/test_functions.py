@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -49,3 +50,26 @@ def test_text(spark):
     assert one(X.limit_words(F.array(F.lit("a b c"), F.lit("d e")), 4)) == ["a b c", "d"]
     assert X.tokenize("Mr. Smith didn't buy 3,000 cars, e.g. Fords...") == ["Mr.", "Smith", "didn", "'t", "buy", "3,000", "cars", ",", "e.g.", "Fords", "..."]
     assert X.tokenize('He said "I can\'t" (ok).', brackets=True) == ["He", "said", "``", "I", "ca", "n't", "''", "-LRB-", "ok", "-RRB-", "."]
+
+
+def test_contractions_as_columns(spark):
+    """The Columns and the plain functions read one table of patterns, and agree."""
+    rng = random.Random(7)
+    tokens = sorted({"".join(rng.choice("하해가나놓노오주되마시서었였았어여렵럽ㄴㄱㄸㅏ다a.-·고") for _ in range(rng.randint(0, 6))) for _ in range(800)})
+    c = F.col("t")
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", *(H.contracted(c, r).alias(f"r{r}") for r in H.CONTRACTIONS), H.softened(c).alias("soft"), H.absorbed(c).alias("whole"), H.joined(c, F.lit("ㄴ다")).alias("pair"))
+    for r in rows.collect():
+        assert [r[f"r{n}"] for n in H.CONTRACTIONS] == [H.unspell(H.contract_once(H.spell(r.t), n)) for n in H.CONTRACTIONS]
+        assert (r.soft, r.whole, tuple(r.pair)) == (H.unspell(H.soften(H.spell(r.t), False)), H.absorb(r.t), H.join_tokens(r.t, "ㄴ다"))
+    nulls = spark.createDataFrame([(None,)], "t string").select(H.contracted(c, "34"), H.softened(c), H.absorbed(c)).first()
+    assert tuple(nulls) == (None, None, None)
+
+
+def test_multisets_within_the_row(spark):
+    rng = random.Random(8)
+    rows = [([rng.choice("abc") for _ in range(rng.randint(0, 9))], [rng.choice("abcd") for _ in range(rng.randint(0, 9))]) for _ in range(60)]
+    frame = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    a, b = F.col("a"), F.col("b")
+    for r in frame.select("a", "b", X.common_count(a, b).alias("common"), X.lacking_count(a, b).alias("lacking"), X.item_counts(a).alias("counts"), X.kept_items(a, b).alias("kept")).collect():
+        assert r.common == sum((Counter(r.a) & Counter(r.b)).values()) and r.lacking == sum(x not in r.b for x in r.a)
+        assert {x["item"]: x["cnt"] for x in r.counts} == Counter(r.a) and r.kept == [x for x in r.a if x in r.b]

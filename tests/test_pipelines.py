@@ -97,3 +97,31 @@ def test_reorder_and_types(spark):
     kinds = spark.createDataFrame([(["NOUN"],), (["ENDING", "VERB"],), (["NOUN", "PARTICLE"],), (["ADJECTIVE", "ENDING"],), (["ENDING", "PARTICLE"],)], "k array<string>")
     assert [r[0] for r in kinds.select(A.composite_type(F.col("k"))).collect()] == ["NOUN", "CONJUGATION", "UNCLASSIFIED", "CONJUGATION", "UNCLASSIFIED"]
     assert D.steps(100, 8) == {"per_epoch": 13, "total": 13, "warmup": 1, "log_every": 13}
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """Lines keep their numbers where several tasks read one file."""
+    lines = [f"line {i}" if i % 7 else "" for i in range(4000)]
+    (tmp_path / "long.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "short.txt").write_text("x\ny")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        rows = P.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    long = {r.pos: r.value for r in rows if "long" in r.file}
+    assert [long[i] for i in range(4000)] == lines and sorted((r.pos, r.value) for r in rows if "short" in r.file) == [(0, "x"), (1, "y")]
+
+
+def test_checkpoint_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    import pytest
+
+    from corpuskiln.util import ensure_checkpoint_dir
+
+    none = N(isDefined=lambda: False)
+    context = N(master="spark://host:7077", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: none)), getConf=lambda: N(get=lambda _: None))
+    with pytest.raises(ValueError, match="checkpoint"):
+        ensure_checkpoint_dir(N(sparkContext=context, conf=N(get=lambda *_: None)))

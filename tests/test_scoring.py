@@ -94,3 +94,27 @@ def test_rouge(spark):
     assert one == {1: (0.6667, 0.5), 2: (0.0, 0.0), 3: (1.0, 1.0)}
     assert {r.k: round(r.f, 4) for r in R.rouge_l(t, "k").collect()} == {1: 0.5714, 2: 0.0, 3: 1.0}
     assert R.subsequence_counts(["a b c d"], ["a b x d"], 2.0)[2] == 5
+
+
+def test_insertions_are_weighed_from_both_ends():
+    """Of two equal insertions at one place, each gold edit is met once."""
+    found = M.Lattice("a b".split(), "a x x b".split()).best([(1, 1, "", ["x"])])
+    assert M.matches(found, [(1, 1, "", ["x"])]) <= 1
+    source, system = "a b", "a x y b"
+    gold = [(1, 1, "", ["x y"])]
+    assert M.matches(M.Lattice(source.split(), system.split()).best(gold), gold) == 1
+
+
+def test_running_sums_by_ranges(spark):
+    rows = spark.range(500).selectExpr("id * 7 % 503 as sid", "cast(id % 3 as int) as correct", "cast(id % 5 as int) as proposed", "2 as gold")
+    got = {r.sid: (r.correct, r.proposed, r.gold) for r in M.running(rows, 7).collect()}
+    total = [0, 0, 0]
+    for r in rows.orderBy("sid").collect():
+        total = [a + b for a, b in zip(total, (r.correct, r.proposed, r.gold))]
+        assert got[r.sid] == tuple(total)
+
+
+def test_groups_are_split():
+    assert K.split_groups([[("공부하", "VV"), ("ㄴ다", "EFN")]], ["공부", "한다"]) == [[("공부하", "VV")], [("ㄴ다", "EFN")]]
+    assert [len(g) for g in K.morph_groups(["가", "나"], [("가나", "NNG")])] == [1, 1]
+    assert K.morph_groups(["가"], []) == [[]]
