@@ -392,7 +392,7 @@ add("h25_limit_words", lambda s, d: pairs(s, d).select("pair_id", F.array_join(X
 # ---- alignment, edits, M2 ----------------------------------------------------------------------------
 
 _annotated = lambda s, d, how="rules": A.annotate(spread(s, d).select("pair_id", "orig", "cor"), how=how)
-add("d01_unit_alignment", lambda s, d: table(s, d, "nation").select("n_name", A.unit_alignment("n_name", F.lit("ARGENTINA")).alias("x")).select("n_name", "x.*"))
+add("d01_unit_alignment", lambda s, d: table(s, d, "part").select("p_partkey", A.unit_alignment("p_name", "p_type").alias("x")).select("p_partkey", "x.*"))
 add("d02_alignment", lambda s, d: spread(s, d).select("pair_id", A.alignment("orig", "cor").alias("moves")).select("pair_id", F.posexplode("moves").alias("no", "m")).select("pair_id", "no", "m.*"))
 add("d06_typed_edits", lambda s, d: A.exploded(_annotated(s, d)))
 add("d07_edits_split", lambda s, d: A.exploded(_annotated(s, d, "split")))

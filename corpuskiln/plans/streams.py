@@ -31,13 +31,13 @@ def _windowed(s: SparkSession, d: str) -> DataFrame:
     name = f"windowed_{uuid.uuid4().hex}"
     counts = S.windowed_counts(_stream(s, d), "posted_at")
     counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{ensure_checkpoint_dir(s)}/{name}").start().awaitTermination()
-    return s.table(name)
+    return s.table(name).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
 QUERIES = {"stream_row_steps": _row_steps, "stream_windowed_counts": _windowed}
 ORACLE = {
     "stream_row_steps": CORPUS["clean_pairs"].replace("SELECT DISTINCT orig, cor FROM h", "SELECT orig, cor FROM h"),
-    "stream_windowed_counts": """SELECT time_bucket(INTERVAL '30 days', posted_at, TIMESTAMP '1970-01-01') AS start, count(*) AS n_pairs, count(*) FILTER (lower(replace(original, ' ', '')) <> lower(replace(corrected, ' ', ''))) AS n_changed
+    "stream_windowed_counts": """SELECT strftime(time_bucket(INTERVAL '30 days', posted_at, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n_pairs, count(*) FILTER (lower(replace(original, ' ', '')) <> lower(replace(corrected, ' ', ''))) AS n_changed
 FROM lang8_raw WHERE posted_at IS NOT NULL GROUP BY 1""",
 }
 
