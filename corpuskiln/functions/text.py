@@ -176,7 +176,7 @@ def limit_characters(text: Column, most: int) -> Column:
 
 
 # Abbreviations that keep their full stop, always or before a number.
-_PREFIXES = set("Adj Adm Adv Asst Bart Bldg Brig Bros Capt Cmdr Col Comdr Con Corp Cpl DR Dr Drs Ens Gen Gov Hon Hr Hosp Insp Lt MM MR MRS MS Maj Messrs Mlle Mme Mr Mrs Ms Msgr Op Ord Pfc Ph Prof Pvt Rep Reps Res Rev Rt Sen Sens Sfc Sgt Sr St Supt Surg v vs i.e rev e.g Nos Nr".split()) | {chr(c) for c in range(65, 91)}
+_PREFIXES = set("Adj Adm Adv Asst Bart Bldg Brig Bros Capt Cmdr Col Comdr Con Corp Cpl DR Dr Drs Ens Gen Gov Hon Hr Hosp Insp Lt MM MR MRS MS Maj Messrs Mlle Mme Mr Mrs Ms Msgr Op Ord Pfc Ph Prof Pvt Rep Reps Res Rev Rt Sen Sens Sfc Sgt Sr St Supt Surg v vs i.e rev e.g Nos Nr A B C D E F G H I J K L M N O P Q R S T U V W X Y Z".split())
 _NUMERIC = set("No Art pp".split())
 
 

@@ -10,6 +10,7 @@ from corpuskiln.operators import gleu as G
 from corpuskiln.operators import kernels as K
 from corpuskiln.operators import maxmatch as M
 from corpuskiln.operators import rouge as R
+from corpuskiln.plans import golden
 from corpuskiln.sources import m2
 
 words = st.lists(st.sampled_from("a b c d 가 나 가나".split()), max_size=7)
@@ -23,12 +24,11 @@ def test_edits_make_the_correction(a, b):
 
 
 def test_alignment_costs():
-    for a, b, cost in (("god", "gawd", 2), ("sitting", "kitten", 3), ("bana", "banananana", 6), ("banana", "angioplastical", 11), ("Saturday", "Sunday", 3), ("", "ab", 2)):
+    for a, b, cost in [*golden._UNIT, ("", "ab", 2)]:
         assert K.Grid(a, b).distance == cost == K.Grid(b, a).distance
-    edits = lambda a, b: [e[:4] for e in K.edits(a.split(" "), b.split(" "))]
-    assert edits("안 녕하세요 .", "안녕하세요 .") == [(0, 2, "WS", "안녕하세요")]
-    assert edits("가가 나나 실험", "나나 가가 실험") == [(0, 2, "WO", "나나 가가")]
-    assert edits("이코트는 예쁘면서 값도쌉니다.", "이 코트는 예쁘면서 값도 쌉니다 .") == [(0, 1, "WS", "이 코트는"), (2, 3, "WS", "값도 쌉니다 .")]
+    for orig, cor, wanted in golden.EXAMPLES:
+        found = [(s, e, c, t if t in golden.PLAIN else golden.LEXICAL) for s, e, t, c, *_ in K.edits(orig.split(" "), cor.split(" "))]
+        assert found == wanted
 
 
 def test_types_by_lexicon():
@@ -49,10 +49,10 @@ def test_m2_round_trip(spark):
 
 
 def test_maxmatch(spark):
-    source, system = "The cat sat at mat .", "A cat sat on the mat ."
-    gold = [(0, 1, "The", ["A"]), (3, 4, "at", ["on the"])]
+    source, system = golden.GOLD[0].split("\n")[0][2:], golden.SYSTEM[0]
+    gold = [(3, 4, "at", ["on"]), (4, 4, "", ["the", "a"])]
     found = M.Lattice(source.split(), system.split()).best(gold)
-    assert (M.matches(found, gold), len(found)) == (2, 2)
+    assert (M.matches(found, gold), len(found)) == (2, 3)
     assert M.Lattice(source.split(), source.split()).best(gold) == []
     assert M.choose(iter([(0, [(0, 2, 2), (2, 2, 2)]), (1, [(1, 3, 1), (1, 3, 3)])])) == (3, 5, 3)
     counted = spark.createDataFrame([(0, 0, 0, 2, 2), (0, 1, 2, 2, 2), (1, 0, 1, 3, 1), (1, 1, 1, 3, 3)], "sid long, annotator_no int, correct int, proposed int, gold int")
