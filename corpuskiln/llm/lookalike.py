@@ -234,7 +234,8 @@ def normalized(rows: DataFrame, vocabulary: DataFrame | None = None) -> DataFram
     """
     texts = rows.select("pair_id", *_FIELDS)
     base = texts.mapInArrow(_base(close_letters(rows.sparkSession)), _BASE)
-    asked = base.filter("asked is not null").select("pair_id", "field", "raw", "text", F.explode("asked").alias("a"))
+    # few texts have tokens in question; they are cut, as they are read twice
+    asked = cut(base.filter("asked is not null").select("pair_id", "field", "raw", "text", F.explode("asked").alias("a")))
     forms = asked.select("pair_id", "field", "raw", "text", "a.token", "a.sure", F.posexplode("a.forms").alias("at", "form"))
     words = vocabulary if vocabulary is not None else texts.mapInArrow(_vocabulary, "word string").distinct()
     known = forms.select("form").distinct().join(words.withColumnRenamed("word", "form"), "form", "left_semi").withColumn("known", F.lit(True))
