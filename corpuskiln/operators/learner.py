@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuskiln.functions.hangul import absorb, consonant, contract, join_tokens
+from corpuskiln.operators.shred import annotated_records
 
 
 def proof(morph: dict) -> tuple[str | None, str | None]:
@@ -86,3 +87,8 @@ def proofread(sentences: DataFrame, words: DataFrame, morphs: DataFrame) -> Data
     wrong = words.filter("section = 'E'").join(held, [*key, "word_no"]).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("word_no", "w", "morphs"))).alias("annotated"))
     rows = sentences.select(*key, F.rtrim("text").alias("original")).join(plain, key, "left").join(wrong, key, "left")
     return rows.mapInArrow(_run, _OUT)
+
+
+def proofread_records(shredded: DataFrame) -> DataFrame:
+    """The same of shredded records, gathered within each record, so that nothing is joined or moved."""
+    return annotated_records(shredded).mapInArrow(_run, _OUT)

@@ -224,6 +224,24 @@ def morphs(shredded: DataFrame) -> DataFrame:
     return _entities(shredded, "morph", made).filter("section is not null")
 
 
+def annotated_records(shredded: DataFrame) -> DataFrame:
+    """One row for each record with what proof-reading needs, gathered within the record: ``original``, the
+    ``words`` of the morpheme section, and the ``annotated`` words of the error section with their morphs."""
+    words = lambda section: F.filter("nodes", lambda n: (n["label"] == "word") & n["is_object"] & (_section(_above(n)) == section))
+
+    def morph(n: Column) -> Column:
+        proofread = _child(n, "Proofread")
+        return F.struct(_scalar(n, "Preserved").alias("preserved"), _scalar(n, "Removed").alias("removed"), F.coalesce(_scalar(proofread, "#text"), proofread["scalar"]).alias("proofread"), _scalar(proofread, "@pos").alias("proofread_pos"))
+
+    def wrong(n: Column) -> Column:
+        below = F.slice(F.col("nodes"), n["child_from"] + 1, n["n_children"])
+        return F.struct(_scalar(n, "w").alias("w"), F.transform(F.filter(below, lambda c: (c["label"] == "morph") & c["is_object"]), morph).alias("morphs"))
+
+    root = F.get(F.col("nodes"), F.lit(0))
+    rows = shredded.filter((root["label"] == "SENTENCE") & root["is_object"])
+    return rows.select("sentence_id", "body_key", F.rtrim(_scalar(root, "s")).alias("original"), F.transform(words("M"), lambda n: F.struct(_scalar(n, "w").alias("w"))).alias("words"), F.filter(F.transform(words("E"), wrong), lambda w: F.size(w["morphs"]) > 0).alias("annotated"))
+
+
 def morph_places(shredded: DataFrame) -> DataFrame:
     """Distinct (sentence_id, section, word_no, morph_no) of every morph element."""
     return _entities(shredded, "morph", lambda n: F.struct(*_place(n))).filter("section is not null").drop("body_key").distinct()

@@ -487,11 +487,7 @@ add("w03_running_counts", lambda s, d: M.running(_numbers(s, d)), f"""SELECT sid
 FROM (SELECT pair_id AS sid, len(list_intersect({sql_tokens('orig')}, {sql_tokens('cor')})) AS correct, len({sql_tokens('orig')}) AS proposed, len({sql_tokens('cor')}) AS gold FROM ({_PAIRS}))""")
 
 
-def _proofread(s, d) -> DataFrame:
-    nodes = S.shred(table(s, d, "learner_sentences"))
-    return L.proofread(S.sentences(nodes), S.words(nodes), S.morphs(nodes))
-
-
+_proofread = lambda s, d: L.proofread_records(S.shred(table(s, d, "learner_sentences")))
 add("d26_proofread", lambda s, d: _proofread(s, d).select("sentence_id", "original", "corrected", F.size("edits").alias("n_edits")))
 add("k05_proofread_m2", lambda s, d: _proofread(s, d).select("sentence_id", M2.block(F.col("original"), F.col("edits")).alias("block")))
 

@@ -37,6 +37,7 @@ def test_proofreading(spark):
     done = {r.sentence_id: r for r in L.proofread(S.sentences(n), S.words(n), S.morphs(n)).collect()}
     assert done[1].corrected == "넘어서 가요" and [tuple(e) for e in done[1].edits] == [(0, 1, "V", "넘어서")]
     assert done[2].corrected == "가 나" and done[2].edits == []
+    assert {r.sentence_id: r for r in L.proofread_records(n).collect()} == done
 
 
 def test_empty(spark):
