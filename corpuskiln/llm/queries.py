@@ -51,6 +51,30 @@ QUERIES = {
 }
 
 
+# Small examples with the results that the problems' statements give for them; the same operators.
+_LOOKS = [
+    (1, "my Cafe"), (2, "my \u0421\u0430f\u0435"), (3, "\uff21\uff22\uff23\u3000\uff11"), (4, "ABC 1"), (5, "a\u200bb c"), (6, "ab\u00a0c"), (7, "\u00e9cole"), (8, "e\u0301cole"), (9, "my Cafe."),
+    (10, "my cafe"), (11, "my  Cafe"), (12, "\uff76\uff9e\uff7d"), (13, "\u30ac\u30b9"), (14, ""), (15, None), (16, "\u1112\u1161\u11ab\uae00"), (17, "\ud55c\uae00"), (18, "ecole"), (19, "my Cafe"),
+]
+_ALIKE = [(1, 2), (2, 19), (3, 4), (5, 6), (7, 8), (12, 13), (16, 17)]
+_SPOKEN = [
+    (1, "오늘은 학교에 가서 친구를 만났어요.", "오늘은 학교에 가서 친구를 만났어요.", "ko"), (2, "I went to the school with my friend.", "I went to the school with my friend.", None),
+    (3, "오늘은 학교에 가서 친구를 만났어요. Nous avons étudié avec la maîtresse.", "안녕", "ko"), (4, "...", "I have a friend and we like the house. 私は友達と一緒に町へ行きたいです。", "zz"),
+    (5, "Я не знаю почему", "Я не знаю почему", "ru"), (6, None, "", "zz"), (7, "오늘 PDF 파일과 USB 메모리를 샀어요", "감사합니다!", "fr"), (8, "我的朋友在学校看书", "Ｉ ａｍ ｎｏｔ ａ ｃｈｉｌｄ", "en"),
+]
+_LANGUAGES = [(2, "original", "en"), (2, "corrected", "en"), (3, "original", "ko"), (3, "original", "fr"), (3, "corrected", "ko"), (4, "corrected", "en"), (4, "corrected", "ja"), (7, "original", "ko"), (7, "corrected", "ko"), (8, "original", "zh"), (8, "corrected", "en")]
+
+
+def _looks(s):
+    return s.createDataFrame([(i, t, None) for i, t in _LOOKS], "pair_id long, original string, corrected string")
+
+
+def _spoken(s, d):
+    return languages.found(s.createDataFrame(_SPOKEN, "pair_id long, original string, corrected string, lang_label string"), _codes(s, d))
+
+
+QUERIES |= {"golden_looks": lambda s, _: lookalike.found(_looks(s)), "golden_languages": _spoken}
+
 _KEY = "lower(regexp_replace({}, '[^\\p{{L}}\\p{{N}}]+', '', 'g'))"
 _KEYED = f"""
 k AS (SELECT pair_id, split, {_KEY.format("src")} AS a, {_KEY.format("tgt")} AS b FROM kor_lang8 WHERE src IS NOT NULL AND tgt IS NOT NULL),
@@ -95,6 +119,8 @@ g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run
 SELECT doc_id, CAST(min(i) - 1 AS INT) AS span_start, CAST(max(i) + 99 AS INT) AS span_end FROM g GROUP BY doc_id, run""",
 }
 
+ORACLE["golden_looks"] = "SELECT 'original' AS field, CAST(a AS BIGINT) AS id_a, CAST(b AS BIGINT) AS id_b FROM (VALUES " + ", ".join(map(str, _ALIKE)) + ") AS v(a, b)"
+ORACLE["golden_languages"] = "SELECT CAST(a AS BIGINT) AS pair_id, field, lang FROM (VALUES " + ", ".join(map(str, _LANGUAGES)) + ") AS v(a, field, lang)"
 ORACLE["p10_shares"] = f"""WITH f AS ({ORACLE["p10_found"]}) SELECT doc_id, count(*) AS n_spans, CAST(sum(span_end - span_start) AS BIGINT) AS covered_chars, any_value(length(text)) AS n_chars, sum(span_end - span_start) / any_value(length(text)) AS covered_share
 FROM f JOIN documents USING (doc_id) GROUP BY 1"""
 
