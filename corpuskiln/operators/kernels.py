@@ -242,6 +242,8 @@ Edit = tuple[int, int, str, str, int, int]
 
 def edits(a: Sequence[str], b: Sequence[str], lexicon: Lexicon = NEUTRAL, how: str = "rules") -> list[Edit]:
     """(start, end, type, correction, start and end in the correction) of each edit."""
+    if list(a) == list(b):
+        return []
     return [(m[1], m[2], classify(m, a, b, lexicon), " ".join(b[m[3] : m[4]]), m[3], m[4]) for m in merge(align(a, b, lexicon), a, b, how)]
 
 

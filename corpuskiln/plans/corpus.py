@@ -372,6 +372,7 @@ _RULE_SQL = {
 }
 for _name, _f in {"h05_absorb_consonants": H.absorbed, "h08_contract": H.contract_token, "h09_rule_34": lambda c: H.contracted(c, "34"), "h10_rule_35": lambda c: H.contracted(c, "35"), "h11_rule_36": lambda c: H.contracted(c, "36"), "h12_soften": H.softened}.items():
     add(_name, lambda s, d, f=_f: _tok(s, d).select("token", f(F.col("token")).alias("made")), _RULE_SQL.get(_name))
+add("h06_absorb_until_done", lambda s, d: _tok(s, d).select("token", H.absorbed(H.absorbed(F.col("token"))).alias("made")), _RULE_SQL["h05_absorb_consonants"])  # a second pass finds nothing
 add("h07_join_tokens", lambda s, d: pairs(s, d).select("pair_id", F.explode(X.word_pairs(X.tokens(F.col("orig")))).alias("w")).select("pair_id", H.joined(F.col("w")[0], F.col("w")[1]).alias("x")).select("pair_id", "x.*"), f"""
 WITH w AS (SELECT pair_id, t[i] AS l, t[i + 1] AS r FROM (SELECT pair_id, t, unnest(range(1, len(t))) AS i FROM (SELECT pair_id, {sql_tokens('orig')} AS t FROM ({_PAIRS})))),
 x AS (SELECT *, l[-1] BETWEEN '가' AND '힣' AND instr({q(H.FINALS.strip())}, r[1]) > 0 AS fits FROM w)
