@@ -386,24 +386,31 @@ def train(rows: DataFrame, codes: DataFrame, sample: int = SAMPLE) -> Identifier
     for lang in sorted({*LANGUAGES} - {*several}):
         chosen = chosen.union(first([lang], max(1, sample // 10)))
     texts = [(r["lang"], r["original"]) for r in chosen.collect()]
-    count = Counter(lang for lang, _ in texts)
-    texts += [(lang, text) for lang, text in SEED.items() if count[lang] < FEW]
     family_of = {x: f for f, langs in FAMILIES.items() for x in langs}
     examples: dict[str, list[tuple[str, list[str]]]] = {f: [] for f, langs in FAMILIES.items() if len(langs) > 1}
-    shares, letters = [], {lang: Counter() for lang in LANGUAGES}
-    for lang, text in texts:
+    shares, letters, usable = [], {lang: Counter() for lang in LANGUAGES}, Counter()
+
+    def learn(lang: str, text: str) -> None:
         found, main = families(prepared(text))
         if main is None:
-            continue
+            return
         size = Counter({main.script: sum(map(len, main.words))})
         for s in found:
             size[s.script] = max(size[s.script], sum(map(len, s.words)))
         shares.append((family_of[lang], np.array([size[x] for x in SCRIPTS]) / sum(size.values())))
         for s in found:
             if lang in FAMILIES[s.script]:
+                usable[lang] += 1
                 letters[lang].update(x for w in s.words for x in alphabet(w))
                 if s.script in examples:
                     examples[s.script].append((lang, _units(s.script, s.words)))
+
+    for lang, text in texts:
+        if lang in family_of:
+            learn(lang, text)
+    for lang, text in SEED.items():
+        if usable[lang] < FEW:
+            learn(lang, text)
     known = {lang: frozenset(c) for lang, c in letters.items()}
     return Identifier({f: fit(f, x) for f, x in examples.items()}, fit_families(shares), known)
 
