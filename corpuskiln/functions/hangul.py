@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuskiln.functions.text import let
+
 # Initial, medial and final letters in the order of the syllable block; ' ' is no final.
 INITIALS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
 MEDIALS = "ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ"
@@ -66,7 +68,11 @@ def compose(cho: Column, jung: Column, jong: Column) -> Column:
 
 def to_letters(text: Column) -> Column:
     """A text with each syllable broken down into its letters."""
-    return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(is_korean(c), F.replace(F.concat(decompose(c)["cho"], decompose(c)["jung"], decompose(c)["jong"]), F.lit(" "), F.lit(""))).otherwise(c)), "")
+    def one(c: Column) -> Column:
+        three = lambda x: F.replace(F.concat(x["cho"], x["jung"], x["jong"]), F.lit(" "), F.lit(""))
+        return F.when(is_syllable(c), let(decompose(c), three)).otherwise(c)
+
+    return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
 # ---- plain kernels ----------------------------------------------------------------------------------
@@ -279,7 +285,8 @@ contract_token = _udf(contract)
 
 def spelled(token: Column) -> Column:
     """A token spelled out, three places for each character."""
-    one = lambda c: F.when(is_syllable(c), F.replace(F.concat(*(decompose(c)[x] for x in ("cho", "jung", "jong"))), F.lit(" "), F.lit(NO_FINAL))).otherwise(F.concat(c, F.lit(NO_LETTER * 2)))
+    three = lambda x: F.replace(F.concat(x["cho"], x["jung"], x["jong"]), F.lit(" "), F.lit(NO_FINAL))
+    one = lambda c: F.when(is_syllable(c), let(decompose(c), three)).otherwise(F.concat(c, F.lit(NO_LETTER * 2)))
     return F.array_join(F.transform(F.split(token, ""), one), "")
 
 
@@ -292,7 +299,7 @@ def unspelled(letters: Column) -> Column:
 
 
 def _spelled_rule(token: Column, change: Callable[[Column], Column]) -> Column:
-    return F.when(token == "", token).otherwise(unspelled(change(spelled(token))))
+    return F.when(token == "", token).otherwise(unspelled(let(spelled(token), change)))
 
 
 def contracted(token: Column, name: str) -> Column:

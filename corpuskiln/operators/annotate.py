@@ -41,6 +41,9 @@ def alignment(orig: pd.Series, cor: pd.Series) -> pd.Series:
     return pd.Series([None if not isinstance(o, str) or not isinstance(c, str) else [dict(zip(MOVE.names, m)) for m in K.align(o.split(" "), c.split(" "))] for o, c in zip(orig, cor)], dtype=object)
 
 
+alignment = alignment.asNondeterministic()  # so that it is planned once
+
+
 @F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("cost", "insertions", "deletions", "substitutions")]))
 def unit_alignment(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Unit-cost distance of characters and the average number of moves over all optimal alignments."""

@@ -210,6 +210,9 @@ def created_edits(source: pd.Series, system: pd.Series) -> pd.Series:
     return pd.Series([[{"start": a, "end": b, "cat": "UNK", "cor": c} for a, b, _, c in system_edits(s, h)] for s, h in zip(source, system)], dtype=object)
 
 
+created_edits = created_edits.asNondeterministic()  # so that it is planned once
+
+
 def scores(correct: Column, proposed: Column, gold: Column, beta: float = 0.5) -> list[Column]:
     """precision, recall and F of sums, with 1 for nothing proposed or nothing to find."""
     p = F.when(proposed == 0, 1.0).otherwise(correct / proposed)

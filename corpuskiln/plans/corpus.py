@@ -380,7 +380,7 @@ SELECT pair_id, CASE WHEN fits THEN l[1:-2] || chr(CAST(44032 + (unicode(l[-1])
 add("h13_compose_vowels", lambda s, d: _dec(s, d).select("k", F.explode(F.array(F.lit("ㅏ"), F.lit("ㅓ"))).alias("second"), "jung").select("k", "second", H.compose_vowels(F.col("jung"), F.col("second")).alias("v")), f"SELECT k, second, CASE jung || second WHEN 'ㅗㅏ' THEN 'ㅘ' WHEN 'ㅜㅓ' THEN 'ㅝ' WHEN 'ㅚㅓ' THEN 'ㅙ' WHEN 'ㅣㅓ' THEN 'ㅕ' END AS v FROM ({_DEC}), (VALUES ('ㅏ'), ('ㅓ')) AS x(second)")
 add("h14_levenshtein", lambda s, d: pairs(s, d).select("pair_id", F.levenshtein("orig", "cor").alias("distance")), f"WITH RECURSIVE {sql_grid(_CHARS, 'pair_id', UNIT)} SELECT pair_id, CAST(v AS INT) AS distance FROM dp")
 _SWAP = "CASE WHEN a[i] = b[d + 1 - i] THEN 0 WHEN a[i] || b[d + 1 - i] IN ('을를', '를을') THEN 0.5 ELSE 1 END"
-add("h14_weighted_levenshtein", lambda s, d: pairs(s, d).select("pair_id", H.weighted_distance({("을", "를"): 0.5, ("를", "을"): 0.5})("orig", "cor").alias("distance")), f"WITH RECURSIVE {sql_grid(_CHARS, 'pair_id', _SWAP)} SELECT pair_id, v AS distance FROM dp")
+add("h14_weighted_levenshtein", lambda s, d: spread(s, d).select("pair_id", H.weighted_distance({("을", "를"): 0.5, ("를", "을"): 0.5})("orig", "cor").alias("distance")), f"WITH RECURSIVE {sql_grid(_CHARS, 'pair_id', _SWAP)} SELECT pair_id, v AS distance FROM dp")
 add("h17_insert_delete_distance", lambda s, d: pairs(s, d).select("pair_id", A.insert_delete_distance(X.tokens(F.col("orig")), X.tokens(F.col("cor"))).alias("distance")), f"""WITH RECURSIVE {sql_grid(f"SELECT pair_id, {sql_tokens('orig')} AS a, {sql_tokens('cor')} AS b FROM ({_PAIRS})", "pair_id", "", common=True)} SELECT pair_id, CAST(len(a) + len(b) - 2 * v AS INT) AS distance FROM dp""")
 add("h20_token_offset", lambda s, d: pairs(s, d).select("pair_id", "orig", F.explode(F.sequence(F.lit(0), F.length("orig"))).alias("chars")).select("pair_id", "chars", M2.token_offset(F.col("orig"), F.col("chars")).alias("token")), f"SELECT pair_id, CAST(chars AS INT) AS chars, len({sql_tokens('orig[1:chars]')}) AS token FROM (SELECT pair_id, orig, unnest(range(0, length(orig) + 1)) AS chars FROM ({_PAIRS}))")
 add("h23_shrink", lambda s, d: pairs(s, d).select("pair_id", A.shrunk(X.tokens(F.col("orig")), X.tokens(F.col("cor"))).alias("x")).select("pair_id", "x.front", F.array_join("x.orig", " ").alias("orig"), F.array_join("x.cor", " ").alias("cor")), f"""

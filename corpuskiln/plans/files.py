@@ -14,7 +14,7 @@ from corpuskiln.plans.general import _P2
 from corpuskiln.sources import learner_xml as XML
 from corpuskiln.sources import m2 as M2
 from corpuskiln.sources import pairs as P
-from corpuskiln.util import ensure_checkpoint_dir, table
+from corpuskiln.util import ensure_checkpoint_dir, partitions, table
 
 
 def _folder(spark: SparkSession) -> str:
@@ -68,7 +68,7 @@ def _results(s, d) -> DataFrame:
 
 def _m2(s, d) -> DataFrame:
     path = _folder(s)
-    M2.write(A.annotate(_pairs(s, d).select("pair_id", *(F.trim(F.regexp_replace(c, " +", " ")).alias(c) for c in ("orig", "cor"))).filter("orig <> ''")), path)
+    M2.write(A.annotate(_pairs(s, d).select("pair_id", *(F.trim(F.regexp_replace(c, " +", " ")).alias(c) for c in ("orig", "cor"))).filter("orig <> ''").repartition(partitions(s))), path)
     read = M2.read(s, path)
     return read.select("source", A.applied(F.split("source", " "), F.filter("edits", lambda e: e["start"] >= 0), lambda e: e["corrections"][0]).alias("made"))
 
