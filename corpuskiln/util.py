@@ -28,7 +28,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return jsc.getCheckpointDir().get()
     wanted = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not wanted:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         wanted = tempfile.mkdtemp(prefix="corpuskiln-checkpoint-")
     context.setCheckpointDir(wanted)
